@@ -6,7 +6,8 @@
 2.  Classes with the same prefix and the same size form a group.  Groups that
     share a prefix shingle and pass the size and positional bounds are
     candidate pairs.
-3.  Group pairs are expanded to their classes and verified on whole sets.
+3.  Group pairs are expanded to their classes; bounds by size and by parity
+    signatures drop most that do not link, and whole sets verify the rest.
 
 Candidates are taken in two rounds, so that a large group of near copies never
 makes all its pairs.  The first links neighbours by size under each shingle;
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import written
-from .shingles import CELLS, set_key, shingle_sets
+from .shingles import CELLS, least_difference, set_key, shingle_sets, signature
 
 #: Bits of the fixed-size filter that keeps documents without candidates out of verification.
 FILTER_BITS = 1 << 24
@@ -56,36 +57,39 @@ def _fold(df: DataFrame, parts: Callable, combine: Callable, size: int) -> bytes
     return b"".join(found.get(k, bytes(step)) for k in range(_CHUNKS))
 
 
-def _cell_levels(docs: DataFrame) -> np.ndarray:
-    """Level (0 to 15) of each cell: how far the count of its shingles in all documents lies over the usual."""
+def _cell_ranks(docs: DataFrame) -> np.ndarray:
+    """Rank (12 bits, logarithmic) of each cell by the count of its shingles in all documents."""
 
     def parts(batches):
         counts = None
         for batch in batches:
-            for tokens in shingle_sets(batch.column(0).to_pylist()):
-                own = np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                counts = own if counts is None else counts + own
+            for tokens in _grouped(batch.column(0).to_pylist(), None):
+                counts = np.zeros(CELLS, np.int64) if counts is None else counts
+                np.add.at(counts, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
         return None if counts is None else counts.astype("<i8").tobytes()
 
     add = lambda a, b: (np.frombuffer(a, "<i8") + np.frombuffer(b, "<i8")).tobytes()
     counts = np.frombuffer(_fold(docs.select("text"), parts, add, CELLS * 8), "<i8")
-    usual = np.median(counts)
-    over = (counts - usual) / (6 * (np.sqrt(usual) + 1))
-    return np.where(over > 1, np.minimum(15, 1 + np.log2(np.maximum(over, 1))), 0).astype(np.uint64)
+    return np.minimum(4095, np.log2(1 + counts) * 170).astype(np.uint16)
+
+
+def _grouped(texts: list[str | None], ranks: np.ndarray | None) -> Iterator[np.ndarray]:
+    for k in range(0, len(texts), 512):
+        yield from shingle_sets(texts[k : k + 512], ranks)
 
 
 def _as_long(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64) ^ np.int64(-(1 << 63))  # keeps the order
 
 
-def _sets(docs: DataFrame, levels: np.ndarray, tenths: int) -> DataFrame:
-    """Per row: doc_id, n, class_key, group_key and the prefix (only the first time a task sees the class)."""
+def _sets(docs: DataFrame, ranks: np.ndarray, tenths: int) -> DataFrame:
+    """Per row: doc_id, n, class_key, group_key, the prefix and the signature (both only the first time a task sees the class)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sizes, classes, groups, prefixes = [], [], [], []
-            for tokens in shingle_sets(batch.column(1).to_pylist(), levels):
+            sizes, classes, groups, prefixes, signatures = [], [], [], [], []
+            for tokens in _grouped(batch.column(1).to_pylist(), ranks):
                 n = len(tokens)
                 key = set_key(tokens) if n else 0
                 prefix = tokens[: n - (n * tenths + 9) // 10 + 1] if n else tokens
@@ -96,20 +100,38 @@ def _sets(docs: DataFrame, levels: np.ndarray, tenths: int) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(key)
                     prefixes.append(_as_long(prefix))
+                    signatures.append(signature(tokens))
                 else:
                     prefixes.append(None)
+                    signatures.append(None)
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "class_key", "group_key", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n", "class_key", "group_key", "prefix", "signature"],
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(build, "doc_id long, n long, class_key long, group_key long, prefix array<long>")
+    return plain.mapInArrow(build, "doc_id long, n long, class_key long, group_key long, prefix array<long>, signature binary")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, tenths: int) -> DataFrame:
+    """Pairs whose sizes and signatures allow a link: sets that link differ in at most (10 - t) / (10 + t) of both sizes."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, n, x, m, y = (c.to_pylist() for c in batch.columns)
+            ok = [(10 + tenths) * max(abs(i - j), least_difference(a, b)) <= (10 - tenths) * (i + j) for i, a, j, b in zip(n, x, m, y)]
+            ok = pa.array(ok, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
+    for side in ("a", "b"):
+        own = classes.select(F.col("class_key").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.select("a", "b", "n_a", "signature_a", "n_b", "signature_b").mapInArrow(keep, "a long, b long")
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, levels: np.ndarray, tenths: int) -> DataFrame:
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ranks: np.ndarray, tenths: int) -> DataFrame:
     """The pairs (a, b) of class keys whose whole sets link."""
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(_plausible(pairs.distinct(), classes, tenths), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class_key")).distinct().join(classes, "class_key")
     needed = written(needed.select("class_key", "rep"), "needed")
 
@@ -131,12 +153,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, levels: np.
             keep = bits[ids.fill_null(0).to_numpy(zero_copy_only=False) % FILTER_BITS] | ids.is_null().to_numpy(zero_copy_only=False)
             texts = batch.column(1).filter(pa.array(keep)).to_pylist()
             out = {}
-            for k in range(0, len(texts), 512):
-                for tokens in shingle_sets(texts[k : k + 512], levels):
-                    if len(tokens) and (key := set_key(tokens)) not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(key)
-                        out[key] = tokens.tobytes()
+            for tokens in _grouped(texts, ranks):
+                if len(tokens) and (key := set_key(tokens)) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                    out[key] = tokens.tobytes()
             yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["class_key", "tokens"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -193,10 +214,10 @@ def _bounded(n1: Column, at1: Column, n2: Column, at2: Column, tenths: int) -> C
 
 def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id; linked from Jaccard tenths/10 on."""
-    levels = _cell_levels(docs)
-    rows = written(_sets(docs, levels, tenths), "shingle-sets")
+    ranks = _cell_ranks(docs)
+    rows = written(_sets(docs, ranks, tenths), "shingle-sets")
     full = rows.filter("n > 0")
-    classes = written(full.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n")), "classes")
+    classes = written(full.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n"), F.first("signature", ignorenulls=True).alias("signature")), "classes")
     nodes = classes.select(F.col("class_key").alias("node"))
 
     places = full.filter("prefix is not null").select("n", "group_key", F.posexplode("prefix").alias("at", "token"))
@@ -213,7 +234,7 @@ def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
     near = near.join(first.withColumnRenamed("c", "a"), "group_key").join(first.select(F.col("group_key").alias("other"), F.col("c").alias("b")), "other").select("a", "b")
     inside = classes.select(F.lag("class_key").over(Window.partitionBy("group_key").orderBy("class_key")).alias("a"), F.col("class_key").alias("b")).filter("a is not null")
     ordered = near.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = components(nodes, _verified(docs, ordered, classes, levels, tenths))
+    labels = components(nodes, _verified(docs, ordered, classes, ranks, tenths))
 
     # second round: whatever shares a prefix shingle (or a group) across components
     member = written(classes.join(labels, classes["class_key"] == labels["node"]).select("class_key", "group_key", "label"), "members")
@@ -232,7 +253,7 @@ def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
     expanded = crossing.join(member.withColumnRenamed("class_key", "a"), ["group_key", "label"]).join(
         member.select(F.col("class_key").alias("b"), F.col("group_key").alias("o_group_key"), F.col("label").alias("o_label")), ["o_group_key", "o_label"]
     )
-    links = _verified(docs, expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, levels, tenths)
+    links = _verified(docs, expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, ranks, tenths)
     ends = [member.select(F.col("class_key").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
     joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
     tops = components(member.select(F.col("label").alias("node")).distinct(), written(joined, "label-links"))
@@ -242,6 +263,15 @@ def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, tenths: int = 8) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: of each, the row with its smallest id.
+
+    Rows without shingles and rows without an id stay.
+    """
+    drop = near_components(docs, tenths).filter("component_id != doc_id").select(F.col("doc_id").alias("drop_id")).distinct()
+    return docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at Jaccard 0.8 over 5-word shingles."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,9 +1,9 @@
-"""Word-shingle sets of documents as 60-bit hashes, computed in numpy.
+"""Word-shingle sets of documents as 52-bit hashes, computed in numpy.
 
 A text is lower-cased (A-Z) and its words joined by single spaces, so that a
 shingle of k words is a substring; substring hashes come from prefix sums of a
 polynomial modulo 2^64 over random byte values.  Two different shingles of a
-corpus share a hash with a probability below 2^-55.
+pair of sets share a hash with a probability below 2^-45.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ _TOGETHER = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _VALUES = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-CELLS = 1 << 16
-MASK60 = np.uint64((1 << 60) - 1)
+#: Cells that shingle counts are folded into.
+CELLS = 1 << 20
+MASK = np.uint64((1 << 52) - 1)
 
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,18 +79,38 @@ def shingle_hashes(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], levels: np.ndarray | None = None, k: int = 5) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text, 60 bits each; ``levels`` (by cell) go in front, so common cells sort last."""
+def shingle_sets(texts: list[str | None], ranks: np.ndarray | None = None, k: int = 5) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text, 52 bits each; ``ranks`` (12 bits by cell) go in front, so rare cells sort first."""
     out = []
     for h in shingle_hashes(texts, k):
-        h &= MASK60
-        if levels is not None:
-            h |= levels[(h & np.uint64(CELLS - 1)).astype(np.int64)] << np.uint64(60)
+        h &= MASK
+        if ranks is not None:
+            h |= ranks[(h & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(52)
         h.sort()
         out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h)
     return out
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Parities of a set's hashes over a power of two of bits, about as many as it has members."""
+    bits = 1 << max(6, int(len(tokens) - 1).bit_length())
+    place = ((tokens & MASK) >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two signed sets."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n, m = len(a) * 8, len(b) * 8
+    while n > m:  # fold the larger one: parities of places that become one
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
 def set_key(tokens: np.ndarray) -> int:
     """A signed 64-bit key of a sorted array of hashes."""
     with np.errstate(over="ignore"):
