@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, packing, quality, token_store
+from . import decontam, ngram_join, packing, quality, secret_scan, token_store
 
-_MODULES = (token_store, ngram_join, packing, decontam, quality)
+_MODULES = (token_store, ngram_join, packing, secret_scan, decontam, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
