@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, packing, quality, secret_scan, token_store
+from . import decontam, licenses, ngram_join, packing, pii, pivot_search, quality, secret_scan, shards, token_store
 
-_MODULES = (token_store, ngram_join, packing, secret_scan, decontam, quality)
+_MODULES = (token_store, ngram_join, pivot_search, shards, packing, pii, licenses, secret_scan, decontam, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
