@@ -135,8 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window."""
-    hit = contamination(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
-    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_h")) & docs["doc_id"].eqNullSafe(F.col("hit_id"))
+    hit = contamination(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h")).distinct()
+    same = (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_varve_h")) & docs["doc_id"].eqNullSafe(F.col("_varve_id"))
     return docs.join(hit, same, "left_anti")
 
 

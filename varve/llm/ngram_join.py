@@ -268,8 +268,8 @@ def representatives(docs: DataFrame, tenths: int = 8) -> DataFrame:
 
     Rows without shingles and rows without an id stay.
     """
-    drop = near_components(docs, tenths).filter("component_id != doc_id").select(F.col("doc_id").alias("drop_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti")
+    drop = near_components(docs, tenths).filter("component_id != doc_id").select(F.col("doc_id").alias("_varve_id")).distinct()
+    return docs.join(drop, docs["doc_id"] == drop["_varve_id"], "left_anti")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 100.0, seed: int = 7) -> Model:
     """Softmax over averaged embeddings, by stochastic gradient descent."""
     share = labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(rows) or not 0 < share < 1:
         return Model(np.zeros(SIZE, np.int64), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20)))
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (SIZE, DIMENSIONS)).astype(np.float32)

@@ -79,16 +79,18 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return samples.select("label", value.alias("value")).filter(F.length("value") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
+def train(samples: DataFrame, backoff: float = 4.0) -> np.ndarray:
     """Log-likelihood ratio of each character pair, random (label 1) over ordinary (label 0).
 
-    What comes to the driver has a row at most for each label and pair.
+    Pairs back off to the share of their second character.  What comes to the driver has a row at most for each label and pair.
     """
     size = len(ALPHABET)
-    counts = np.full((2, size, size), smoothing)
+    counts = np.zeros((2, size, size))
     for r in pair_counts(samples).collect():
         counts[r.label, ALPHABET.index(r.pair[0]), ALPHABET.index(r.pair[1])] += r.n
-    chance = np.log(counts / counts.sum(axis=2, keepdims=True))
+    single = counts.sum(axis=1, keepdims=True) + 0.1
+    single /= single.sum(axis=2, keepdims=True)
+    chance = np.log((counts + backoff * single) / (counts.sum(axis=2, keepdims=True) + backoff))
     return chance[1] - chance[0]
 
 
@@ -142,7 +144,7 @@ def _listed(spans: Column) -> Column:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced, and ``n_chars`` (if there) counted anew."""
     found = secret_spans(docs).filter(F.size("found") > 0).dropDuplicates(["doc_id", "h"])
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "found")
+    found = found.select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h"), F.col("found").alias("_varve_spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
@@ -150,12 +152,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         new = F.when(span["start"] >= state["at"], F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), new.alias("out"))
 
-    joined = docs.join(found, (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("f_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("f_id")), "left")
-    last = F.aggregate("found", start, step)
+    joined = docs.join(found, (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_varve_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_varve_id")), "left")
+    last = F.aggregate("_varve_spans", start, step)
     clean = F.concat(last["out"], F.substr(F.col("text"), (last["at"] + 1).cast("int")))
-    joined = joined.withColumn("text", F.when(F.col("found").isNotNull(), clean).otherwise(F.col("text")))
+    joined = joined.withColumn("text", F.when(F.col("_varve_spans").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col("_varve_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 
 
