@@ -10,9 +10,10 @@
     signatures drop most that do not link, and whole sets verify the rest.
 
 Candidates are taken in two rounds, so that a large group of near copies never
-makes all its pairs.  The first links neighbours by size under each shingle;
-the second takes every pair whose sides are still in different components.
-A pair inside a component cannot change it, so components are exact.
+makes all its pairs.  The first links, under each shingle, neighbours by size
+and all with a hub; the second takes every pair whose sides are still in
+different components.  A pair inside a component cannot change it, so
+components are exact.
 
 Null and empty texts have no shingles and link with nothing.  Rows with equal
 sets link whatever their ids; a null id never becomes a component id unless
@@ -205,11 +206,35 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _bounded(n1: Column, at1: Column, n2: Column, at2: Column, tenths: int) -> Column:
-    """Size and positional bounds of a pair that shares the prefix shingle at these places."""
+    """Size and positional bounds at the first prefix shingle that two sets share.
+
+    Sets that link meet them there: they share nothing in front of that
+    shingle, so at most what follows it in either.  A pair need not meet them
+    at its other shared shingles, being found once is enough.
+    """
     sizes = (F.least(n1, n2) * 10) >= (F.greatest(n1, n2) * tenths)
-    # shared >= t / (1 + t) * (n1 + n2), and at most those before and after the two places
-    reach = F.least(at1, at2) + 1 + F.least(n1 - at1, n2 - at2) - 1
-    return sizes & (reach * (10 + tenths) >= (n1 + n2) * tenths)
+    # shared >= t / (1 + t) * (n1 + n2)
+    return sizes & (F.least(n1 - at1, n2 - at2) * (10 + tenths) >= (n1 + n2) * tenths)
+
+
+def _neighbours(shared: DataFrame, tenths: int) -> DataFrame:
+    """Pairs (group_key, other) that share a shingle and meet the bounds there: each place with the one before it by size, and with its hub.
+
+    The hub of a shingle and size class is the place nearest the front of its
+    set: a set with few rare shingles of its own, that links with nearly all
+    near copies that link with anything.
+    """
+    early = (F.col("n") - F.col("at")) * (10 + tenths) >= F.col("n") * (2 * tenths)
+    by_size = Window.partitionBy("token", "early").orderBy("n", "group_key")
+    by_place = Window.partitionBy("token", "class").orderBy("at", "n", "group_key").rowsBetween(Window.unboundedPreceding, 0)
+    placed = shared.withColumns({"early": early, "class": F.floor(F.log(F.col("n")) * 9)})
+    found = None
+    for other in (lambda c: F.lag(c).over(by_size), lambda c: F.first(c).over(by_place)):
+        near = placed.withColumns({f"other_{c}": other(c) for c in ("group_key", "n", "at")})
+        near = near.filter((F.col("other_group_key") != F.col("group_key")) & _bounded(F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), tenths))
+        near = near.select("group_key", F.col("other_group_key").alias("other"))
+        found = near if found is None else found.union(near)
+    return found.distinct()
 
 
 def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
@@ -222,15 +247,11 @@ def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
 
     places = full.filter("prefix is not null").select("n", "group_key", F.posexplode("prefix").alias("at", "token"))
     by_size = Window.partitionBy("token").orderBy("n", "group_key")
-    for name in ("group_key", "n", "at"):
-        places = places.withColumn(f"last_{name}", F.lag(name).over(by_size))
-    places = places.withColumn("next_group_key", F.lead("group_key").over(by_size))
-    differs = F.coalesce(F.col("last_group_key") != F.col("group_key"), F.lit(False))
-    shared = written(places.filter(differs | F.coalesce(F.col("next_group_key") != F.col("group_key"), F.lit(False))), "shared-places")
+    places = places.withColumn("last", F.lag("group_key").over(by_size)).withColumn("next", F.lead("group_key").over(by_size))
+    shared = written(places.filter("last != group_key or next != group_key").select("n", "group_key", "at", "token"), "shared-places")
 
     first = classes.groupBy("group_key").agg(F.min("class_key").alias("c"))
-    near = shared.filter(differs & _bounded(F.col("n"), F.col("at"), F.col("last_n"), F.col("last_at"), tenths))
-    near = near.select("group_key", F.col("last_group_key").alias("other")).distinct()
+    near = _neighbours(shared, tenths)
     near = near.join(first.withColumnRenamed("c", "a"), "group_key").join(first.select(F.col("group_key").alias("other"), F.col("c").alias("b")), "other").select("a", "b")
     inside = classes.select(F.lag("class_key").over(Window.partitionBy("group_key").orderBy("class_key")).alias("a"), F.col("class_key").alias("b")).filter("a is not null")
     ordered = near.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
