@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import arrow_map
+
 # fixed values: notices as the licenses' stewards word them
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -152,7 +154,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, leas
             found = [[dict(zip(("start", "end", "name", "coverage"), m)) for m in scanner.find(t)] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, kind)], names=["doc_id", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, matches array<struct<start:long,end:long,name:string,coverage:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow_map, scan, "doc_id long, matches array<struct<start:long,end:long,name:string,coverage:double>>")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

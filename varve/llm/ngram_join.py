@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import arrow_map, written
 from .shingles import CELLS, least_difference, set_key, shingle_sets, signature
 
 #: Bits of the fixed-size filter that keeps documents without candidates out of verification.
@@ -54,7 +54,7 @@ def _fold(df: DataFrame, parts: Callable, combine: Callable, size: int) -> bytes
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "data": [total]})
 
     schema = "chunk int, data binary"
-    found = {r.chunk: bytes(r.data) for r in df.mapInArrow(local, schema).groupBy("chunk").applyInPandas(merge, schema).collect()}
+    found = {r.chunk: bytes(r.data) for r in df.transform(arrow_map, local, schema).groupBy("chunk").applyInPandas(merge, schema).collect()}
     return b"".join(found.get(k, bytes(step)) for k in range(_CHUNKS))
 
 
@@ -111,7 +111,7 @@ def _sets(docs: DataFrame, ranks: np.ndarray, tenths: int) -> DataFrame:
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(build, "doc_id long, n long, class_key long, group_key long, prefix array<long>, signature binary")
+    return plain.transform(arrow_map, build, "doc_id long, n long, class_key long, group_key long, prefix array<long>, signature binary")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, tenths: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, tenths: int) -> DataFrame:
     for side in ("a", "b"):
         own = classes.select(F.col("class_key").alias(side), F.col("n").alias(f"n_{side}"), F.col("signature").alias(f"signature_{side}"))
         pairs = pairs.join(own, side)
-    return pairs.select("a", "b", "n_a", "signature_a", "n_b", "signature_b").mapInArrow(keep, "a long, b long")
+    return pairs.select("a", "b", "n_a", "signature_a", "n_b", "signature_b").transform(arrow_map, keep, "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ranks: np.ndarray, tenths: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ranks: np.n
             yield pa.record_batch([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["class_key", "tokens"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = plain.mapInArrow(gather, "class_key long, tokens binary").join(needed.select("class_key"), "class_key", "left_semi")
+    found = plain.transform(arrow_map, gather, "class_key long, tokens binary").join(needed.select("class_key"), "class_key", "left_semi")
     sets = written(found.groupBy("class_key").agg(F.first("tokens").alias("tokens")), "sets")
     left = sets.select(F.col("class_key").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("class_key").alias("b"), F.col("tokens").alias("right"))
@@ -179,7 +179,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ranks: np.n
             yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(joined.mapInArrow(verify, "a long, b long"), "links")
+    return written(joined.transform(arrow_map, verify, "a long, b long"), "links")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .session import written
+from .session import arrow_map, written
 
 #: Pieces packed together by one task; each group leaves at most a few sequences with a gap.
 GROUP = 40_000
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "slot", "piece", "start", "length", "ids_crc32"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(cut, "doc_id long, slot long, piece int, start long, length long, ids_crc32 long")
+    return plain.transform(arrow_map, cut, "doc_id long, slot long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(rows: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:

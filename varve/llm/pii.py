@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import arrow_map, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -134,7 +134,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             slot += n
 
     schema = "doc_id long, slot long, base array<struct<start:long,kind:int,end:long>>, occ array<struct<kind:int,start:long,end:long,pattern:string,instance:string,known:boolean>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow_map, scan, schema)
 
 
 def trusted_patterns(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import arrow_map, written
 
 PIVOTS = 24
 #: Queries that are sent to all tasks at once; their bytes are bounded by this and the dimension.
@@ -112,7 +112,7 @@ def _against(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -
         if held:
             yield found()
 
-    return vectors.mapInArrow(search, "query_id long, vec_id long, score long")
+    return vectors.transform(arrow_map, search, "query_id long, vec_id long, score long")
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 10) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import arrow_map
+
 #: Labelled rows learned from, at most: those with the smallest hash of their doc_id.
 SAMPLE_ROWS = 4000
 BITS = 13
@@ -160,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
                 names=["doc_id", "label", "buckets", "shares"],
             )
 
-    got = chosen.mapInArrow(count, "doc_id long, label int, buckets binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "buckets").limit(limit)
+    got = chosen.transform(arrow_map, count, "doc_id long, label int, buckets binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "buckets").limit(limit)
     got = got.toPandas()
     rows = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(s, "<f4")) for b, s in zip(got["buckets"], got["shares"])]
     return train(rows, got["label"].to_numpy(np.int64))
@@ -173,7 +175,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow_map, score, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -184,7 +186,7 @@ def kept(docs: DataFrame, model: Model, least: float) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch.column(place).to_pylist()) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(arrow_map, keep, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

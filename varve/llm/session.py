@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+#: Rows and bytes of an Arrow batch, unless the session sets its own: they bound what a worker holds of a table.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _written: list[str] = []
 
 
@@ -40,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with small batches, so that long texts and large sets stay within a worker's memory."""
+    conf = df.sparkSession.conf
+    for key, value in BATCH_LIMITS.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df.mapInArrow(function, schema)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this session has written to the shared folder."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts are hashed together up to about this many bytes.
-_TOGETHER = 4 << 20
+_TOGETHER = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _VALUES = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .session import fresh_path, written
+from .session import arrow_map, fresh_path, written
 
 #: Sequences in a record batch.
 BATCH = 256
@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, length: int = 20
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    index = written(ordered.mapInArrow(_writer(folder, vocabulary, length, end_id), "doc_id long, part long, file string, at long, n_tokens long"), "token-index")
+    index = written(ordered.transform(arrow_map, _writer(folder, vocabulary, length, end_id), "doc_id long, part long, file string, at long, n_tokens long"), "token-index")
     # one row per file, and so as many rows as there were tasks
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
