@@ -12,23 +12,25 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept by a worker; beyond it the memory starts anew (results do not change).
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which starts contractions
 #: Chunks that this pattern covers split as its alternatives do; all others go through the library's splitter.
 _PLAIN = re.compile(rf"(?: ?[{_LETTER}]+| ?[0-9]+| ?[{_PUNCT}]+|\n(?!\s))+\Z")
 _PIECE = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_PUNCT}]+|\n")
+_ENDS = frozenset(".,;:!?")
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _ODD_SPACE = [c + " " for c in _SPACES]
 _ODD_ASCII = [x for x in _ODD_SPACE if x.isascii()]
 _CUT = re.compile(r"(?<=\S)(?= )")
-_APART = "ă"  # byte 3 in the byte-level alphabet
+_APART_BYTE, _APART = "\x03", "ă"  # a byte and its letter in the byte-level alphabet
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -52,36 +54,55 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Put the ids of new chunks into ``parts``, by way of their distinct pieces."""
-        pieces, parts = self.pieces, self.parts
+    def _merge(self, pieces: list[str], shown: Callable[[str], str]) -> None:
+        """Put the ids of plain pieces into ``parts``; ``shown`` turns joined pieces to the byte-level alphabet."""
+        for k in range(0, len(pieces), 64):
+            some = pieces[k : k + 64]
+            tokens = array(self.code, [t.id for t in self.model.tokenize(shown(_APART_BYTE.join(some)))])
+            packed, width = tokens.tobytes(), tokens.itemsize
+            at = 0
+            for piece, end in zip(some, [*(np.flatnonzero(np.frombuffer(packed, self.dtype) == self.apart) * width).tolist(), len(packed)]):
+                self.parts[piece] = packed[at:end]
+                at = end + width
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Put the ids of new chunks into ``parts``, by way of their distinct pieces, which are chunks too."""
+        parts, odd = self.parts, self.pieces
+        ended: list[str] = []
         cut: dict[str, list[str]] = {}
+        new: set[str] = set()
         for c in chunks:
+            body = c[1:]
+            if c.isascii() and c[:1] == " ":
+                if body.isalpha():
+                    new.add(c)
+                    continue
+                if c[-1] in _ENDS and body[:-1].isalpha():
+                    ended.append(c)
+                    new.add(c[:-1])
+                    continue
             if _PLAIN.match(c):
-                cut[c] = [
-                    "Ġ" + p[1:] if p[0] == " " and p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-                    for p in _PIECE.findall(c)
-                ]
-            else:
-                cut[c] = [p for p, _ in self.split.pre_tokenize_str(c)]
-        new = []
-        for p in {p for own in cut.values() for p in own if p not in pieces}:
-            if _APART in p:
-                pieces[p] = array(self.code, [t.id for t in self.model.tokenize(p)]).tobytes()
-            else:
-                new.append(p)
-        for k in range(0, len(new), 256):
-            some = new[k : k + 256]
-            out, at = [], 0
-            for t in self.model.tokenize(_APART.join(some)):
-                if t.id == self.apart:
-                    pieces[some[at]] = array(self.code, out).tobytes()
-                    out, at = [], at + 1
-                else:
-                    out.append(t.id)
-            pieces[some[at]] = array(self.code, out).tobytes()
+                cut[c] = own = _PIECE.findall(c)
+                new.update(own)
+                continue
+            own = [p for p, _ in self.split.pre_tokenize_str(c)]
+            for p in own:
+                if p not in odd:
+                    odd[p] = array(self.code, [t.id for t in self.model.tokenize(p)]).tobytes()
+            parts[c] = b"".join([odd[p] for p in own])
+        if ended:
+            new.update(_ENDS)
+        plain: list[str] = []
+        other: list[str] = []
+        for p in new:
+            if p not in parts:
+                (plain if p.isascii() else other).append(p)
+        self._merge(plain, lambda joined: joined.replace(_APART_BYTE, _APART).replace(" ", "Ġ").replace("\n", "Ċ"))
+        self._merge(other, lambda joined: joined.encode().decode("latin-1").translate(self.letters))
+        for c in ended:
+            parts[c] = parts[c[:-1]] + parts[c[-1]]
         for c, own in cut.items():
-            parts[c] = b"".join([pieces[p] for p in own])
+            parts[c] = b"".join([parts[p] for p in own])
 
     def _chunks(self, text: str) -> list[str]:
         if "\0" in text or any(x in text for x in (_ODD_ASCII if text.isascii() else _ODD_SPACE)):
@@ -98,7 +119,7 @@ class Encoder:
         seen: set[str] = set()
         for chunks in cut:
             seen.update(chunks)
-        self._learn([c for c in seen if c not in self.parts])
+        self._learn(seen.difference(self.parts))
         part = self.parts.__getitem__
         return [
             b"".join(map(part, chunks)) if chunks or not t else array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes()
