@@ -111,6 +111,43 @@ def test_history_cycles(spark):
     assert {tuple(r) for r in history.cyclic(spark.createDataFrame(chain + ring, "src long, dst long")).select("src", "dst").collect()} == set(ring[:3])
 
 
+def trimmed(edges):
+    edges = set(edges)
+    while True:
+        starts, ends = {a for a, _ in edges}, {b for _, b in edges}
+        left = {(a, b) for a, b in edges if a in ends and b in starts}
+        if left == edges:
+            return left
+        edges = left
+
+
+def test_cycles_of_long_chains_and_random_graphs(spark):
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(1000)]
+    ring = [(2000 + i, 2000 + (i + 1) % 301) for i in range(301)]
+    ways = [(1000, 2000), (2007, 3000), (2100, 4000), *((3000 + i, 3001 + i) for i in range(400)), *((4000 + i, 4001 + i) for i in range(300)), (4300, 4299)]
+    acyclic = chain + [(9000 + i, 9000 + i + d) for i in range(8) for d in (1, 2)]
+    mixed = ring + ways + [(-1, -1), (-1, -2)] + [(10000 * k + rng.randrange(30), 10000 * k + rng.randrange(30)) for k in range(1, 20) for _ in range(10 + 2 * k)]
+    for g in (acyclic, chain + mixed, []):
+        got = history.cyclic(spark.createDataFrame(g, "src long, dst long")).collect()
+        assert sorted(tuple(r) for r in got) == sorted(trimmed(g))
+
+
+def test_history_cycles_takes_every_key(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from varve.plans import queries
+
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    keys = [0] * 400 + [7] * 150 + [9] * 2 + [11] + [12] * 30
+    rng.shuffle(keys)
+    rows = [(i, k, "view" if k == 12 and i % 2 else "click", start + timedelta(seconds=rng.randrange(300))) for i, k in enumerate(keys)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    writes = [k for _, k, kind, _ in rows if kind != "view"]
+    want = sum(n for n in map(writes.count, set(writes)) if n > 1)
+    assert queries.history_cycles(spark, str(tmp_path)).collect()[0].n == want
+
+
 def test_store_commits_atomically(spark, tmp_path):
     kv = KeyValue(VersionStore(spark, str(tmp_path / "log")))
     first = kv.set({b"a": b"1", b"b": b"2"})

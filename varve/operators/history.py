@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 SCHEMA = "type string, f string, process string, index bigint, time bigint, value array<array<string>>, hlc bigint, trace string, error string"
 
 
@@ -43,23 +45,68 @@ def dependencies(ops: DataFrame) -> DataFrame:
     return ww.unionByName(wr).unionByName(rw).unionByName(empty).filter("src != dst").distinct()
 
 
-def cyclic(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Edges (src, dst) that remain when transactions without a way in or out are trimmed again and again.
+def _pointers(preds: DataFrame) -> DataFrame:
+    """(node, up, rooted) of the nodes with one way in: the end of their way back, or rooted = false where it runs into a ring.
 
-    Empty when the graph has no cycle.  Each round is checkpointed; ``rounds``
-    bounds the longest chain that hangs on a cycle, not the cycles.
+    Pointers double.  The way of 2^k steps from a node and the one that goes on
+    from it share their smallest node only if they meet it twice, on a ring.
     """
-    edges = edges.select("src", "dst").distinct()
-    count = edges.count()
-    for _ in range(rounds):
-        inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        inner = inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
-        left = inner.count()
-        edges = inner
-        if left in (0, count):
-            break
+    live = written(preds.filter("lo = hi and lo != head").select(F.col("head").alias("node"), F.col("lo").alias("up"), F.col("head").alias("low")))
+    ready = None
+    while not live.isEmpty():
+        known = live.withColumn("rooted", F.lit(None).cast("boolean"))
+        known = known if ready is None else known.unionByName(ready)
+        ahead = known.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("low").alias("far_low"), "rooted", F.lit(True).alias("more"))
+        rooted = F.when(F.col("more").isNull(), True).when(F.col("rooted").isNotNull(), F.col("rooted")).when(F.col("low") == F.col("far_low"), False)
+        step = written(live.join(ahead, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.least("low", "far_low").alias("low"), rooted.alias("rooted")))
+        done = step.filter("rooted is not null")
+        ready = done if ready is None else ready.unionByName(done)
+        live = step.filter("rooted is null").drop("rooted")
+    return preds.sparkSession.createDataFrame([], live.select("node", "up", F.lit(True).alias("rooted")).schema) if ready is None else ready.select("node", "up", "rooted")
+
+
+def _fed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) whose src lies on a cycle or behind one.
+
+    Nodes without a way in go; a node with one way in is merged into the start
+    of that way, whole chains at once; one that a ring feeds gets a loop, so
+    that it stays.  Ends when neither finds a node.
+    """
+    # tail: what src is merged into; head: dst while it is not merged
+    active = edges.select("src", "dst", F.col("src").alias("tail"), F.col("dst").alias("head"))
+    merged = edges.select("src", "dst", F.col("src").alias("tail")).filter("false")
+    count = -1
+    while True:
+        fed = active.select(F.col("head").alias("tail")).distinct()
+        active, merged = written(active.join(fed, "tail", "left_semi")), written(merged.join(fed, "tail", "left_semi"))
+        preds = active.groupBy("head").agg(F.min("tail").alias("lo"), F.max("tail").alias("hi"))
+        pointers = _pointers(preds)
+        left = active.count() + merged.count()
+        if left == 0 or (left == count and pointers.isEmpty()):
+            return active.select("src", "dst").unionByName(merged.select("src", "dst"))
         count = left
-    return edges
+        at_head = pointers.select(F.col("node").alias("head"), "rooted")
+        at_tail = pointers.filter("rooted").select(F.col("node").alias("tail"), "up")
+        active = active.join(at_head, "head", "left").join(at_tail, "tail", "left")
+        tail = F.when(F.col("rooted") == F.lit(False), F.col("head")).otherwise(F.coalesce("up", "tail"))
+        active = written(active.select("src", "dst", tail.alias("tail"), "head", "rooted"))
+        merged = merged.join(at_tail, "tail", "left").select("src", "dst", F.coalesce("up", "tail").alias("tail"))
+        merged = merged.unionByName(active.filter("rooted").select("src", "dst", "tail"))
+        active = active.filter("rooted is null or not rooted").drop("rooted")
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) that remain when transactions without a way in or out are trimmed again and again.
+
+    Empty if, and only if, the graph has no cycle; what remains lies on a cycle
+    or on a way from one to another.  Chains are trimmed at once, in a number
+    of steps that grows with the logarithm of their length; a part in which
+    each transaction has several ways in and out takes a round a layer.
+    """
+    found = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    for _ in range(2):
+        found = _fed(found).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return found
 
 
 def aborted_reads(ops: DataFrame, failed: DataFrame) -> DataFrame:

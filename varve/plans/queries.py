@@ -276,13 +276,11 @@ def history_dependencies(spark, sf_dir):
 
 def history_cycles(spark, sf_dir):
     """ww chains are acyclic; one edge back from the last to the first write of a key makes a cycle of each."""
-    from ..sources.shared import ensure_checkpoints
-
-    ensure_checkpoints(spark)
-    ends = _ops(spark, sf_dir).filter("op = 'w' and key < 3")
-    chain = history.dependencies(ends).select("src", "dst")
-    back = ends.groupBy("key").agg(F.max_by("txn", "commit_ts").alias("src"), F.min_by("txn", "commit_ts").alias("dst")).filter("key = 1 and src != dst").select("src", "dst")
-    return history.cyclic(chain.unionByName(back), rounds=8).agg(F.count("*").alias("n"))
+    writes = _ops(spark, sf_dir).filter("op = 'w'")
+    chain = history.dependencies(writes).select("src", "dst")
+    at = F.struct("commit_ts", "txn")
+    back = writes.groupBy("key").agg(F.max_by("txn", at).alias("src"), F.min_by("txn", at).alias("dst")).filter("src != dst").select("src", "dst")
+    return history.cyclic(chain.unionByName(back)).agg(F.count("*").alias("n"))
 
 
 def partition_ids(spark, sf_dir):

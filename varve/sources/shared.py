@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="varve-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, its plan cut; a checkpoint keeps the plan's constraints, which grow in a loop."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/varve-round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
