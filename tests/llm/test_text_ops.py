@@ -209,6 +209,24 @@ def test_licenses(spark):
     assert licenses.align(list("axbyc"), list("abc")) == [(0, 0), (2, 1), (4, 2)]
 
 
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_repeated_licenses(name):
+    scan, template = licenses.Scanner({name: licenses.TEMPLATES[name]}), licenses.words_of(licenses.TEMPLATES[name])
+    for copies in (1, 2, 3, 20):
+        for between in ("", "x ", "x y "):
+            text, want = "foo ", []
+            for _ in range(copies):
+                notice = " ".join(template)
+                want.append((len(text), len(text) + len(notice), name, 1.0))
+                text += f"{notice} {between}"
+            assert scan.find(text + "bar") == want, (copies, between)
+    if len(template) >= 10:  # copies that lack a word each
+        for gone in range(1, len(template) - 1):
+            part = " ".join(template[:gone] + template[gone + 1 :])
+            got = scan.find(f"foo {part} {part} x {part} bar")
+            assert [(a, b) for a, b, _, _ in got] == [(4 + d, 4 + d + len(part)) for d in (0, len(part) + 1, 2 * len(part) + 4)], gone
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

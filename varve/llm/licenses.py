@@ -4,8 +4,10 @@ Words that are unique both in a stretch of text and in a template are anchors;
 the longest run of anchors in the same order is kept and the gaps between them
 are aligned alike.  Coverage is the share of the template's words so aligned.
 
-A stretch ends where one of the template's telling words comes again, so that
-repeated notices are matched one by one.  A template that covers ``least`` or
+A stretch ends where one of the template's telling words comes again or out of
+order, and starts behind the match before it, so that repeated notices are
+matched one by one, however close.  Matches of a template don't overlap; where a
+stretch gives none, the next telling word starts another.  A template that covers ``least`` or
 more must leave a telling word in the text, which makes the first filter exact.
 
 Null and empty texts match nothing; every row has a result of its own, repeated
@@ -112,6 +114,42 @@ class Scanner:
         self.templates = [(name, own, _telling(own, least)) for name, own in ((n, words_of(t)) for n, t in templates.items()) if own]
         self.telling = sorted({w for _, _, t in self.templates for w in t})
 
+    def _copies(self, words: list[str], hits: list[tuple[int, str]], template: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(first place, last place, aligned words) of the template's copies around hits, the places of its telling words."""
+        size, counts = len(template), Counter(template)
+        place = {w: j for j, w in enumerate(template) if counts[w] == 1}
+        k = floor = 0
+        while k < len(hits):
+            first, word = hits[k]
+            last, used, at, turn, n = first, Counter([word]), place.get(word, -1), None, k + 1
+            while n < len(hits) and hits[n][0] - last <= 2 * size and used[hits[n][1]] < counts[hits[n][1]]:
+                last, word = hits[n]
+                used[word] += 1
+                if turn is None and place.get(word, at) < at:
+                    turn = last
+                at = max(at, place.get(word, at))
+                n += 1
+            stop = min(len(words), last + size + 1)
+            again = min(stop, hits[n][0]) if n < len(hits) else stop
+            starts = {max(floor, first - size), max(floor, hits[k - 1][0] + 1 if k else 0, first - size)}
+            best: tuple[int, int, int] | None = None
+            for b in (turn, again, stop):
+                # a longer stretch wins if it aligns more and starts no later; over a repeated word only where nothing else is found
+                if b is None or (best and b == stop != again):
+                    continue
+                for a in sorted(starts):
+                    if sum((Counter(words[a:b]) & counts).values()) < self.least * size:
+                        continue
+                    pairs = align(words[a:b], template)
+                    if len(pairs) >= self.least * size and (best is None or (len(pairs) > best[2] and a + pairs[0][0] <= best[0])):
+                        best = (a + pairs[0][0], a + pairs[-1][0], len(pairs))
+            k += 1
+            if best:
+                yield best
+                floor = best[1] + 1
+                while k < len(hits) and hits[k][0] < floor:
+                    k += 1
+
     def find(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) of each match, in order."""
         low = text.lower() if text else ""
@@ -127,20 +165,8 @@ class Scanner:
         out = []
         for name, template, telling in self.templates:
             hits = sorted((i, w) for w in telling for i in where.get(w, ()))
-            size, k = len(template), 0
-            while k < len(hits):
-                first = last = hits[k][0]
-                counts = Counter(template)
-                used = Counter([hits[k][1]])
-                k += 1
-                while k < len(hits) and hits[k][0] - last <= 2 * size and used[hits[k][1]] < counts[hits[k][1]]:
-                    used[hits[k][1]] += 1
-                    last = hits[k][0]
-                    k += 1
-                a = max(0, first - size)
-                pairs = align(words[a : last + size + 1], template)
-                if len(pairs) >= self.least * size:
-                    out.append((spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1], name, len(pairs) / size))
+            for i, j, n in self._copies(words, hits, template):
+                out.append((spans[i][0], spans[j][1], name, n / len(template)))
         return sorted(out)
 
 
