@@ -130,6 +130,23 @@ def test_pivot_search(spark):
     assert pivot_search.best_of(x, np.arange(4000), x[:3], np.arange(3), 10)[3] < 3 * 4000  # bounds do eliminate
 
 
+def test_pivot_search_of_large_components(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(250)]
+    rows += [(300, [40000.0, -3e5, 2.5, 1e6]), (301, [1e6, 1e6, -1e6, 2e6]), (302, [-4e5] * 4), (400, [2.0**20, 2.0**20, 1.0, 0.0]), (401, [2.0**20, -(2.0**20), 3.0, 0.0]), (402, [-(2.0**38), 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    got = {}
+    for r in pivot_search.top_k(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, v in ok:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:10]
+            assert sorted(got[q]) == [(n, i, -x) for n, (x, i) in enumerate(best, 1)]
+    with pytest.raises(Exception, match="(?i)overflow|too large|out of"):
+        pivot_search.top_k(df.union(spark.createDataFrame([(403, [2.0**40] * 4)], df.schema)), F.col("vec_id") == 400).collect()
+
+
 def test_shards(spark, docs, tmp_path):
     rows = docs.select("doc_id", "text", "h")
     store = shards.ShardStore(spark, str(tmp_path / "s"), target=1 << 20)

@@ -12,8 +12,8 @@ vectors in parallel; every task gives the k best it has seen of each query.
 Components are floor(1024 x) as integers.  Vectors that are null, or hold a
 null or non-finite component, take no part; shorter ones count as padded with
 zeros.  Rows with the query's own id are not its candidates; repeated rows
-count each.  Components beyond 2^25 in size are clipped, which no finite
-embedding reaches.
+count each.  Components have no bound of their own; one that is no 64-bit
+integer is an error, and so is such a score among a query's best.
 """
 
 from __future__ import annotations
@@ -36,7 +36,11 @@ _TASK_ROWS = 8192
 
 def integer_vectors(table: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part, as arrays of long."""
-    scaled = F.transform("embedding", lambda x: F.floor(F.greatest(F.lit(-(2.0**25)), F.least(F.lit(2.0**25), x.cast("double") * 1024))))
+    def scaled_up(x: Column) -> Column:
+        y = x.cast("double") * 1024
+        return F.when((y >= -(2.0**63)) & (y < 2.0**63), F.floor(y)).otherwise(F.raise_error(F.lit("embedding component out of 64 bits")).cast("long"))
+
+    scaled = F.transform("embedding", scaled_up)
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return table.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).filter(fit).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.cast("array<long>").alias("v"))
 
@@ -58,12 +62,13 @@ def _pivots(width: int) -> np.ndarray:
 def best_of(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query, vector, score) of each query's k best among x, ties to the smaller id; and the products evaluated.
 
-    Values are integers in float64; products are summed in int64.
+    Values are integers in float64; products are summed in int64, or as Python's integers where that could overflow.
     """
     pivots = _pivots(x.shape[1])
     table = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
     own = np.stack([np.sqrt(((q - p) ** 2).sum(1)) for p in pivots], axis=1)
     x_norm, xi, qi = (x**2).sum(1), x.astype(np.int64), q.astype(np.int64)
+    x_most = np.abs(x).max(axis=1, initial=0.0)
     out, evaluated = [], 0
     for j in range(len(q)):
         lower = np.abs(table[:, 0] - own[j, 0])
@@ -72,21 +77,26 @@ def best_of(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray,
         lower = np.maximum(lower * (1 - 1e-9) - 1e-6, 0)
         norm = float(q[j] @ q[j])
         upper = (norm + x_norm - lower**2) / 2
-        upper += 1 + 1e-9 * np.abs(upper)
+        upper += 1 + 1e-9 * (norm + x_norm)
         upper[x_ids == q_ids[j]] = -np.inf
         order = np.argsort(-upper, kind="stable")
-        scores, ids, worst = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf
+        wide = x_most * np.abs(q[j]).max(initial=0.0) * x.shape[1] >= 2.0**62
+        exact = object if wide.any() else np.int64
+        scores, ids, worst = np.zeros(0, exact), np.zeros(0, np.int64), -np.inf
         for at in range(0, len(order), step):
             some = order[at : at + step]
             some = some[(upper[some] >= worst) & (upper[some] > -np.inf)]
             if not len(some):
                 break
             evaluated += len(some)
-            scores, ids = np.concatenate([scores, xi[some] @ qi[j]]), np.concatenate([ids, x_ids[some]])
-            top = np.lexsort((ids, -scores))[:k]
+            products = (xi[some] @ qi[j]).astype(exact)
+            for i in np.flatnonzero(wide[some]):
+                products[i] = sum(a * b for a, b in zip(xi[some[i]].tolist(), qi[j].tolist()))
+            scores, ids = np.concatenate([scores, products]), np.concatenate([ids, x_ids[some]])
+            top = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]) if exact is object else np.lexsort((ids, -scores))[:k]
             scores, ids = scores[top], ids[top]
             if len(top) == k:
-                worst = scores[-1]
+                worst = float(scores[-1])
         out.append((np.full(len(ids), q_ids[j]), ids, scores))
     return *(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)), evaluated
 
@@ -102,7 +112,7 @@ def _against(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -
             x = _matrix(table.column(1), width)
             q = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
             a, b, s, _ = best_of(x, table.column(0).to_numpy(), q, ids, k)
-            return pa.record_batch([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
+            return pa.record_batch([pa.array(a), pa.array(b), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             held.append(batch)
