@@ -110,24 +110,53 @@ def test_ngram_join(spark, docs, texts):
     assert kept == {c for d, _, c in got if d == c} | {d for d, _, _ in got if d is None}
 
 
+def best_ten(rows):
+    """Each query row's ten best, as a sorted list of (query, [(vec_id, score), ...])."""
+    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(ok):
+        if q % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(ok) if m != n)[:10]
+            out.append((q, [(i, -x) for x, i in s]))
+    return sorted(out)
+
+
+def found_ten(found):
+    """The result as best_ten's; a repeated query's rows are told apart by rank, its results being the same multiset."""
+    by = {}
+    for r in found.orderBy("query_id", "rank", "vec_id").collect():
+        by.setdefault(r.query_id, {}).setdefault(r.rank, []).append((r.vec_id, r.score))
+    return by
+
+
 def test_pivot_search(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8) / 3]) for i in range(330)]
-    rows += [(400 + i, rows[7][1]) for i in range(15)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (600, [0.5] * 3), (7, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
-    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    rows += [(400 + i, rows[7][1]) for i in range(15)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (600, [0.5] * 3), (7, rows[7][1]), (None, rows[3][1])]
+    rows += [(700, rows[5][1])] * 3 + [(800, rows[9][1]), (800, rows[11][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("slot", F.lit(1)).withColumn("far", F.lit(2))
     want = {}
-    for q, v in ok:
-        if q % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:10]
-            want[q] = [(i, -x) for x, i in s]
-    got = {}
-    for r in pivot_search.top_k(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == want
+    for q, own in best_ten(rows):
+        for rank, x in enumerate(own, 1):
+            want.setdefault(q, {}).setdefault(rank, []).append(x)
+    got = found_ten(pivot_search.top_k(df, F.col("vec_id") % 100 == 0))
+    assert {q: {r: sorted(x) for r, x in own.items()} for q, own in got.items()} == {q: {r: sorted(x) for r, x in own.items()} for q, own in want.items()}
+    assert len(got[700][1]) == 3 and len(got[800][10]) == 2
     assert pivot_search.top_k(df.filter("false"), F.col("vec_id") % 100 == 0).isEmpty()
+    assert pivot_search.top_k(df.limit(1), F.col("vec_id") % 100 == 0).isEmpty()
     x = np.round(rng.normal(size=(4000, 8)) * 300)
-    assert pivot_search.best_of(x, np.arange(4000), x[:3], np.arange(3), 10)[3] < 3 * 4000  # bounds do eliminate
+    best = pivot_search.Best(x[:3], np.arange(3), pivot_search.distances(x[:3]), 10)
+    best.offer(x, np.arange(4000), np.arange(4000), pivot_search.distances(x))
+    assert best.evaluated < 3 * 4000  # bounds do eliminate
+
+
+def test_pivot_search_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pivot_search, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i * 25, [float(x) for x in rng.normal(size=5)]) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = found_ten(pivot_search.top_k(df, F.col("vec_id") % 100 == 0))
+    assert sorted((q, [own[r][0] for r in range(1, 11)]) for q, own in got.items()) == best_ten(rows)
 
 
 def test_pivot_search_of_large_components(spark):
@@ -135,14 +164,8 @@ def test_pivot_search_of_large_components(spark):
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(250)]
     rows += [(300, [40000.0, -3e5, 2.5, 1e6]), (301, [1e6, 1e6, -1e6, 2e6]), (302, [-4e5] * 4), (400, [2.0**20, 2.0**20, 1.0, 0.0]), (401, [2.0**20, -(2.0**20), 3.0, 0.0]), (402, [-(2.0**38), 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    ok = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]
-    got = {}
-    for r in pivot_search.top_k(df, F.col("vec_id") % 100 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    for q, v in ok:
-        if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:10]
-            assert sorted(got[q]) == [(n, i, -x) for n, (x, i) in enumerate(best, 1)]
+    got = found_ten(pivot_search.top_k(df, F.col("vec_id") % 100 == 0))
+    assert sorted((q, [own[r][0] for r in range(1, 11)]) for q, own in got.items()) == best_ten(rows)
     with pytest.raises(Exception, match="(?i)overflow|too large|out of"):
         pivot_search.top_k(df.union(spark.createDataFrame([(403, [2.0**40] * 4)], df.schema)), F.col("vec_id") == 400).collect()
 

@@ -19,9 +19,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(shared_dir, "own", None)
         if path is None:
             path = shared_dir.own = tempfile.mkdtemp(prefix="varve-")
@@ -53,9 +55,11 @@ def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> Da
     return df.mapInArrow(function, schema)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this session has written to the shared folder."""
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete what this session has written to the shared folder, but for the paths ``keep``."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = [p for p in _written if p not in keep]
+    _written[:] = [p for p in _written if p in keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
