@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+    """Use ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs on this machine, as in tests."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="varve-"))
 
 
