@@ -171,17 +171,80 @@ def test_pivot_search_of_large_components(spark):
 
 
 def test_shards(spark, docs, tmp_path):
-    rows = docs.select("doc_id", "text", "h")
+    rows = docs.select("doc_id", "text", "h").withColumn("shard", F.lit("own"))
     store = shards.ShardStore(spark, str(tmp_path / "s"), target=1 << 20)
+    assert store.read().isEmpty() and store.compact() == 0 == store.vacuum()
     for k in range(5):
         store.append(rows.withColumn("arrival", F.lit(k)))
     before = store.version()
-    assert len(store.manifest()) >= 5
+    assert len(store.manifest()) >= 5 and len(store.head().segments) < 5
     store.compact()
     assert len(store.manifest()) == 1 and store.read().count() == 5 * rows.count() == store.read(before).count()
-    with pytest.raises(RuntimeError):
-        store._commit([], before)
-    assert store.vacuum() >= 5 and store.read().drop("shard").exceptAll(rows.selectExpr("*", "0 arrival").union(rows.selectExpr("*", "1 arrival")).union(rows.selectExpr("*", "2 arrival")).union(rows.selectExpr("*", "3 arrival")).union(rows.selectExpr("*", "4 arrival"))).isEmpty()
+    for publish in (store._publish, store._rename):
+        store._publish = publish
+        with pytest.raises(shards.Conflict):
+            store._commit(shards.Manifest(), before)
+    assert store.vacuum() >= 5 and store.vacuum() == 0 and store._versions() == [store.version()]
+    want = Counter((r.doc_id, r.text, r.h, "own", k) for r in rows.collect() for k in range(5))
+    assert Counter(tuple(r) for r in store.read().collect()) == want
+    with pytest.raises(ValueError):
+        store.read(shard="Shard")
+    assert store.read(shard="file").select("file").distinct().count() == 1
+
+
+def test_shards_keep_new_columns_and_refuse_other_types(spark, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    for k in range(4):
+        store.append(spark.createDataFrame([(k, None if k else "x" * 100_000)], "a long, text string"))
+    store.append(spark.createDataFrame([], "a long, later double"))
+    for k in range(4, 8):
+        store.append(spark.createDataFrame([("e", k)], "extra string, A long"))
+    want = Counter([(k, None if k else "x" * 100_000, None, None) for k in range(4)] + [(k, None, None, "e") for k in range(4, 8)])
+    for _ in range(2):
+        assert store.read().columns == ["a", "text", "later", "extra"] and Counter(tuple(r) for r in store.read().collect()) == want
+        store.compact()
+        store.vacuum()
+    version = store.version()
+    with pytest.raises(shards.SchemaConflict):
+        store.append(spark.createDataFrame([("x",)], "a string"))
+    assert store.version() == version and store.append(spark.createDataFrame([], "a long")) == version + 1
+
+
+def test_shards_of_racing_writers(spark, tmp_path):
+    one, two = (shards.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    one.append(spark.createDataFrame([(0,)], "a long"))
+    after, publish, done = one.version(), one._publish, []
+
+    def second_first(temporary, name):  # the other writer publishes when this one is about to
+        if not done:
+            done.append(two.append(spark.createDataFrame([(2,)], "a long")))
+        publish(temporary, name)
+
+    one._publish = second_first
+    assert one.append(spark.createDataFrame([(1,)], "a long")) == after + 2 and done == [after + 1]
+    assert sorted(r.a for r in one.read(after + 1).collect()) == [0, 2]
+    for k in (3, 4, 5):
+        two.append(spark.createDataFrame([(k,)], "a long"))
+    done.clear()
+    listed, took = one._listed, []
+
+    def second_merges(folder, schema):  # the other writer merges the same shards meanwhile
+        if not took:
+            took.append(two.compact())
+        return listed(folder, schema)
+
+    one._listed = second_merges
+    one.compact()
+    assert took and sorted(r.a for r in two.read().collect()) == [0, 1, 2, 3, 4, 5]
+    assert not list((tmp_path / "s" / "manifests").glob("*.tmp"))
+
+
+def test_sharding_query_of_an_empty_table(spark, docs, tmp_path):
+    docs.filter("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert shards.op4_sharding(spark, str(tmp_path)).isEmpty()
+    store = shards.ingest(docs, str(tmp_path / "s"), target=1 << 20)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, store.read().collect()), key=key) == sorted(map(tuple, docs.collect()), key=key)
 
 
 @pytest.mark.parametrize("seed", range(3))
