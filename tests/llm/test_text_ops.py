@@ -360,10 +360,10 @@ def item_words(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(8)
     items = [(1, words(rng, 14)), (2, "Ünly, FOUR wörds here!"), (3, words(rng, 10)), (4, None), (5, "--"), (6, words(rng, 14, 3)), (7, "tiny"), (1, "tiny")]
-    rows = [(i, words(rng, rng.randrange(60), 6)) for i in range(20)] + [(30, f"x y {items[0][1].upper()} z"), (31, "so ünly four;wörds...here"), (32, " ".join(items[0][1].split()[2:12] + items[2][1].split())), (33, None), (34, ""), (35, "tiny"), (35, "tiny"), (None, "a tiny one"), (36, words(rng, 400, 3))]
+    rows = [(i, words(rng, rng.randrange(60), 6)) for i in range(20)] + [(30, f"x y {items[0][1].upper()} z"), (31, "so ünly four;wörds...here"), (32, " ".join(items[0][1].split()[2:12] + items[2][1].split())), (33, None), (34, ""), (35, "tiny"), (35, "tiny"), (None, "a tiny one"), (36, words(rng, 400, 3)), (37, words(rng, 60_000, 9) + " " + items[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("token", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("len", F.lit(1))
     wins = {(i, tuple(w[k : k + 10])) for i, t in items for w in [item_words(t)] if w for k in range(max(1, len(w) - 9))}
@@ -376,11 +376,12 @@ def test_decontamination(spark):
                     hit.update(range(s, s + len(win)))
                     found.add(str(i))
         want[(d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
-    for bound in (decontam.BROADCAST_TOKENS, -1):  # by broadcast and by sort-merge join
-        decontam.BROADCAST_TOKENS, kept = bound, decontam.BROADCAST_TOKENS
-        got = Counter(tuple(r) for r in decontam.contamination(docs, bench).drop("h").collect())
-        decontam.BROADCAST_TOKENS = kept
-        assert got == want
+    assert Counter(tuple(r) for r in decontam.contamination(docs, bench).drop("h").collect()) == want
+    monkeypatch.setattr(decontam, "FILTER_ROWS", 1)  # a filter that lets much through, and joins by sorting
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert Counter(tuple(r) for r in decontam.contamination(docs, bench).drop("h").collect()) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert decontam.contamination(docs.filter("false"), bench).isEmpty()
     assert not decontam.contamination(docs, bench.filter("false")).filter("contaminated").count()
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {k[0] for k in want if not k[-1]}

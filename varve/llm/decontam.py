@@ -3,12 +3,19 @@
 Every window of ``size`` item words (a shorter item is one window) is a set of
 word shingles.  A document can hold a window only if it holds all its shingles,
 so for exact containment one necessary prefix token is enough: the rarest of
-the window's shingles, by counts over all documents.  Candidates that the
-length and positional bounds leave are verified word by word.
-
-Null and empty texts have no words.  Repeated rows get a row each; repeated
-items count once; an item without an id gives hits but no item.  Either table
-may be empty; extra columns are ignored.
+the window's shingles, by counts over all documents.  Documents post the places
+of prefix tokens only; candidates that the length and positional bounds leave
+are verified word by word.
+
+Texts are never shuffled.  Documents are read twice, to count the benchmark's
+shingles and to post the places of prefix tokens with the few words around
+them; both times a bit table of fixed size (``FILTER_ROWS`` rows, broadcast)
+drops nearly all other places before anything moves.  What it lets through is
+joined by the token itself, however large the benchmark is.
+
+Null and empty texts have no words, very long ones are taken whole.  Repeated
+rows get a row each; repeated items count once; an item without an id gives
+hits but no item.  Either table may be empty; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +30,8 @@ from .session import written
 
 #: Words in a prefix token.
 SHINGLE = 3
-#: Distinct benchmark shingles (16 bytes each) up to which they are broadcast; beyond, a sort-merge join.
-BROADCAST_TOKENS = 250_000
+#: Rows of 64 bits (16 bytes a row with its number) of the broadcast filter, whatever the size of the benchmark.
+FILTER_ROWS = 1 << 18
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,65 +51,82 @@ def _token(words: Column, at: Column, k: int) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Distinct windows: win (words), len, items (ids that have it)."""
+    """Distinct pairs of an item and a window: item_id, win (words), len, win_id (a 128-bit hash of the words)."""
     words = F.filter(split_words(F.col("text")), lambda w: w != "")
     items = benchmark.select(F.col("item_id"), words.alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (size - 1), F.lit(1)))
     each = items.select("item_id", "words", F.explode(starts).alias("s")).select("item_id", F.slice("words", F.col("s"), size).alias("win"))
-    return each.groupBy("win").agg(F.collect_set("item_id").alias("items")).withColumn("len", F.size("win"))
+    return each.distinct().withColumn("len", F.size("win")).withColumn("win_id", F.md5(F.array_join("win", " ")))
+
+
+def bit_table(tokens: DataFrame) -> DataFrame:
+    """A set of tokens as at most FILTER_ROWS rows (row, bits)."""
+    bit = F.expr("shiftleft(1L, cast(shiftright(token, 40) & 63 as int))")
+    return tokens.groupBy(F.col("token").bitwiseAND(F.lit(FILTER_ROWS - 1)).alias("row")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _filtered(places: DataFrame, bits: DataFrame, marked: bool = False) -> DataFrame:
+    """Places whose token may be in the table; with ``marked``, those with at < 0 too."""
+    row = F.col("token").bitwiseAND(F.lit(FILTER_ROWS - 1))
+    if marked:
+        row = F.when(F.col("at") >= 0, row)
+    joined = places.withColumn("row", row).join(F.broadcast(bits), "row", "left" if marked else "inner")
+    hit = F.getbit("bits", F.expr("cast(shiftright(token, 40) & 63 as int)")) == 1
+    return joined.filter((F.col("at") < 0) | F.coalesce(hit, F.lit(False)) if marked else hit).drop("row", "bits")
+
+
+def _places(docs: DataFrame, k: int, first: int = 0) -> DataFrame:
+    """Every place ``at`` (from ``first``) of ``k`` words in a document, with its token and the document's words ``w``."""
+    words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), split_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    if first == 0:
+        words = words.filter(F.col("n") >= k)
+    each = words.select("*", F.explode(F.sequence(F.lit(first), F.greatest(F.col("n") - k, F.lit(first)))).alias("at"))
+    return each.withColumn("k", F.lit(k)).withColumn("token", _token(F.col("w"), F.greatest("at", F.lit(0)), k))
+
+
+def counts(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
+    """token, k, df: how often the documents hold each of ``tokens`` (and, of others, some that the filter lets through)."""
+    bits = written(bit_table(tokens), "token-bits")
+    found = [_filtered(_places(docs, k).select("at", "token", "k"), bits) for k in sizes]
+    return reduce(DataFrame.unionByName, found).groupBy("token", "k").agg(F.count("*").alias("df"))
 
 
-def postings(docs: DataFrame, tokens: DataFrame, size: int, broadcast: bool, sizes: list[int]) -> DataFrame:
-    """Places of benchmark shingles in documents, and a row with at = -1 for every document.
+def postings(docs: DataFrame, tokens: DataFrame, size: int, sizes: list[int]) -> DataFrame:
+    """Places that the filter of ``tokens`` lets through, and a row with at = -1 and the number of words for every document.
 
     ``context`` has the words around the place, from ``lo`` on, that any
-    window with the shingle could take.
+    window with the token could take.
     """
-    words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), split_words(F.col("text")).alias("w"))
-    words = words.withColumn("n", F.size("w"))
-    found = []
-    for k in sizes:
-        place = F.explode(F.sequence(F.lit(-1 if k == sizes[0] else 0), F.greatest(F.col("n") - k, F.lit(-1 if k == sizes[0] else 0)))).alias("at")
-        token = F.when(F.col("at") < 0, F.lit(0)).otherwise(F.lit(k))
-        each = words.select("doc_id", "h", "w", "n", place).withColumn("k", token)
-        each = each.withColumn("token", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(_token(F.col("w"), F.col("at"), k)))
-        keys = tokens.filter(F.col("k").isin(0, k) if k == sizes[0] else F.col("k") == k).select("token", F.col("k").alias("key_k"))
-        keys = F.broadcast(keys) if broadcast else keys.hint("merge")
-        joined = each.join(keys, (each["token"] == keys["token"]) & (each["k"] == keys["key_k"])).drop(keys["token"])
-        lo = F.greatest(F.col("at") - (size - k), F.lit(0))
-        found.append(
-            joined.select(
-                "doc_id", "h", "at", "k", "token", "n", lo.alias("lo"),
-                F.when(F.col("at") >= 0, F.slice("w", lo + 1, F.col("at") - lo + size)).alias("context"),
-                (F.col("n") - (F.get("w", F.lit(0)) == "").cast("int") - ((F.col("n") > 1) & (F.get("w", F.col("n") - 1) == "")).cast("int")).cast("long").alias("n_words"),
-            )
-        )
+    bits = written(bit_table(tokens), "prefix-bits")
+    at, n, found = F.col("at"), F.col("n"), []
+    for i, k in enumerate(sizes):
+        near = _filtered(_places(docs, k, 0 if i else -1), bits, marked=not i)
+        lo = F.greatest(at - (size - k), F.lit(0))
+        count = n - (F.get("w", F.lit(0)) == "").cast("int") - ((n > 1) & (F.get("w", n - 1) == "")).cast("int")
+        found.append(near.select("doc_id", "h", "at", "k", "token", "n", lo.alias("lo"), F.when(at >= 0, F.slice("w", lo + 1, at - lo + size)).alias("context"), F.when(at < 0, count.cast("long")).alias("n_words")))
     return reduce(DataFrame.unionByName, found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Per row of ``docs``: doc_id, h (hash of its text), n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    wins = written(windows(benchmark, size).withColumn("win_id", F.xxhash64("win")), "windows")
-    wins = wins.withColumn("k", F.least("len", F.lit(SHINGLE)))
+    named = written(windows(benchmark, size), "windows").withColumn("k", F.least("len", F.lit(SHINGLE)))
+    wins = named.select("win_id", "win", "len", "k").distinct()
     sizes = sorted((r.k for r in wins.select("k").distinct().collect()), reverse=True) or [SHINGLE]
     offsets = F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off")
     parts = wins.select("win_id", "win", "len", "k", offsets)
-    shingles = reduce(DataFrame.unionByName, [parts.filter(F.col("k") == k).withColumn("token", _token(F.col("win"), F.col("off"), k)) for k in sizes])
-    mark = spark.range(1).select(F.lit(0).cast("long").alias("token"), F.lit(0).alias("k"))
-    tokens = written(shingles.select("token", "k").distinct().unionByName(mark), "tokens")
-    post = written(postings(docs, tokens, size, tokens.count() <= BROADCAST_TOKENS, sizes), "postings")
-    places = post.filter(F.col("at") >= 0)
+    shingles = written(reduce(DataFrame.unionByName, [parts.filter(F.col("k") == k).withColumn("token", _token(F.col("win"), F.col("off"), k)) for k in sizes]), "shingles")
 
     # rarity over all documents; a window with an absent shingle occurs nowhere
-    rarity = places.groupBy("token", "k").agg(F.count("*").alias("df"))
+    rarity = counts(docs, shingles.select("token"), sizes)
     ranked = shingles.join(rarity, ["token", "k"], "left").groupBy("win_id", "len").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "token", "k")).alias("rarest"), F.first("win").alias("win")
     )
-    prefix = ranked.filter(F.col("rarest.df") > 0).select("win_id", "win", "len", "rarest.off", "rarest.token", "rarest.k")
+    prefix = written(ranked.filter(F.col("rarest.df") > 0).select("win_id", "win", "len", "rarest.off", "rarest.token", "rarest.k"), "prefixes")
+    post = written(postings(docs, prefix.select("token"), size, sizes), "postings")
     start = F.col("at") - F.col("off")
     found = (
-        places.join(prefix, ["token", "k"])
+        post.filter(F.col("at") >= 0)
+        .join(prefix, ["token", "k"])
         .withColumn("start", start)
         .filter((F.col("start") >= F.col("lo")) & (F.col("start") + F.col("len") <= F.col("n")))
         .filter(F.slice("context", F.col("start") - F.col("lo") + 1, F.col("len")) == F.col("win"))
@@ -115,8 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     end = F.col("start") + F.col("len")
     spans = found.select(*key, "start", "len").distinct().withColumn("covered", F.coalesce(F.max(end).over(before), F.lit(0)))
     hits = spans.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "covered"))).alias("n_hit"))
-    named = wins.select("win_id", F.explode("items").alias("item"))
-    items = found.select(*key, "win_id").distinct().join(named, "win_id").select(*key, F.col("item").cast("string").alias("item")).distinct()
+    ids = named.filter(F.col("item_id").isNotNull()).select("win_id", F.col("item_id").cast("string").alias("item"))
+    items = found.select(*key, "win_id").distinct().join(ids, "win_id").select(*key, "item").distinct()
     listed = items.groupBy(*key).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("listed"))
     rows = post.filter(F.col("at") < 0).select("doc_id", "h", "n_words")
     for side in (hits, listed):
