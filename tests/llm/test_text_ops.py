@@ -290,15 +290,90 @@ def test_base_spans_of_personal_data():
     pii.base_spans("a" * 200_000 + "@" + "1" * 200_000)
 
 
+def brute_trust(rows):
+    """Bootstrapping in plain Python: kept (kind, pattern) after the rounds."""
+    graph = {}
+    for k, p, i, known in rows:
+        graph[k, p, i] = graph.get((k, p, i), False) or known
+    known = {}
+    for (k, _, i), f in graph.items():
+        known[k, i] = max(known.get((k, i), 0.0), float(f))
+    score, kept = dict(known), {}
+    for _ in range(pii.ROUNDS):
+        by = {}
+        for k, p, i in graph:
+            by.setdefault((k, p), []).append(score[k, i])
+        kept = {x: sum(v) / len(v) for x, v in by.items() if sum(v) >= pii.SUPPORT and sum(v) / len(v) >= pii.CONFIDENCE}
+        score = dict(known)
+        for k, i in known:
+            doubt = 1.0
+            for x, share in kept.items():
+                if (*x, i) in graph and x[0] == k:
+                    doubt *= max(1 - 0.9 * share, 1e-6)
+            score[k, i] = max(known[k, i], 1 - doubt if doubt < 1 else 0.0)
+    return set(kept)
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(900):  # the later a pattern, the more of its instances are unknown
+        p, i = rng.randrange(40), rng.randrange(150)
+        known = rng.random() > p / 40
+        rows.append((p % 2, f"p{p}", f"{'i' if known else 'u'}{i}", known and rng.random() < 0.9))
+    rows += [(3, "p", f"a{i}", True) for i in range(6)] + [(3, "p", "new", False)] + [(3, "q", "new", False)] + [(3, "q", f"b{i}", True) for i in range(9)]
+    got = pii.trusted_patterns(spark.createDataFrame(rows, "kind int, pattern string, instance string, known boolean")).collect()
+    want = brute_trust(rows)
+    assert {tuple(r) for r in got} == want and (3, "q") in want and 5 < len(want) < 35, want
+
+
 def test_bootstrap_finds_unseen(spark, docs):
     rows = [(i, f"filler {i} text. mail me u{i}@x{i}.org today") for i in range(12)] + [(50, "so mail me root@localhost now"), (51, "see also root@elsewhere now"), (52, None), (53, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1))
-    got = {r.doc_id: r for r in pii.personal_spans(df).collect()}
-    assert len(got) == len(rows) and [rows[12][1][a.start : a.end] for a in got[50].added] == ["root@localhost"]
-    assert not got[51].added and not got[52].base and not got[53].base
+    rows += [(60 + i, f"{i} {'w' * 300}{i % 2} 10.0.0.{i} {'v' * 5000} end") for i in range(12)] + [(80, f"at {'w' * 300}0 300.1.2.3 {'v' * 5000} end"), (81, f"at {'w' * 300}2 300.1.2.3 {'v' * 4999} end")]
+    rows += [(90, rows[12][1]), (90, rows[12][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("pattern", F.lit("x"))
+    by = {}
+    for r in pii.personal_spans(df).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, by.values())) == len(rows) and all(rows[12][1][a.start : a.end] == "root@localhost" for d in (50, 90) for r in by[d] for a in r.added)
+    assert len(by[50][0].added) == 1 and len(by[90]) == 2 and len(by[90][1].added) == 1
+    assert not by[51][0].added and not by[52][0].base and not by[53][0].base
+    assert [(a.kind, a.end - a.start) for a in by[80][0].added] == [(1, 9)] and not by[81][0].added
     assert pii.personal_spans(df.filter("false")).isEmpty()
 
 
+def test_bootstrap_on_planted_contexts(spark):
+    """Looser identifiers in the contexts of strict ones are found, those elsewhere are not."""
+    rng = random.Random(15)
+    filler = lambda: " ".join(rng.choice(["red", "green", "blue", "one", "two", "three", "tall", "short"]) + rng.choice("abcdefgh") for _ in range(12))
+    strict = {0: lambda: f"u{rng.randrange(10**6)}@mail{rng.randrange(9)}.org", 1: lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), 3: lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"}
+    loose = {0: lambda: f"u{rng.randrange(10**6)}@host{rng.randrange(99)}", 1: lambda: f"{rng.randrange(256, 999)}.1.{rng.randrange(99)}.4", 3: lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"}
+    context = {0: "write to {} for details", 1: "connected from {} over tls", 3: "please call {} before noon"}
+    rows, want = [], {}
+    for i in range(600):
+        k = rng.choice([0, 1, 3])
+        unseen = i % 8 == 0
+        value = (loose if unseen else strict)[k]()
+        own = context[k] if i % 24 else "{}"  # a third of the unseen ones stand anywhere
+        text = f"{filler()} {own.format(value)} {filler()}"
+        rows.append((i, text))
+        if unseen and i % 12:
+            want[i] = (text.index(value), k, text.index(value) + len(value))
+    got = {r.doc_id: [tuple(a) for a in r.added] for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(x in got[d] for d, x in want.items())
+    wrong = sum(len(own) for d, own in got.items() if d not in want)
+    assert found == len(want) and wrong == 0
+
+
+def test_scanning_long_texts_takes_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a" * 2_000_000 + "@", "1." * 1_000_000, "@" * 500_000, "x@y " * 200_000, "1" * 2_000_000 + " 1.2.3.4"):
+        pii.occurrences(text, pii.base_spans(text))
+    assert time.time() - began < 60
+
+
 def test_licenses(spark):
     scan = licenses.Scanner()
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-header"]
@@ -356,6 +431,78 @@ def test_secrets(spark):
     assert secret_scan.secret_spans(df.filter("false")).isEmpty()
 
 
+def test_markov_models_equal_brute_force(spark):
+    rng = random.Random(12)
+    alphabet = secret_scan.ALPHABET
+    samples = [(k, "".join(rng.choice(alphabet[:: 2 - k]) for _ in range(rng.randrange(30)))) for k in (0, 1) for _ in range(80)] + [(1, "ü a!b"), (0, None), (1, "")]
+    counts = np.zeros((2, len(alphabet), len(alphabet)))
+    for k, v in samples:
+        v = [c for c in v or "" if c in alphabet]
+        for a, b in zip(v, v[1:]):
+            counts[k, alphabet.index(a), alphabet.index(b)] += 1
+    chance = np.zeros_like(counts)
+    for k in (0, 1):
+        single = counts[k].sum(0) + 0.1
+        for a in range(len(alphabet)):
+            for b in range(len(alphabet)):
+                chance[k, a, b] = np.log((counts[k, a, b] + 4 * single[b] / single.sum()) / (counts[k, a].sum() + 4))
+    model = secret_scan.train(spark.createDataFrame(samples, "label int, value string"))
+    assert np.allclose(model, chance[1] - chance[0])
+    tokens = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 60))) for _ in range(40)] + ["a", ""]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.ratio(F.col("t"), model).alias("r")).collect()
+    for r in got:
+        want = sum(model[alphabet.index(a), alphabet.index(b)] for a, b in zip(r.t, r.t[1:]))
+        assert abs(r.r - want) < 1e-4 * max(1, len(r.t))
+    assert {len(set(r.value)) > 5 for r in secret_scan.generated(spark, 20).collect()} == {True}
+
+
+def planted(spark, texts, seed=3):
+    """Documents with a random token each, others with an identifier each: rows and the planted strings."""
+    rng = random.Random(seed)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    plain = ["session_handler", "getElementById", "partition-map", "src/main/resources", "MAX_BUFFER_SIZE", "internationalization", "release/2023-11-05"]
+    rows, found = [], {}
+    for i in range(300):
+        secret = i % 2 == 0
+        token = "".join(rng.choice(alphabets[i // 2 % 3]) for _ in range(rng.choice([16, 20, 24, 32, 40]))) if secret else rng.choice(plain)
+        text = texts[i % len(texts)]
+        cut = rng.randrange(len(text) + 1)
+        rows.append((10**6 + i, f"{text[:cut]} ({token}) {text[cut:]}"))
+        if secret:
+            found[10**6 + i] = token
+    return rows, found
+
+
+def test_models_find_planted_secrets(spark):
+    rng = random.Random(31)
+    syllables = ["tion", "the", "er", "ung", "ment", "re", "an", "lich", "que", "in"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(60)) for _ in range(100)]
+    rows, want = planted(spark, texts)
+    got = {}
+    for r in secret_scan.secret_spans(spark.createDataFrame(rows + list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id] = [s for s in r.found]
+    text = dict(rows)
+    hit = [d for d, token in want.items() if token in [text[d][s.start : s.end] for s in got[d] if s.rank == 3]]
+    wrong = [d for d, own in got.items() if d not in want and own]
+    assert len(hit) >= 0.9 * len(want) and len(wrong) <= 0.02 * len(rows), (len(hit), len(want), wrong)
+
+
+def test_secrets_of_long_texts(spark):
+    import time
+
+    rng = random.Random(8)
+    run = "".join(rng.choice(secret_scan.ALPHABET) for _ in range(1_000_000))
+    many = "é " + "password=abcdefabcdef0 x token: secretsecret1 ü " * 5000
+    rows = [(1, f"ü {run} end"), (2, many), (3, "plain words only " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    began = time.time()
+    got = {r.doc_id: r.found for r in secret_scan.secret_spans(df).collect()}
+    assert (2, 2 + len(run)) in [(s.start, s.end) for s in got[1] if s.rank == 3] and len(got[2]) == 10_000 and not got[3]
+    clean = {r.doc_id: r for r in secret_scan.redacted(df).collect()}
+    assert clean[1].text == "ü [SECRET] end" and clean[2].text == "é " + "[SECRET] x [SECRET] ü " * 5000 and clean[2].n_chars == len(clean[2].text)
+    assert time.time() - began < 120
+
+
 def item_words(text):
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
 

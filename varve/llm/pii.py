@@ -1,19 +1,27 @@
 """Personal data: fixed patterns and bootstrapped contextual extraction.
 
 Base spans are the matches of four patterns that pass their tests.  They are
-the seeds of the bootstrap: the two words before a seed are a lexical pattern,
-and text of a looser form of the same kind is an instance.  Spark scores the
-graph of patterns and instances in rounds: a pattern by the share of its
-distinct instances that are known, an instance by the patterns that it follows.
+the seeds of the bootstrap.  Lexical patterns are what stands around a seed:
+the two words before it, the two after it, or one on each side; words are
+whatever stands between white space, lower-cased, and of any length.  Text of a
+looser form of the same kind is an instance.  Spark scores the graph of
+patterns and instances in rounds: a pattern by the share of its distinct
+instances that are known, an instance by the patterns that it stands in.
 Patterns of high confidence give the spans that the fixed patterns miss.
 
-Null and empty texts have no spans.  Every row has a result of its own,
-repeated ones too; extra columns are ignored.  Spans count code points.
+Patterns and instances of more than ``WHOLE`` characters are compared by a
+128-bit hash of the whole, so that long words are never cut and rows stay small.
+Null and empty texts have no spans, very long ones are scanned whole in linear
+time; an empty table gives no rows.  Every row has a result of its own, repeated
+ones too, though repeated rows lend a pattern no support twice; extra columns
+are ignored, whatever their names.  Spans count code points.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,17 +34,18 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
-_IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Looser forms of each kind, which only a trusted pattern turns into spans.
-LOOSE = (
-    re.compile(r"[^\s@<>()]{1,64}@[^\s@<>()]{2,64}"),
-    re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.-][0-9]{1,4}){3,5}(?![0-9.])"),
-    re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,19}(?![0-9])"),
-    re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])"),
-)
-_BEFORE = re.compile(r"(\S+)\s+(\S+)\s+\Z")
+#: Looser forms of the kinds of digits, which only a trusted pattern turns into spans; e-mail's is in ``_loose_emails``.
+LOOSE = {
+    1: re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.-][0-9]{1,4}){3,5}(?![0-9.])"),
+    2: re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,19}(?![0-9])"),
+    3: re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])"),
+}
+_WORD, _RUN = re.compile(r"\S+"), re.compile(r"[^@<>()\s]+")
+#: Characters up to which a pattern or an instance is kept as it is.
+WHOLE = 100
 #: A pattern is trusted from so many distinct known instances and this share of them on.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 
@@ -89,29 +98,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _loose_emails(text: str) -> list[tuple[int, int]]:
+    """Two runs of characters around an @, leftmost first."""
+    out, last = [], None
+    for m in _RUN.finditer(text):
+        if last is not None and m.start() == last[1] + 1 and text[last[1]] == "@":
+            out.append((last[0], m.end()))
+            last = None
+        else:
+            last = m.span()
+    return out
+
+
+def key_of(text: str) -> str:
+    """The text, or a hash that stands for a long one."""
+    return text if len(text) <= WHOLE else hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+
+
+def patterns_at(text: str, starts: list[int], ends: list[int], start: int, end: int) -> list[str]:
+    """Patterns around a span, given where the text's words start and end."""
+    left = bisect_right(ends, start)  # words that end at the span's start or before
+    right = bisect_left(starts, end)
+    word = lambda i: text[starts[i] : ends[i]].lower()
+    out = []
+    if left >= 2:
+        out.append(f"{word(left - 2)} {word(left - 1)} _")
+    if right + 1 < len(starts):
+        out.append(f"_ {word(right)} {word(right + 1)}")
+    if left >= 1 and right < len(starts):
+        out.append(f"{word(left - 1)} _ {word(right)}")
+    return [key_of(p) for p in out]
+
+
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and looser instances with their patterns; looser ones overlap no base span."""
-    out = []
-    if not base and "@" not in text and not _DIGIT.search(text):
-        return out
+    digits = _DIGIT.search(text)
+    if not base and "@" not in text and not digits:
+        return []
     found = [(s, k, e, True) for s, k, e in base]
+    # base spans of one kind never overlap, so of any place the four before it are enough
     taken = sorted((s, e) for s, _, e in base)
-    for k, form in enumerate(LOOSE):
-        if k == 0 and "@" not in text:
-            continue
-        at = 0
-        for m in form.finditer(text):
-            s, e = m.span()
-            while at < len(taken) and taken[at][1] <= s:
-                at += 1
-            if not any(a < e and s < b for a, b in taken[at : at + 8]):
-                found.append((s, k, e, False))
-    for s, k, e, known in found:
-        before = _BEFORE.search(text[max(0, s - 80) : s])
-        if before:
-            pattern = f"{before[1]} {before[2]}".lower()
-            out.append({"kind": k, "start": s, "end": e, "pattern": pattern, "instance": text[s : min(e, s + 200)].lower(), "known": known})
-    return out
+    begins = [s for s, _ in taken]
+    loose = [(k, m.span()) for k, form in LOOSE.items() for m in form.finditer(text)] if digits else []
+    for k, (s, e) in [*((0, x) for x in (_loose_emails(text) if "@" in text else [])), *loose]:
+        near = bisect_left(begins, e)
+        if not any(a < e and s < b for a, b in taken[max(0, near - len(KINDS)) : near]):
+            found.append((s, k, e, False))
+    if not found:
+        return []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [s for s, _ in spans], [e for _, e in spans]
+    return [
+        {"kind": k, "start": s, "end": e, "pattern": p, "instance": key_of(text[s:e].lower()), "known": known}
+        for s, k, e, known in found
+        for p in patterns_at(text, starts, ends, s, e)
+    ]
 
 
 _OCC = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string()), ("instance", pa.string()), ("known", pa.bool_())]))
@@ -138,7 +179,12 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(found: DataFrame) -> DataFrame:
-    """(kind, pattern) to trust, from occurrences (kind, pattern, instance, known)."""
+    """(kind, pattern) to trust, from occurrences (kind, pattern, instance, known).
+
+    A pattern's score is the mean score of its distinct instances; it is kept
+    from SUPPORT (their sum) and CONFIDENCE on.  An instance's is 1 if known,
+    else one minus the product of (1 - 0.9 score) over its kept patterns.
+    """
     graph = written(found.groupBy("kind", "pattern", "instance").agg(F.max("known").alias("known")), "pattern-graph")
     score = graph.groupBy("kind", "instance").agg(F.max(F.col("known").cast("double")).alias("score"))
     patterns = None

@@ -1,13 +1,18 @@
 """Secret scan: fixed patterns and character Markov models, native operators only.
 
 Base spans are matches of three patterns.  The method adds ``random`` spans:
-long tokens outside base spans whose log-likelihood under a Markov model of
-random strings exceeds that under one of ordinary identifiers by a margin.
-Both models are counts of character pairs from labelled samples: the secrets
-of the base matches against the first long plain word of each document.
-
-Null and empty texts have no spans.  Repeated rows get the same result each;
-extra columns are ignored.  Spans count code points, ends are exclusive.
+runs of 12 characters or more outside base spans whose log-likelihood under a
+Markov model of random strings exceeds that under one of ordinary identifiers
+by a margin.  Both models are counts of character pairs from labelled samples.
+Random: the secrets of all base matches, and strings drawn from the usual
+alphabets of keys (``GENERATED`` of each).  Ordinary: identifiers in the usual
+styles made of plain words of every document (``WORDS`` of each) and of words
+common in names (``GENERATED`` sets).
+
+A text is matched and a token scored in time linear in its length, however long
+it is.  Null and empty texts have no spans; an empty table gives no rows.
+Repeated rows get the same result each; extra columns are ignored, whatever
+their names.  Spans count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -27,22 +32,36 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Characters of the models, and the tokens that they score: whole runs of this many or more.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{10,}(?![A-Za-z0-9+/_=-])"
+LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"
 #: Log-likelihood ratio (nats) in all and per character from which a token is a secret.
-MARGIN, PER_CHARACTER = 12.0, 0.4
+MARGIN, PER_CHARACTER = 12.0, 0.8
+#: Labelled samples: random strings drawn from each alphabet, and plain words taken of a document.
+GENERATED, WORDS = 4000, 6
+
+#: Words common in names of programs, files and settings.
+COMMON = (
+    "access action active application argument average balance binary block buffer build cache callback change channel client cluster "
+    "command comment component config container content control convert create current database date delete description dictionary "
+    "directory download element enable encoding entity error example exception expected export factory feature filter format general "
+    "global handler header identifier image index input instance integer internal iterator length library limit list location machine "
+    "maximum memory method model network number operation option output package parent partition path payment permission position "
+    "process product project property provider public random record region register remote request response result sample schedule "
+    "scope search security select server service setting shared source special start status string structure support system target "
+    "template test thread total transaction transform type update upload validate value vector version visible warning worker write"
+).split()
+
+_MATCH = "struct<kind:string,i:int,gap:int,size:int,value:string>"
 
 
 def _matches(text: Column, kind: str, pattern: str, cheap: Column, value: int = 0) -> Column:
     """Array of (kind, i, gap before, match, value): all matches of a pattern in order."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
     rows = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"), values.alias("v")),
-        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), x["v"].alias("value")),
+        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), (F.regexp_extract(x["m"], pattern, value) if value else x["m"]).alias("value")),
     )
-    none = F.array().cast("array<struct<kind:string,i:int,gap:int,size:int,value:string>>")
-    return F.when(cheap, rows).otherwise(none)
+    return F.when(cheap, rows).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -59,24 +78,71 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """Every base match before its length test, a ``plain`` row with a sample word, and a ``row`` row for every document."""
-    text, schema = F.col("text"), "struct<kind:string,i:int,gap:int,size:int,value:string>"
-    one = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), value.alias("value"))).cast(f"array<{schema}>")
+    """Every base match before its length test, a ``plain`` row for each sample identifier, and a ``row`` row for every document."""
+    text = F.col("text")
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), value.alias("value"))
+    words = F.slice(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)), 1, WORDS)
     every = F.concat(
-        one("row", F.lit("")),
-        one("plain", F.regexp_extract(text, ORDINARY, 0)),
-        _matches(text, "assign", ASSIGN, text.rlike(r"(?i)pass|secret|token|api_?key") & text.rlike(ASSIGN), 2),
-        _matches(text, "access", ACCESS, text.contains("AKIA") & text.rlike(ACCESS)),
+        F.array(one("row", F.lit(""))).cast(f"array<{_MATCH}>"),
+        F.transform(_identifiers(words), lambda w: one("plain", w)).cast(f"array<{_MATCH}>"),
+        _matches(text, "assign", ASSIGN, text.rlike(r"(?i)pass|secret|token|api_?key"), 2),
+        _matches(text, "access", ACCESS, text.contains("AKIA")),
         _matches(text, "hex", HEX, text.rlike(HEX)),
     )
     return _keyed(docs).select("doc_id", "h", F.explode(every).alias("x")).select("doc_id", "h", "x.*")
 
 
+def _identifiers(words: Column) -> Column:
+    """Names in the usual styles made of an array of words: plain, snake, kebab, camel, path, upper case, numbered, dated."""
+    capital = F.transform(words, lambda w: F.initcap(F.lower(w)))
+    drawn = F.pmod(F.xxhash64(F.array_join(words, " ")), F.lit(2_000_000_000))
+    number, time = (drawn % 2100).cast("string"), F.date_format(F.timestamp_seconds(drawn), "yyyy-MM-dd'T'HH-mm-ss")
+    joined = [
+        F.lower(F.array_join(words, "_")),
+        F.lower(F.array_join(words, "-")),
+        F.array_join(capital, ""),
+        F.lower(F.array_join(words, "/")),
+        F.upper(F.array_join(words, "_")),
+        F.concat(F.lower(F.array_join(F.slice(words, 1, 2), "_")), F.lit("_"), number),
+        F.concat(F.lower(F.array_join(F.slice(words, 3, 2), "")), F.substr(number, F.lit(1), F.lit(2))),
+        F.concat(F.lower(F.array_join(F.slice(words, 1, 2), "/")), F.lit("/"), F.substr(time, F.lit(1), F.lit(10))),
+        time,
+    ]
+    return F.when(F.size(words) > 0, F.concat(words, F.array(*joined))).otherwise(F.array().cast("array<string>"))
+
+
+def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
+    """``n`` random strings (value) of each usual alphabet, always the same ones."""
+    drawn = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    base64 = F.base64(F.unhex(drawn("a")))
+    alphabets = [
+        F.rtrim(F.regexp_replace(base64, "=", "")),
+        F.translate(F.regexp_replace(base64, "=", ""), "+/", "-_"),
+        F.regexp_replace(base64, "[+/=]", ""),
+        F.substr(drawn("h"), F.lit(1), F.lit(40)),
+        F.upper(F.substr(drawn("u"), F.lit(1), F.lit(40))),
+        F.concat(*[F.conv(F.substr(drawn("k"), F.lit(1 + 12 * i), F.lit(12)), 16, 36) for i in range(4)]),
+        F.lower(F.concat(*[F.conv(F.substr(drawn("l"), F.lit(1 + 12 * i), F.lit(12)), 16, 36) for i in range(4)])),
+    ]
+    return spark.range(n).select(F.explode(F.array(*alphabets)).alias("value"))
+
+
+def common(spark: SparkSession, n: int = GENERATED) -> DataFrame:
+    """Identifiers (value) of ``n`` sets of common words, always the same ones."""
+    words = F.array(*[F.element_at(F.split(F.lit(" ".join(COMMON)), " "), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(COMMON))).cast("int") + 1) for k in range(4)])
+    return spark.range(n).select(F.explode(_identifiers(words)).alias("value"))
+
+
 def pair_counts(samples: DataFrame) -> DataFrame:
     """(label, pair, n) of adjacent characters of samples (label, value), over ALPHABET."""
-    value = F.regexp_replace("value", "[^A-Za-z0-9+/_=-]", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substr(F.col("value"), i, F.lit(2)))
-    return samples.select("label", value.alias("value")).filter(F.length("value") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
+    letters = _letters(F.regexp_replace("value", "[^A-Za-z0-9+/_=-]", ""))
+    pairs = F.zip_with(F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0))), F.slice(letters, 2, F.greatest(F.size(letters) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return samples.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
+
+
+def _letters(token: Column) -> Column:
+    """A string's characters, each once, in one pass."""
+    return F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0))
 
 
 def train(samples: DataFrame, backoff: float = 4.0) -> np.ndarray:
@@ -95,11 +161,15 @@ def train(samples: DataFrame, backoff: float = 4.0) -> np.ndarray:
 
 
 def ratio(token: Column, model: np.ndarray) -> Column:
-    """Log-likelihood ratio of a token over ALPHABET."""
+    """Log-likelihood ratio of a token over ALPHABET, in one pass over its characters."""
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model.ravel())), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1))) - 1
-    step = lambda total, i: total + F.get(table, place(i) * len(ALPHABET) + place(i + 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), step)
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
+
+    def step(state: Column, letter: Column) -> Column:
+        place = F.instr(F.lit(ALPHABET), letter) - 1
+        return F.struct(place.alias("last"), (state["total"] + F.when(state["last"] >= 0, F.get(table, state["last"] * len(ALPHABET) + place)).otherwise(0.0)).alias("total"))
+
+    return F.aggregate(_letters(token), start, step, lambda state: state["total"])
 
 
 def _random(token: Column, model: np.ndarray) -> Column:
@@ -112,8 +182,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     base = _placed(matches.filter(F.col("kind").isin(*KINDS)))
     base = base.filter((F.col("kind") != "assign") | (F.length("value") >= 12))
     base = written(base.select("doc_id", "h", "kind", "start", "end", "value"), "base-spans")
-    samples = base.select(F.lit(1).alias("label"), "value").unionByName(matches.filter("kind = 'plain'").select(F.lit(0).alias("label"), "value"))
-    model = train(samples)
+    seen = base.select(F.when(F.col("kind") == "access", F.substr("value", F.lit(5))).otherwise(F.col("value")).alias("value"))
+    random = seen.unionByName(generated(docs.sparkSession)).select(F.lit(1).alias("label"), "value")
+    ordinary = matches.filter("kind = 'plain'").select("value").unionByName(common(docs.sparkSession)).select(F.lit(0).alias("label"), "value")
+    model = train(random.unionByName(ordinary))
 
     tokens = F.regexp_extract_all("text", F.lit(LONG), F.lit(0))
     keyed = _keyed(docs).filter(F.exists(tokens, lambda t: _random(t, model)))
@@ -142,23 +214,32 @@ def _listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced, and ``n_chars`` (if there) counted anew."""
+    """``docs`` with every found span of ``text`` replaced (spans that overlap by one mark), and ``n_chars`` (if there) counted anew."""
     found = secret_spans(docs).filter(F.size("found") > 0).dropDuplicates(["doc_id", "h"])
-    found = found.select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h"), F.col("found").alias("_varve_spans"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        kept = F.substr(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(span["start"] - state["at"], F.lit(0)).cast("int"))
-        new = F.when(span["start"] >= state["at"], F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), new.alias("out"))
-
-    joined = docs.join(found, (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_varve_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_varve_id")), "left")
-    last = F.aggregate("_varve_spans", start, step)
-    clean = F.concat(last["out"], F.substr(F.col("text"), (last["at"] + 1).cast("int")))
-    joined = joined.withColumn("text", F.when(F.col("_varve_spans").isNotNull(), clean).otherwise(F.col("text")))
+    spans = found.select("doc_id", "h", F.explode("found").alias("s")).select("doc_id", "h", "s.start", "s.end")
+    order = Window.partitionBy("doc_id", "h").orderBy("start", "end")
+    past = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("start") < F.col("past"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = spans.withColumn("past", past).withColumn("run", run).groupBy("doc_id", "h", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    runs = runs.select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h"), F.col("runs").alias("_varve_runs"))
+
+    def piece(own: Column, start: Column, end: Column) -> Column:
+        # four bytes a code point, so that a place is found without walking through the text
+        return F.decode(F.substr(own["wide"], (start * 4 + 1).cast("int"), ((end - start) * 4).cast("int")), "UTF-32")
+
+    def joined(own: Column) -> Column:
+        before = F.transform(own["runs"], lambda s, i: piece(own, F.coalesce(F.get(own["runs"], i - 1)["end"], F.lit(0).cast("long")), s["start"]))
+        last = F.element_at(own["runs"], -1)["end"]
+        return F.concat(F.array_join(before, mark), F.lit(mark), piece(own, last, F.octet_length(own["wide"]) / 4))
+
+    rows = docs.join(runs, (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_varve_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_varve_id")), "left")
+    own = F.array(F.struct(F.encode("text", "UTF-32").alias("wide"), F.col("_varve_runs").alias("runs")))
+    hit = F.col("_varve_runs").isNotNull()
+    rows = rows.withColumn("text", F.when(hit, F.get(F.transform(own, joined), F.lit(0))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_varve_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def _of_kind(k: int):
