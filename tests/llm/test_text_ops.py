@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import decontam, licenses, ngram_join, packing, pii, pivot_search, quality, secret_scan, shards, token_store
+from varve.llm import bits, decontam, licenses, ngram_join, packing, pii, pivot_search, quality, secret_scan, shards, token_store
 from varve.llm.bpe import encoder
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -72,7 +72,7 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def component_labels(rows):
     sets = [shingle_set(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -85,11 +85,15 @@ def brute_components(rows):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 up[top(i)] = top(j)
-    group = {}
+    return [top(i) for i in range(len(rows))]
+
+
+def brute_components(rows):
+    label, group = component_labels(rows), {}
     for i, (d, _) in enumerate(rows):
-        group.setdefault(top(i), []).append(d)
+        group.setdefault(label[i], []).append(d)
     smallest = {k: min((d for d in v if d is not None), default=None) for k, v in group.items()}
-    return Counter((rows[i][0], len(sets[i]), smallest[top(i)]) for i in range(len(rows)))
+    return Counter((d, len(shingle_set(t)), smallest[label[i]]) for i, (d, t) in enumerate(rows))
 
 
 def test_ngram_join(spark, docs, texts):
@@ -106,8 +110,56 @@ def test_ngram_join(spark, docs, texts):
     got = Counter(tuple(r) for r in ngram_join.near_components(df).collect())
     assert got == brute_components(rows)
     assert ngram_join.near_components(df.filter("false")).isEmpty()
-    kept = {r.doc_id for r in ngram_join.representatives(df).collect()}
-    assert kept == {c for d, _, c in got if d == c} | {d for d, _, _ in got if d is None}
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.representatives(df.withColumn("n", F.lit(1)).withColumn("top", F.lit("t"))).collect())
+    assert kept == brute_representatives(rows)
+
+
+def brute_representatives(rows):
+    """One row of each component: that with the smallest id, null last; any of several texts under one id."""
+    label = component_labels(rows)
+    out, seen = Counter(), {}
+    for i, (d, t) in enumerate(rows):
+        if not shingle_set(t):
+            out[d, t] += 1
+        else:
+            seen.setdefault(label[i], []).append((d is None, d or 0, xxh(t), d, t))
+    out.update(min(own, key=lambda x: x[:3])[3:] for own in seen.values())
+    return out
+
+
+def xxh(text):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_representatives_of_repeated_rows(spark):
+    rng = random.Random(21)
+    one, two = words(rng, 30, 500), words(rng, 30, 500)
+    near = " ".join(["new", *one.split()[1:]])
+    rows = [(5, one), (5, one), (5, two), (2, near), (9, two), (9, two), (None, two), (None, words(rng, 9, 90)), (None, "a b"), (None, "a b"), (7, None), (7, None), (7, ""), (8, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("stays", F.lit(True))
+    got = ngram_join.representatives(df)
+    assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == brute_representatives(rows)
+    assert ngram_join.representatives(df.filter("false")).isEmpty()
+
+
+def test_ngram_join_of_hot_shingles(spark, monkeypatch):
+    """Shingles in a third of all documents, a large group of near copies, and splits of few places."""
+    monkeypatch.setattr(ngram_join, "SPLIT", 8)
+    rng = random.Random(22)
+    shared, copy = words(rng, 40, 900), words(rng, 60, 900).split()
+    rows = [(i, words(rng, 50, 4000)) for i in range(120)]
+    rows += [(200 + i, shared + " " + words(rng, rng.choice([3, 8, 9, 10, 30]), 4000)) for i in range(100)]
+    for i in range(100):  # copies that differ in up to three places
+        own = [*copy]
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(60)] = f"z{rng.randrange(50)}"
+        rows.append((400 + i, " ".join(own)))
+    rows += [(600 + i, " ".join(copy)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in ngram_join.near_components(df).collect()) == brute_components(rows)
 
 
 def best_ten(rows):
@@ -524,7 +576,7 @@ def test_decontamination(spark, monkeypatch):
                     found.add(str(i))
         want[(d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
     assert Counter(tuple(r) for r in decontam.contamination(docs, bench).drop("h").collect()) == want
-    monkeypatch.setattr(decontam, "FILTER_ROWS", 1)  # a filter that lets much through, and joins by sorting
+    monkeypatch.setattr(bits, "FILTER_ROWS", 1)  # a filter that lets much through, and joins by sorting
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert Counter(tuple(r) for r in decontam.contamination(docs, bench).drop("h").collect()) == want

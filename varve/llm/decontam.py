@@ -9,8 +9,7 @@ are verified word by word.
 
 Texts are never shuffled.  Documents are read twice, to count the benchmark's
 shingles and to post the places of prefix tokens with the few words around
-them; both times a bit table of fixed size (``FILTER_ROWS`` rows, broadcast)
-drops nearly all other places before anything moves.  What it lets through is
+them; both times a bit table of fixed size (``bits``, broadcast) drops nearly all other places before anything moves.  What it lets through is
 joined by the token itself, however large the benchmark is.
 
 Null and empty texts have no words, very long ones are taken whole.  Repeated
@@ -26,12 +25,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bits import bit_table, filtered
 from .session import written
 
 #: Words in a prefix token.
 SHINGLE = 3
-#: Rows of 64 bits (16 bytes a row with its number) of the broadcast filter, whatever the size of the benchmark.
-FILTER_ROWS = 1 << 18
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -59,22 +57,6 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return each.distinct().withColumn("len", F.size("win")).withColumn("win_id", F.md5(F.array_join("win", " ")))
 
 
-def bit_table(tokens: DataFrame) -> DataFrame:
-    """A set of tokens as at most FILTER_ROWS rows (row, bits)."""
-    bit = F.expr("shiftleft(1L, cast(shiftright(token, 40) & 63 as int))")
-    return tokens.groupBy(F.col("token").bitwiseAND(F.lit(FILTER_ROWS - 1)).alias("row")).agg(F.bit_or(bit).alias("bits"))
-
-
-def _filtered(places: DataFrame, bits: DataFrame, marked: bool = False) -> DataFrame:
-    """Places whose token may be in the table; with ``marked``, those with at < 0 too."""
-    row = F.col("token").bitwiseAND(F.lit(FILTER_ROWS - 1))
-    if marked:
-        row = F.when(F.col("at") >= 0, row)
-    joined = places.withColumn("row", row).join(F.broadcast(bits), "row", "left" if marked else "inner")
-    hit = F.getbit("bits", F.expr("cast(shiftright(token, 40) & 63 as int)")) == 1
-    return joined.filter((F.col("at") < 0) | F.coalesce(hit, F.lit(False)) if marked else hit).drop("row", "bits")
-
-
 def _places(docs: DataFrame, k: int, first: int = 0) -> DataFrame:
     """Every place ``at`` (from ``first``) of ``k`` words in a document, with its token and the document's words ``w``."""
     words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), split_words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
@@ -87,7 +69,7 @@ def _places(docs: DataFrame, k: int, first: int = 0) -> DataFrame:
 def counts(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
     """token, k, df: how often the documents hold each of ``tokens`` (and, of others, some that the filter lets through)."""
     bits = written(bit_table(tokens), "token-bits")
-    found = [_filtered(_places(docs, k).select("at", "token", "k"), bits) for k in sizes]
+    found = [filtered(_places(docs, k).select("at", "token", "k"), bits) for k in sizes]
     return reduce(DataFrame.unionByName, found).groupBy("token", "k").agg(F.count("*").alias("df"))
 
 
@@ -100,7 +82,7 @@ def postings(docs: DataFrame, tokens: DataFrame, size: int, sizes: list[int]) ->
     bits = written(bit_table(tokens), "prefix-bits")
     at, n, found = F.col("at"), F.col("n"), []
     for i, k in enumerate(sizes):
-        near = _filtered(_places(docs, k, 0 if i else -1), bits, marked=not i)
+        near = filtered(_places(docs, k, 0 if i else -1), bits, marked=not i)
         lo = F.greatest(at - (size - k), F.lit(0))
         count = n - (F.get("w", F.lit(0)) == "").cast("int") - ((n > 1) & (F.get("w", n - 1) == "")).cast("int")
         found.append(near.select("doc_id", "h", "at", "k", "token", "n", lo.alias("lo"), F.when(at >= 0, F.slice("w", lo + 1, at - lo + size)).alias("context"), F.when(at < 0, count.cast("long")).alias("n_words")))

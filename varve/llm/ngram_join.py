@@ -12,12 +12,17 @@
 Candidates are taken in two rounds, so that a large group of near copies never
 makes all its pairs.  The first links, under each shingle, neighbours by size
 and all with a hub; the second takes every pair whose sides are still in
-different components.  A pair inside a component cannot change it, so
-components are exact.
+different components, met by shingle and size range.  A pair inside a component
+cannot change it, so components are exact.
 
-Null and empty texts have no shingles and link with nothing.  Rows with equal
-sets link whatever their ids; a null id never becomes a component id unless
-no other is there.  Repeated rows get a row each; extra columns are ignored.
+No task holds all places of a shingle or all members of a component: hubs,
+counts and smallest ids are aggregates with map-side combine, and neighbours are
+taken within splits of about ``SPLIT`` places.
+
+Null and empty texts have no shingles and link with nothing; very long ones are
+hashed whole.  Rows with equal sets link whatever their ids; a null id never
+becomes a component id unless no other is there.  Repeated rows get a row each;
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bits import bit_table, filtered
 from .session import arrow_map, written
 from .shingles import CELLS, least_difference, set_key, shingle_sets, signature
 
 #: Bits of the fixed-size filter that keeps documents without candidates out of verification.
 FILTER_BITS = 1 << 24
 _CHUNKS = 64
+#: Places of a shingle, or classes of a group, that are sorted together at most, about; larger ones are split by a hash.
+SPLIT = 4096
 
 
 def _fold(df: DataFrame, parts: Callable, combine: Callable, size: int) -> bytes:
@@ -83,8 +91,13 @@ def _as_long(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64) ^ np.int64(-(1 << 63))  # keeps the order
 
 
+def text_hash(docs: DataFrame) -> Column:
+    """Hash of a row's text, null being empty."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def _sets(docs: DataFrame, ranks: np.ndarray, tenths: int) -> DataFrame:
-    """Per row: doc_id, n, class_key, group_key, the prefix and the signature (both only the first time a task sees the class)."""
+    """Per row: doc_id, h (hash of the text), n, class_key, group_key, the prefix and the signature (both only the first time a task sees the class)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -106,12 +119,12 @@ def _sets(docs: DataFrame, ranks: np.ndarray, tenths: int) -> DataFrame:
                     prefixes.append(None)
                     signatures.append(None)
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n", "class_key", "group_key", "prefix", "signature"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                names=["doc_id", "h", "n", "class_key", "group_key", "prefix", "signature"],
             )
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.transform(arrow_map, build, "doc_id long, n long, class_key long, group_key long, prefix array<long>, signature binary")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(docs).alias("h"))
+    return plain.transform(arrow_map, build, "doc_id long, h long, n long, class_key long, group_key long, prefix array<long>, signature binary")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, tenths: int) -> DataFrame:
@@ -225,49 +238,65 @@ def _neighbours(shared: DataFrame, tenths: int) -> DataFrame:
     near copies that link with anything.
     """
     early = (F.col("n") - F.col("at")) * (10 + tenths) >= F.col("n") * (2 * tenths)
-    by_size = Window.partitionBy("token", "early").orderBy("n", "group_key")
-    by_place = Window.partitionBy("token", "class").orderBy("at", "n", "group_key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = shared.withColumns({"early": early, "class": F.floor(F.log(F.col("n")) * 9)})
+    place = F.struct("at", "n", "group_key")
+    placed = shared.withColumns({"early": early, "class": F.floor(F.log(F.col("n")) * 9), "split": _split("places")})
+    by_size = Window.partitionBy("token", "early", "split").orderBy("n", "group_key")
+    hubs = placed.groupBy("token", "class").agg(F.min(place).alias("other"))
     found = None
-    for other in (lambda c: F.lag(c).over(by_size), lambda c: F.first(c).over(by_place)):
-        near = placed.withColumns({f"other_{c}": other(c) for c in ("group_key", "n", "at")})
-        near = near.filter((F.col("other_group_key") != F.col("group_key")) & _bounded(F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), tenths))
-        near = near.select("group_key", F.col("other_group_key").alias("other"))
+    for near in (placed.withColumn("other", F.lag(F.struct("at", "n", "group_key")).over(by_size)), placed.join(hubs, ["token", "class"])):
+        near = near.filter((F.col("other.group_key") != F.col("group_key")) & _bounded(F.col("n"), F.col("at"), F.col("other.n"), F.col("other.at"), tenths))
+        near = near.select("group_key", F.col("other.group_key").alias("other"))
         found = near if found is None else found.union(near)
     return found.distinct()
 
 
-def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id; linked from Jaccard tenths/10 on."""
+def _split(count: str) -> Column:
+    """Part of a shingle's places, or of a group's classes, that a group or class is sorted in."""
+    key = "group_key" if count == "places" else "class_key"
+    return F.pmod(F.xxhash64(key), F.ceil(F.col(count) / SPLIT).cast("long"))
+
+
+def _inside(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of one group: each with the one before it in its split, and with the group's smallest."""
+    groups = classes.groupBy("group_key").agg(F.min("class_key").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    own = classes.select("group_key", "class_key").join(groups, "group_key").withColumn("split", _split("members"))
+    chain = own.select(F.lag("class_key").over(Window.partitionBy("group_key", "split").orderBy("class_key")).alias("a"), F.col("class_key").alias("b")).filter("a is not null")
+    return chain.union(own.select(F.col("hub").alias("a"), F.col("class_key").alias("b")).filter("a != b"))
+
+
+def _components_of(docs: DataFrame, tenths: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, h (hash of its text), n, top (its component, null without shingles) and component_id."""
     ranks = _cell_ranks(docs)
     rows = written(_sets(docs, ranks, tenths), "shingle-sets")
     full = rows.filter("n > 0")
     classes = written(full.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n"), F.first("signature", ignorenulls=True).alias("signature")), "classes")
     nodes = classes.select(F.col("class_key").alias("node"))
 
+    # places of shingles that several groups have
     places = full.filter("prefix is not null").select("n", "group_key", F.posexplode("prefix").alias("at", "token"))
-    by_size = Window.partitionBy("token").orderBy("n", "group_key")
-    places = places.withColumn("last", F.lag("group_key").over(by_size)).withColumn("next", F.lead("group_key").over(by_size))
-    shared = written(places.filter("last != group_key or next != group_key").select("n", "group_key", "at", "token"), "shared-places")
+    tokens = places.groupBy("token").agg(F.min("group_key").alias("low"), F.max("group_key").alias("high"), F.count("*").alias("places"))
+    tokens = written(tokens.filter("low != high").select("token", "places"), "shared-tokens")
+    bits = written(bit_table(tokens), "shared-bits")
+    shared = written(filtered(places, bits).join(tokens, "token").select("n", "group_key", "at", "token", "places").distinct(), "shared-places")
 
     first = classes.groupBy("group_key").agg(F.min("class_key").alias("c"))
     near = _neighbours(shared, tenths)
     near = near.join(first.withColumnRenamed("c", "a"), "group_key").join(first.select(F.col("group_key").alias("other"), F.col("c").alias("b")), "other").select("a", "b")
-    inside = classes.select(F.lag("class_key").over(Window.partitionBy("group_key").orderBy("class_key")).alias("a"), F.col("class_key").alias("b")).filter("a is not null")
-    ordered = near.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ordered = near.union(_inside(classes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = components(nodes, _verified(docs, ordered, classes, ranks, tenths))
 
     # second round: whatever shares a prefix shingle (or a group) across components
     member = written(classes.join(labels, classes["class_key"] == labels["node"]).select("class_key", "group_key", "label"), "members")
     unit = member.select("group_key", "label").distinct()
     single = unit.groupBy("group_key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    at_token = shared.select("token", "n", "at", "group_key").join(single, "group_key")
-    token = Window.partitionBy("token")
-    at_token = at_token.withColumn("all_low", F.min("low").over(token)).withColumn("all_high", F.max("high").over(token))
-    mixed = at_token.filter("all_low != all_high").select("token", "n", "at", "group_key").distinct().join(unit, "group_key")
-    mixed = written(mixed, "mixed-places")
-    other = mixed.select("token", *[F.col(c).alias(f"o_{c}") for c in ("n", "at", "group_key", "label")])
-    crossing = mixed.join(other, (mixed["token"] == other["token"]) & (mixed["label"] < other["o_label"]) & _bounded(mixed["n"], mixed["at"], F.col("o_n"), F.col("o_at"), tenths))
+    at_token = shared.select("token", "group_key").join(single, "group_key")
+    apart = at_token.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("token")
+    # sets that link have sizes in the same range or in neighbouring ones
+    size_range = F.floor(F.log(F.col("n")) / F.lit(float(np.log(10 / tenths)) + 1e-9))
+    mixed = shared.select("token", "n", "at", "group_key").join(apart, "token").join(unit, "group_key")
+    mixed = written(mixed.withColumn("range", size_range), "mixed-places")
+    other = mixed.select(F.col("token").alias("o_token"), *[F.col(c).alias(f"o_{c}") for c in ("n", "at", "group_key", "label")], F.explode(F.array(*[F.col("range") + d for d in (-1, 0, 1)])).alias("o_range"))
+    crossing = mixed.join(other, (F.col("token") == F.col("o_token")) & (F.col("range") == F.col("o_range")) & (F.col("label") < F.col("o_label")) & _bounded(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), tenths))
     crossing = crossing.select("group_key", "label", "o_group_key", "o_label")
     own = unit.select("group_key", "label").join(unit.select("group_key", F.col("label").alias("o_label")), "group_key").filter("label < o_label")
     crossing = crossing.union(own.select("group_key", "label", F.col("group_key").alias("o_group_key"), "o_label")).distinct()
@@ -278,19 +307,36 @@ def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
     ends = [member.select(F.col("class_key").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
     joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
     tops = components(member.select(F.col("label").alias("node")).distinct(), written(joined, "label-links"))
-    final = member.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("class_key", "top")
-    smallest = classes.join(final, "class_key").withColumn("component_id", F.min("rep").over(Window.partitionBy("top"))).select("class_key", "component_id")
-    out = rows.select("doc_id", "n", "class_key").join(smallest, "class_key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = written(member.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("class_key", "top"), "tops")
+    smallest = classes.join(final, "class_key").groupBy("top").agg(F.min("rep").alias("component_id"))
+    out = rows.select("doc_id", "h", "n", "class_key").join(final.join(smallest, "top"), "class_key", "left")
+    return out.select("doc_id", "h", "n", "top", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id; linked from Jaccard tenths/10 on."""
+    return _components_of(docs, tenths).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def representatives(docs: DataFrame, tenths: int = 8) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: of each, the row with its smallest id.
+    """The rows of ``docs``, all columns, that stand for their component: one row of each.
 
-    Rows without shingles and rows without an id stay.
+    It is the one with the smallest id (a null id comes last), of rows with one
+    id the one whose text has the smallest hash, and of rows that repeat both
+    any one.  Rows without shingles stay.
     """
-    drop = near_components(docs, tenths).filter("component_id != doc_id").select(F.col("doc_id").alias("_varve_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_varve_id"], "left_anti")
+    rows = written(_components_of(docs, tenths).filter("top is not null").select("doc_id", "h", "top"), "components")
+    best = rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("best"))
+    marked = rows.join(best, "top").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
+    marked = written(marked.groupBy("doc_id", "h", "stays").agg(F.count("*").alias("times")), "representatives")
+    key = lambda df: df.select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h"))
+    same = (text_hash(docs) == F.col("_varve_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_varve_id"))
+    kept = docs.join(key(marked.filter("not stays")), same, "left_anti")
+    again = marked.filter("stays and times > 1")
+    if again.isEmpty():
+        return kept
+    single = kept.withColumn("_varve_row", text_hash(docs)).join(key(again), same, "left_semi").dropDuplicates(["doc_id", "_varve_row"])
+    return kept.join(key(again), same, "left_anti").unionByName(single.drop("_varve_row"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
