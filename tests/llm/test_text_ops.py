@@ -602,3 +602,56 @@ def test_quality(spark):
     assert abs(model.score([text, "x"])[0] - model.score([text])[0]) == 0
     assert quality.quality_model(docs, labels.filter("false")).score(["a"])[0] == 0.5
     assert quality.scored(docs.filter("false"), model).isEmpty()
+
+
+def test_quality_features_by_brute_force():
+    """Words hash alike wherever they stand and unlike their anagrams; a text's features are its n-grams', words' and pairs'."""
+    texts = ["listen to  the\nsilent enlist tinsel", "silent to listen", "a a b", "x", " ", "é ü " * 50, "word " * 300]
+    by = {}
+    for t in texts:
+        for w, h in zip(re.findall(r"[^ \n]+", t), quality.word_hashes(np.frombuffer(t.encode(), np.uint8)), strict=True):
+            assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by) >= 10
+    for t in texts:
+        data, own = t.encode(), re.findall(r"[^ \n]+", t)
+        n = {1: max(0, len(data) - 2), 2: max(0, len(data) - 5), 3: max(0, len(data) - 4), 4: len(own), 5: max(0, len(own) - 1)}
+        found = quality._features(t)
+        assert [len(f) for f in found] == list(n.values()) and all(((f >> quality.BITS) == k).all() for k, f in enumerate(found))
+        for k, length in ((0, 3), (2, 5)):
+            assert len(set(found[k].tolist())) <= len({data[i : i + length] for i in range(len(data))})
+        buckets, share = quality.counted(t)
+        count = Counter(b for f in found for b in f.tolist())
+        assert dict(zip(buckets.tolist(), share)) == {b: c / sum(count.values()) for b, c in count.items()}
+
+
+def test_quality_training_equals_brute_force(monkeypatch):
+    """Softmax and gradient descent written out in loops over the distinct features, in float64."""
+    rng = random.Random(3)
+    rows = [quality.counted(" ".join(rng.choice(["aa", "bb", "cc"] if k % 2 else ["dd", "ee", "cc"]) for _ in range(6))) for k in range(24)]
+    labels = np.array([k % 2 for k in range(24)])
+    model = quality.train(rows, labels, epochs=3, batch=7, rate=20.0, seed=5)
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(0, 0.1, (quality.SIZE, quality.DIMENSIONS)).astype(np.float32).astype(float)
+    layer = draw.normal(0, 0.5, (quality.DIMENSIONS, 2)).astype(np.float32).astype(float)
+    bias = np.log([0.5, 0.5])
+    for epoch in range(3):
+        step, order = 20.0 * (1 - epoch / 3), draw.permutation(24)
+        for k in range(0, 24, 7):
+            own = order[k : k + 7]
+            g_vectors, g_layer, g_bias = {}, np.zeros_like(layer), np.zeros(2)
+            for i in own:
+                mean = sum(s * vectors[b] for b, s in zip(*rows[i]))
+                p = np.exp(mean @ layer + bias)
+                error = (p / p.sum() - np.eye(2)[labels[i]]) / len(own)
+                for b, s in zip(*rows[i]):
+                    g_vectors[b] = g_vectors.get(b, 0) + s * (layer @ error)
+                g_layer += np.outer(mean, error)
+                g_bias += error
+            for b, g in g_vectors.items():
+                vectors[b] -= step * g
+            layer, bias = layer - 0.02 * step * g_layer, bias - 0.02 * step * g_bias
+    used = sorted({b for r in rows for b in r[0].tolist()})
+    assert np.allclose(model.weights[used] / model.SCALE, vectors[used] @ (layer[:, 1] - layer[:, 0]), atol=1e-3)
+    text = "aa bb dd x"
+    score = (vectors @ (layer[:, 1] - layer[:, 0]))[quality.counted(text)[0]] @ quality.counted(text)[1] + bias[1] - bias[0]
+    assert abs(model.score([text])[0] - 1 / (1 + np.exp(-score))) < 1e-3

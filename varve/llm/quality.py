@@ -1,15 +1,18 @@
 """Supervised subword embeddings for document quality.
 
 A document is the average of learned vectors of its hashed features: character
-n-grams, n-grams of character classes, words, and words repeated one after the
-other.  A softmax layer on the average gives the class.  Vectors and layer are
-trained together by stochastic gradient descent in numpy on a bounded sample
-of labelled rows.  As the layer is linear, a trained model is folded into one
-integer weight per feature, so scoring a text is a sum of table entries.
-
-Null and empty texts have no features and get the model's bias alone.  Rows
-whose label is null are not learned from; with labels of one class only, or
-none, the score is that share (0.5 without labels).  Extra columns are ignored.
+n-grams of two lengths, n-grams of character classes, words, pairs of adjacent
+words, and words repeated one after the other.  A softmax layer on the average
+gives the class.  Vectors and layer are trained together by stochastic gradient
+descent in numpy on a bounded sample of labelled rows (``SAMPLE_ROWS``).  As the
+layer is linear, a trained model is folded into one integer weight per feature,
+so scoring a text is a sum of table entries.
+
+Null and empty texts have no features and get the model's bias alone; very long
+texts are scored whole, in pieces.  An empty table gives no rows, repeated rows
+get a row each.  Rows whose label is null are not learned from; with labels of
+one class only, or none, the score is that share (0.5 without labels).  Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import arrow_map
+from .shingles import mixed, powers
 
 #: Labelled rows learned from, at most: those with the smallest hash of their doc_id.
 SAMPLE_ROWS = 4000
 BITS = 13
-DIMENSIONS = 8
-_FAMILIES = ((1, 3), (2, 6))  # (family, length) of raw and of class n-grams
+DIMENSIONS = 16
+_FAMILIES = ((1, 3), (2, 6), (3, 5))  # (family, length) of n-grams; family 2 is of character classes
+_LONGEST = 6
+_WORDS, _PAIRS = 4, 5  # families of words and of pairs of words
 _TOGETHER = 1 << 20
 
 _LETTER = (np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59B)) ** np.uint64(3)
@@ -46,20 +52,34 @@ def _grams(data: np.ndarray, n: int, family: int) -> np.ndarray:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
-def _word_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word, bucket of the word, or of 'repeated' when the word before is the same)."""
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word (between spaces and line ends), which depends on the order of its letters.
+
+    Sums of letters times powers of an odd base, over all bytes at once; a
+    word's part is divided by the power at its start, so that the hash is the
+    same wherever the word stands.
+    """
     space = np.flatnonzero((data == 32) | (data == 10))
     starts, ends = np.concatenate([[0], space + 1]), np.concatenate([space, [len(data)]])
     keep = ends > starts
     starts, ends = starts[keep], ends[keep]
+    power, back = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_LETTER[data], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * back[starts])
+
+
+def _word_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words (or of 'repeated' when the word before is the same) and of the pairs of adjacent words."""
+    h = word_hashes(data)
+    shift = np.uint64(64 - BITS)
+    bucket = (h >> shift).astype(np.int64)
     again = np.zeros(len(h), bool)
     again[1:] = h[1:] == h[:-1]
-    return starts, np.where(again, (1 << BITS) - 1, bucket)
+    with np.errstate(over="ignore"):
+        pair = mixed(h[:-1] * np.uint64(3) + h[1:]) >> shift
+    return np.where(again, (1 << BITS) - 1, bucket), pair.astype(np.int64)
 
 
 def _features(text: str | None) -> list[np.ndarray]:
@@ -68,11 +88,12 @@ def _features(text: str | None) -> list[np.ndarray]:
     if not len(data):
         return []
     shape = _CLASS[data]
-    out = [_grams(data if f == 1 else shape, n, f).astype(np.int64) + ((f - 1) << BITS) for f, n in _FAMILIES]
-    return [*out, _word_features(data)[1] + (2 << BITS)]
+    out = [_grams(shape if f == 2 else data, n, f).astype(np.int64) + ((f - 1) << BITS) for f, n in _FAMILIES]
+    words, pairs = _word_features(data)
+    return [*out, words + ((_WORDS - 1) << BITS), pairs + ((_PAIRS - 1) << BITS)]
 
 
-SIZE = 3 << BITS
+SIZE = _PAIRS << BITS
 
 
 @dataclass
@@ -90,17 +111,17 @@ class Model:
             total, count = 0, 0
             data = np.frombuffer((text or "").encode(), np.uint8)
             for at in range(0, len(data), _TOGETHER):  # long texts in pieces that overlap by the longest n-gram
-                own = data[at : at + _TOGETHER + 5]
+                own = data[at : at + _TOGETHER + _LONGEST - 1]
                 shape = _CLASS[own]
                 for f, n in _FAMILIES:
                     starts = min(_TOGETHER, len(own) - n + 1)
                     if starts > 0:
-                        total += int(self.weights[(f - 1) << BITS : f << BITS][_grams(own if f == 1 else shape, n, f)[:starts]].sum())
+                        total += int(self.weights[(f - 1) << BITS : f << BITS][_grams(shape if f == 2 else own, n, f)[:starts]].sum())
                         count += starts
             if len(data):
-                words = _word_features(data)[1]
-                total += int(self.weights[2 << BITS :][words].sum())
-                count += len(words)
+                for f, found in zip((_WORDS, _PAIRS), _word_features(data)):
+                    total += int(self.weights[(f - 1) << BITS : f << BITS][found].sum())
+                    count += len(found)
             out[i] = self.bias + total / self.SCALE / max(count, 1)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 

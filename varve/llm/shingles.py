@@ -20,7 +20,7 @@ CELLS = 1 << 20
 MASK = np.uint64((1 << 52) - 1)
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     if len(_powers[0]) < n:
         n = max(n, _TOGETHER + 1)
@@ -44,7 +44,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def _hashed(texts: list[bytes], counts: list[int], k: int) -> list[np.ndarray]:
     whole = b" ".join(texts)
     data = np.frombuffer(whole, np.uint8)
-    power, back = _grown(len(data) + 1)
+    power, back = powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUES[data] * power[: len(data)], out=sums[1:])
