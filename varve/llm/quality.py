@@ -46,7 +46,9 @@ _CLASS[0x80:] = ord("a")
 
 def _grams(data: np.ndarray, n: int, family: int) -> np.ndarray:
     """Bucket of the n-gram that begins at each byte."""
-    h = np.full(max(0, len(data) - n + 1), family * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    if len(data) < n:
+        return np.zeros(0, np.uint32)
+    h = np.full(len(data) - n + 1, family * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
     for k in range(n):
         h = (h ^ data[k : len(data) - n + 1 + k]) * np.uint32(0x01000193)
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
