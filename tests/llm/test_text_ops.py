@@ -1,6 +1,7 @@
 """Training-data operators against brute force on hand-made rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -439,6 +440,56 @@ def test_licenses(spark):
     assert licenses.align(list("axbyc"), list("abc")) == [(0, 0), (2, 1), (4, 2)]
 
 
+def brute_align(text, template):
+    """Patience alignment straight from its definition, with the longest rising run by trying all (ties: the least places from its end)."""
+    if not text or not template:
+        return []
+    if text[0] == template[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in brute_align(text[1:], template[1:])]
+    if text[-1] == template[-1]:
+        return brute_align(text[:-1], template[:-1]) + [(len(text) - 1, len(template) - 1)]
+    anchors = [(i, template.index(w)) for i, w in enumerate(text) if text.count(w) == 1 and template.count(w) == 1]
+    best = max((c for n in range(len(anchors) + 1) for c in itertools.combinations(anchors, n) if all(a[1] < b[1] for a, b in zip(c, c[1:]))), key=lambda c: (len(c), [-j for _, j in reversed(c)]), default=())
+    if not best:
+        return []
+    out, last = [], (0, 0)
+    for i, j in [*best, (len(text), len(template))]:
+        out += [(last[0] + a, last[1] + b) for a, b in brute_align(text[last[0] : i], template[last[1] : j])]
+        if i < len(text) or j < len(template):
+            out.append((i, j))
+        last = (i + 1, j + 1)
+    return [x for x in out if x[0] < len(text) and x[1] < len(template)]
+
+
+def test_alignment_equals_brute_force():
+    rng = random.Random(17)
+    for _ in range(1500):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randrange(8))]
+        text = [w for w in template if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            text.insert(rng.randrange(len(text) + 1), rng.choice("abcdefghxyz"))
+        got = licenses.align(text, template)
+        assert all(text[i] == template[j] for i, j in got) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+        assert len(got) == len(brute_align(text, template)), (text, template)
+
+
+def test_licenses_of_odd_tables(spark):
+    import time
+
+    mit, bsd = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["BSD-3-Clause-text"]
+    filler = "some plain words about nothing " * 100_000
+    rows = [(1, f"{filler}{mit} {filler}"), (2, f"ÀÈ İstanbul {bsd.lower()} x"), (2, f"ÀÈ İstanbul {bsd.lower()} x"), (None, None), (None, ""), (3, f"{mit} " * 40), (4, " ".join(w for k, w in enumerate(mit.split()) if k % 8))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit(1)).withColumn("name", F.lit("x"))
+    began, by = time.time(), {}
+    for r in licenses.license_matches(df).collect():
+        by.setdefault(r.doc_id, []).append(r.matches)
+    found = {d: [[(m.name, round(m.coverage, 2)) for m in own] for own in v] for d, v in by.items()}
+    assert found[1] == [[("MIT-text", 1.0)]] and by[1][0][0].start == len(filler) and by[1][0][0].end == len(filler) + len(mit) - 1
+    assert found[2][0] == found[2][1] and ("BSD-3-Clause-text", 1.0) in found[2][0] and by[2][0][0].start == len("ÀÈ İstanbul ")
+    assert found[None] == [[], []] and found[3] == [[("MIT-text", 1.0)] * 40] and [n for n, _ in found[4][0]] == ["MIT-text"] and 0.8 <= found[4][0][0][1] < 0.9
+    assert licenses.license_matches(df.filter("false")).isEmpty() and time.time() - began < 60
+
+
 @pytest.mark.parametrize("name", licenses.TEMPLATES)
 def test_repeated_licenses(name):
     scan, template = licenses.Scanner({name: licenses.TEMPLATES[name]}), licenses.words_of(licenses.TEMPLATES[name])
