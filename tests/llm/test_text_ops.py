@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,13 +62,59 @@ def test_token_store_round_trip(spark, docs, tmp_path):
     assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x))
     want = Counter((r.doc_id, len(ids_of(r.text)), crc(ids_of(r.text))) for r in docs.select("doc_id", "text").collect())
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
-    table = token_store._open(str(tmp_path / "t"), index.first().file)
-    assert table.schema.field("ids").type.list_size == 16 and all(len(c) == token_store.BATCH for c in table.column("ids").chunks[:-1])
-    used = sum(r.n_tokens for r in index.filter(F.col("file") == index.first().file).collect())
-    assert sum(sum(row) for row in table.column("mask").to_pylist()) == used
+    file = token_store.TokenFile(str(tmp_path / "t"), index.first().file)
+    assert all(len(b) == token_store.BATCH for b in file.batches[:-1])
+    own = index.filter(F.col("file") == index.first().file).orderBy("at").collect()
+    masks = [file.sequence(k)[1] for k in range(len(file))]
+    assert sum(sum(m.to_pylist()) for m in masks) == sum(r.n_tokens for r in own)
+    flat = np.concatenate([file.sequence(k)[0] for k in range(len(file))])
+    text = {(r.doc_id, len(ids_of(r.text)), crc(ids_of(r.text))) for r in docs.select("doc_id", "text").collect()}
+    for r in own:
+        ids = file.document(r.at, r.n_tokens)
+        assert (ids == flat[r.at : r.at + r.n_tokens]).all() and (r.doc_id, len(ids), crc(ids.tolist())) in text
+    # views of the mapped file: in its buffers, nothing allocated
+    buffer, before = file.batches[0].column(0).flatten().buffers()[1], pa.total_allocated_bytes()
+    ids, mask = file.sequence(0)
+    assert buffer.address <= ids.ctypes.data < buffer.address + buffer.size and not ids.flags.writeable
+    assert mask.buffers()[1].address == file.batches[0].column(1).flatten().buffers()[1].address and pa.total_allocated_bytes() == before
     assert token_store.read_digests(token_store.write_tokens(docs.filter("false"), str(tmp_path / "e"), VOCABULARY), str(tmp_path / "e")).isEmpty()
 
 
+def test_token_files_are_rolled(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BATCH", 2)
+    monkeypatch.setattr(token_store, "FILE_TOKENS", 300)
+    want = Counter((r.doc_id, len(ids_of(r.text)), crc(ids_of(r.text))) for r in docs.select("doc_id", "text").collect())
+    for limit in (3, 1000):
+        monkeypatch.setattr(token_store, "FILE_DOCUMENTS", limit)
+        folder = str(tmp_path / str(limit))
+        index = token_store.write_tokens(docs, folder, VOCABULARY, length=16)
+        got = token_store.read_digests(index, folder).orderBy("start").collect()
+        assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+        assert max(r.n for r in index.groupBy("file").agg(F.count("*").alias("n")).collect()) <= limit
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    plain = Tokenizer.from_file(VOCABULARY)
+    texts = ["Some  TEXT it's 12\n x", "", None, "É a\x03b"]
+    for change in ("normalizer", "prefix", "model"):
+        other = Tokenizer.from_file(VOCABULARY)
+        if change == "normalizer":
+            other.normalizer = normalizers.Lowercase()
+        elif change == "prefix":
+            other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+        else:
+            other = Tokenizer(models.WordLevel({"Some": 0, "TEXT": 1, "?": 2}, unk_token="?"))
+            other.pre_tokenizer = pre_tokenizers.Whitespace()
+        other.save(str(tmp_path / change))
+        e = encoder(str(tmp_path / change))
+        assert not e.fast
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.many(texts)] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoder(VOCABULARY).fast and plain.get_vocab_size() == encoder(VOCABULARY).whole.get_vocab_size()
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()

@@ -5,10 +5,14 @@ text is therefore cut before every space that follows a non-space, where the
 byte-level splitter always has a boundary, and each distinct chunk goes through
 the library's splitter and merge model once per worker.  Ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+That holds for byte-level BPE as ``plain_byte_level`` checks it when a
+vocabulary is loaded; with any other, every text goes through ``encode`` whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -34,13 +38,34 @@ _APART_BYTE, _APART = "\x03", "ă"  # a byte and its letter in the byte-level al
 _loaded: dict[str, "Encoder"] = {}
 
 
+def plain_byte_level(description: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE without what would make a text's parts depend on each other.
+
+    No normalizer and no prefix space, the byte-level splitter alone, all
+    merges as listed, and the byte 0x03 in none of them.
+    """
+    model, split = description["model"], description.get("pre_tokenizer") or {}
+    merges = model.get("merges") or []
+    return (
+        description.get("normalizer") is None
+        and split.get("type") == "ByteLevel"
+        and not split.get("add_prefix_space")
+        and split.get("use_regex", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "fuse_unk"))
+        and _APART in model["vocab"]
+        and not any(_APART in (m if isinstance(m, str) else "".join(m)) for m in merges)
+    )
+
+
 class Encoder:
-    """Encodes texts to little-endian ids; ``width`` bytes hold every id."""
+    """Encodes texts to little-endian ids of ``dtype``, which holds every id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.fast = plain_byte_level(json.loads(self.whole.to_str()))
         self.model, self.split = self.whole.model, self.whole.pre_tokenizer
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -111,6 +136,8 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts (null: none), each as packed integers of ``dtype``."""
+        if not self.fast:
+            return [array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t in texts]
         if len(self.parts) > CACHE_CHUNKS:
             self.parts.clear()
         if len(self.pieces) > CACHE_CHUNKS:

@@ -2,12 +2,15 @@
 
 A sequence is filled greedily with the longest piece that fits.  If a gap
 stays, its smallest piece is replaced by the two unpacked pieces whose sum fits
-the gap so widened most tightly, and that is repeated while it helps.
+the gap so widened most tightly, and that is repeated while it helps.  A piece
+that is alone in its sequence is never replaced: it is the longest that is left
+and would have to lie alone, or with what fits beside it, all the same.
 
 Documents longer than a sequence are cut; the first piece takes the remainder
-and the others fill a sequence each.  Null texts are empty texts; repeated rows
-are packed as often as they stand; an empty table gives no rows; extra columns
-are ignored.
+and the others fill a sequence each, however long the text is.  Null texts are
+empty texts; repeated rows are packed as often as they stand, ties go in any
+order; an empty table gives no rows; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -2,12 +2,17 @@
 
 Each file is an Arrow IPC stream of record batches with two fixed-size-list
 columns, ``ids`` and ``mask`` (true where an id belongs to a document).  Every
-batch but a file's last has ``BATCH`` sequences, so token ``k`` of a file is
-at batch ``k // (BATCH * length)`` without any search, and a memory-mapped
-file is read without copying.  A Parquet index has one row per document.
-
-Null texts are empty texts (one end id).  Documents are ordered by doc_id,
-null ids first, repeated ids by a hash of the text; extra columns are ignored.
+batch but a file's last has ``BATCH`` sequences, so sequence ``k`` of a file is
+row ``k % BATCH`` of batch ``k // BATCH`` without any search, and a
+memory-mapped file is read without copying (``TokenFile``).  A file ends with
+the document that takes it to ``FILE_TOKENS`` ids or ``FILE_DOCUMENTS``
+documents, so files stay of one size however the table is partitioned.  A
+Parquet index has one row per document.
+
+Null texts are empty texts (one end id), very long ones are encoded whole.
+Documents are ordered by doc_id, null ids first, repeated ids by a hash of the
+text, repeated rows in any order; an empty table gives no files and no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from .session import arrow_map, fresh_path, written
 
 #: Sequences in a record batch.
 BATCH = 256
+#: A file ends with the document that takes it to so many ids or documents.
+FILE_TOKENS, FILE_DOCUMENTS = 1 << 26, 1 << 19
 
 
 def file_system(path: str):
@@ -43,53 +50,56 @@ def _writer(folder: str, vocabulary: str, length: int, end_id: int):
         enc = encoder(vocabulary)
         kind = pa.from_numpy_dtype(enc.dtype)
         schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
-        part, end = TaskContext.get().partitionId(), np.array([end_id], enc.dtype).tobytes()
-        name = f"part-{part:07d}-{uuid.uuid4().hex}.arrows"
+        part, end = TaskContext.get().partitionId() << 24, np.array([end_id], enc.dtype).tobytes()
         system, inside = file_system(folder)
-        sink = out = None
-        held, step, at = bytearray(), BATCH * length * enc.dtype.itemsize, 0
+        step, width = BATCH * length * enc.dtype.itemsize, enc.dtype.itemsize
+        full_mask = pa.FixedSizeListArray.from_arrays(pa.array(np.ones(BATCH * length, bool)), length)
+        name = sink = out = None
+        held, at, documents = bytearray(), 0, 0
 
-        def put(data: bytes, n: int) -> None:
+        def put(data: bytes) -> None:
+            n = len(data) // width
             rows = -(-n // length)
-            ids = np.zeros(rows * length, enc.dtype)
-            ids[:n] = np.frombuffer(data, enc.dtype)
-            out.write_batch(
-                pa.record_batch(
-                    [
-                        pa.FixedSizeListArray.from_arrays(pa.array(ids), length),
-                        pa.FixedSizeListArray.from_arrays(pa.array(np.arange(rows * length) < n), length),
-                    ],
-                    schema=schema,
-                )
-            )
+            ids = np.frombuffer(data, enc.dtype)
+            if n < rows * length:
+                ids = np.concatenate([ids, np.zeros(rows * length - n, enc.dtype)])
+            mask = full_mask if n == BATCH * length else pa.FixedSizeListArray.from_arrays(pa.array(np.arange(rows * length) < n), length)
+            out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), mask], schema=schema))
+
+        def finish() -> None:
+            nonlocal part, name, held, at, documents
+            if held:
+                put(bytes(held))
+            out.close()
+            sink.close()
+            part, name, held, at, documents = part + 1, None, bytearray(), 0, 0
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes = []
+            texts, rows = batch.column(1).to_pylist(), []
             for k in range(0, len(texts), 256):
                 for ids in enc.many(texts[k : k + 256]):
-                    if out is None:
+                    if name is None:
+                        name = f"part-{part:012d}-{uuid.uuid4().hex}.arrows"
                         system.create_dir(inside, recursive=True)
                         sink = system.open_output_stream(f"{inside}/{name}")
                         out = pa.ipc.new_stream(sink, schema)
-                    held += ids + end
-                    sizes.append(len(ids) // enc.dtype.itemsize + 1)
-                    full = len(held) // step * step
-                    for s in range(0, full, step):
-                        put(bytes(held[s : s + step]), BATCH * length)
-                    del held[:full]
-            n = np.array(sizes, np.int64)
-            ends = at + np.cumsum(n)
-            yield pa.record_batch(
-                [batch.column(0), pa.array([part] * len(n), pa.int64()), pa.array([name] * len(n), pa.string()), pa.array(ends - n), pa.array(n)],
-                names=["doc_id", "part", "file", "at", "n_tokens"],
-            )
-            at = int(ends[-1]) if len(ends) else at
-        if out is not None:
-            if held:
-                put(bytes(held), len(held) // enc.dtype.itemsize)
-            out.close()
-            sink.close()
+                    n = len(ids) // width + 1
+                    rows.append((part, name, at, n))
+                    held += ids
+                    held += end
+                    at, documents = at + n, documents + 1
+                    if len(held) >= step:
+                        full = len(held) // step * step
+                        for s in range(0, full, step):
+                            put(bytes(held[s : s + step]))
+                        del held[:full]
+                    if at >= FILE_TOKENS or documents >= FILE_DOCUMENTS:
+                        finish()
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "part", "file", "at", "n_tokens"])
+        if name is not None:
+            finish()
 
     return write
 
@@ -109,20 +119,41 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, length: int = 20
         .select("doc_id", "text")
     )
     index = written(ordered.transform(arrow_map, _writer(folder, vocabulary, length, end_id), "doc_id long, part long, file string, at long, n_tokens long"), "token-index")
-    # one row per file, and so as many rows as there were tasks
+    # one row per file: a task's, and one more for each FILE_TOKENS ids or FILE_DOCUMENTS documents
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     return index.join(files, "file").select("doc_id", "file", "at", "n_tokens", (F.col("before") + F.col("at")).alias("start"))
 
 
-def _open(folder: str, name: str) -> pa.Table:
+def _reader(folder: str, name: str) -> pa.RecordBatchReader:
+    """A file's batches, mapped where the file is local and streamed where it is not."""
     from pyarrow import fs
 
     system, inside = file_system(folder)
     path = f"{inside}/{name}"
-    source = pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
-    return pa.ipc.open_stream(source).read_all()
+    return pa.ipc.open_stream(pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_stream(path))
+
+
+class TokenFile:
+    """Random access to the sequences and documents of one file; nothing is copied from a mapped file."""
+
+    def __init__(self, folder: str, name: str):
+        self.batches = list(_reader(folder, name))
+
+    def __len__(self) -> int:
+        return sum(map(len, self.batches))
+
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``k``, as views of the file (the mask's bits are packed, so it stays an Arrow array)."""
+        batch, row = self.batches[k // BATCH], k % BATCH
+        ids, mask = batch.column(0), batch.column(1)
+        length = ids.type.list_size
+        return ids.flatten()[row * length : (row + 1) * length].to_numpy(), mask.flatten()[row * length : (row + 1) * length]
+
+    def document(self, at: int, n: int) -> np.ndarray:
+        """Ids ``at`` to ``at + n`` of the file; a view where one batch has them all."""
+        return read_ids([b.column(0).flatten().to_numpy() for b in self.batches], at, n)
 
 
 def read_ids(chunks: list[np.ndarray], at: int, n: int) -> np.ndarray:
@@ -133,14 +164,26 @@ def read_ids(chunks: list[np.ndarray], at: int, n: int) -> np.ndarray:
     return found[0] if len(found) == 1 else np.concatenate(found)
 
 
+def crc32s(batches: Iterator[np.ndarray], ends: np.ndarray) -> list[int]:
+    """crc32 of each document's ids (as 32-bit integers), the documents ending at ``ends``; batches are taken one at a time."""
+    out, crc, at, k = [], 0, 0, 0
+    for ids in batches:
+        wide, base = ids.astype("<u4"), at
+        while k < len(ends) and ends[k] <= base + len(wide):
+            out.append(zlib.crc32(wide[at - base : ends[k] - base], crc))
+            crc, at, k = 0, int(ends[k]), k + 1
+        if at < base + len(wide):
+            crc, at = zlib.crc32(wide[at - base :], crc), base + len(wide)
+    return out
+
+
 def read_digests(index: DataFrame, folder: str) -> DataFrame:
     """Each document's ids read back from the files: doc_id, start, n_tokens, ids_crc32."""
 
     def read(rows: pd.DataFrame) -> pd.DataFrame:
-        table = _open(folder, rows["file"].iloc[0])
-        chunks = [c.flatten().to_numpy() for c in table.column("ids").chunks]
-        crc = [zlib.crc32(read_ids(chunks, a, n).astype("<u4").tobytes()) for a, n in zip(rows["at"], rows["n_tokens"])]
-        return rows[["doc_id", "start", "n_tokens"]].assign(ids_crc32=crc)
+        rows = rows.sort_values("at", ignore_index=True)
+        ids = (b.column(0).flatten().to_numpy() for b in _reader(folder, rows["file"].iloc[0]))
+        return rows[["doc_id", "start", "n_tokens"]].assign(ids_crc32=crc32s(ids, (rows["at"] + rows["n_tokens"]).to_numpy()))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     return index.groupBy("file").applyInPandas(read, schema)
