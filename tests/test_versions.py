@@ -50,11 +50,23 @@ def test_address_ranges_hold_all_versions(log):
     assert [(bytes(r.key), r.commit_ts) for r in rows] == [(b"ccc", 2000), (b"ccc", 1500), (b"ccc", 1000), (b"kkk", 3000)]
 
 
-def test_exists_in_range_by_buckets_equals_plain(spark):
-    log = spark.createDataFrame([(1, k, 1, 0.0, k % 5 == 0) for k in range(0, 90, 3)], "keyspace int, key long, commit_ts long, value double, is_deleted boolean")
-    ranges = spark.createDataFrame([(1, a, a + w) for a in range(0, 100, 7) for w in (0, 1, 2, 9)], "keyspace int, lo long, hi long")
-    one, two = (V.exists_in_range(log, ranges, None, w).orderBy("lo", "hi").collect() for w in (None, 4.0))
-    assert one == two and {r.found for r in one} == {True, False}
+def test_exists_in_range_equals_brute_force(spark):
+    rows = [(1, k, ts, 0.0, (k + ts) % 5 == 0) for k in range(0, 90, 3) for ts in (1, 4, 7)]
+    log = spark.createDataFrame(rows, "keyspace int, key long, commit_ts long, value double, is_deleted boolean")
+    asked = [(1, a, a + w, t) for a in range(0, 100, 7) for w in (0, 1, 2, 9) for t in (0, 3, 5, 9)]
+
+    def live(k, t):
+        own = [r for r in rows if r[1] == k and r[2] <= t]
+        return bool(own) and not max(own, key=lambda r: r[2])[4]
+
+    ranges = spark.createDataFrame(asked, "keyspace int, lo long, hi long, as_of long")
+    want = {(lo, hi, t): any(live(k, t) for k in range(lo, hi)) for _, lo, hi, t in asked}
+    assert {(r.lo, r.hi, r.as_of): r.found for r in V.exists_in_range(log, ranges).collect()} == want and len(set(want.values())) == 2
+    binary = lambda df, *names: df.withColumns({n: F.encode(F.lpad(F.col(n).cast("string"), 4, "0"), "UTF-8") for n in names})
+    same = V.exists_in_range(binary(log, "key"), binary(ranges, "lo", "hi"))
+    assert {(int(bytes(r.lo)), int(bytes(r.hi)), r.as_of): r.found for r in same.collect()} == want
+    last = V.exists_in_range(log, ranges.select("keyspace", "lo", "hi").distinct(), 5).collect()
+    assert {(r.lo, r.hi): r.found for r in last} == {(lo, hi): f for (lo, hi, t), f in want.items() if t == 5}
 
 
 def test_as_of_and_vacuum(spark, log):

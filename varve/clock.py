@@ -23,6 +23,11 @@ def nanos(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) * F.lit(1000).cast("bigint")
 
 
+def whole(x: Column, n: int) -> Column:
+    """``x`` div ``n`` for longs, rounded down, with all digits."""
+    return F.call_function("div", x - F.pmod(x, F.lit(n).cast("bigint")), F.lit(n).cast("bigint"))
+
+
 def physical(ts: Column) -> Column:
     """The wall-clock part of a clock value."""
     return ts.bitwiseAND(F.lit(~LOGICAL_MASK).cast("bigint"))
@@ -40,12 +45,12 @@ def subtract(a: Column, b: Column) -> Column:
 
 def as_timestamp(ts: Column) -> Column:
     """For display only: a TIMESTAMP has microseconds."""
-    return F.timestamp_micros(F.floor(ts / 1000).cast("bigint"))
+    return F.timestamp_micros(whole(ts, 1000))
 
 
 def offset(t1: Column, t2: Column, t4: Column) -> Column:
     """Clock offset from a request sent at t1, seen by the peer at t2 and answered at t4."""
-    return F.abs(((t2 - t1) + (t2 - t4)) / 2)
+    return whole(F.abs((t2 - t1) + (t2 - t4)), 2)
 
 
 class Clock:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,17 +72,20 @@ def bucket(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def partition_id(key: Column, n: int) -> Column:
-    """``xxh64(key, seed 0) mod n`` for exact partition ids; ``bucket`` is the faster choice for layout."""
+#: The value whose XXH64 with the engine's own seed is 0, so that what is hashed after it is hashed with seed 0.
+_TO_SEED_0 = -365884300664092260
 
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
 
-        for keys in batches:
-            yield keys.map(lambda k: None if k is None else xxhash.xxh64_intdigest(bytes(k), 0) % n)
+def xxh64(key: Column) -> Column:
+    """XXH64 of bytes with seed 0, as a signed long."""
+    return F.xxhash64(F.lit(_TO_SEED_0).cast("bigint"), key.cast("binary"))
 
-    return of(key.cast("binary"))
+
+def partition_id(key: Column, n: int) -> Column:
+    """``xxh64(key, seed 0) mod n``, the hash taken as unsigned; null for a null key."""
+    h = xxh64(key)
+    half = F.shiftrightunsigned(h, 1)
+    return F.when(key.isNotNull(), ((half % n) * 2 + h.bitwiseAND(F.lit(1).cast("bigint"))) % n)
 
 
 def byte_size(text: str) -> int:

@@ -60,6 +60,17 @@ class FailedPrecondition(Exception):
     """A lock check or an expected version did not hold."""
 
 
+def error_of(code: Column) -> Column:
+    """Error that a result code becomes for the caller, null for Success; an unknown code is an internal error."""
+    table = F.create_map(*[F.lit(x) for pair in ERROR_OF_CODE.items() for x in pair])
+    return F.when(code != SUCCESS, F.coalesce(F.try_element_at(table, code), F.lit("Internal")))
+
+
+def decoded(code: Column, value: Column) -> Column:
+    """struct(value, error) of a point read's result: a missing key is a null value, any other failure an error."""
+    return F.struct(F.when(code == SUCCESS, value).alias("value"), F.when(code != KEY_NOT_FOUND, error_of(code)).alias("error"))
+
+
 def valid_keyspace(column: Column) -> Column:
     """True for keyspaces that users may write to."""
     return column >= FIRST_USER_KEYSPACE

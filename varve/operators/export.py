@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import FIRST_USER_KEYSPACE
+from ..clock import whole
+from ..model import FIRST_USER_KEYSPACE, FailedPrecondition, InvalidRequest
+from .ordered import numbered
 
 CHUNK = 10_000
 
@@ -23,13 +25,26 @@ def address_range(versions: DataFrame, start: tuple[int, object, int] | None = N
 def chunks(versions: DataFrame, size: int = CHUNK, start: tuple[int, object, int] | None = None) -> DataFrame:
     """Versions in address order with ``chunk``, from 0, of ``size`` rows each.
 
-    Rows are range-partitioned and sorted in parallel; only one count for each
-    partition is summed up to number them.
+    Rows are range-partitioned, sorted and written once, in parallel; only one
+    count for each partition is summed up to number them.
     """
-    order = ["keyspace", "key", F.desc("commit_ts")]
-    ranged = address_range(versions, start).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    numbered = ranged.withColumn("within", within).join(before, "part")
-    return numbered.withColumn("chunk", F.floor((F.col("before") + F.col("within")) / size)).drop("part", "within", "before")
+    rows = numbered(address_range(versions, start), ["keyspace", "key", F.desc("commit_ts")], "at")
+    return rows.withColumn("chunk", whole(F.col("at"), size)).drop("at")
+
+
+def stream(versions: DataFrame, index: int, min_index: int = 0, size: int = CHUNK, start: tuple[int, object, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chunks of a partition, and one row for each that is sent: chunk, n, completed.
+
+    ``index`` is the last applied one of the log and must have reached
+    ``min_index``; ``start`` must lie in a user keyspace.  The last chunk is
+    the one that is not full, empty if need be; it alone is completed.
+    """
+    if index < min_index:
+        raise FailedPrecondition("the log has not reached the index")
+    if start is not None and start[0] < FIRST_USER_KEYSPACE:
+        raise InvalidRequest("the start lies in a system keyspace")
+    rows = chunks(versions, size, start)
+    sent = rows.groupBy("chunk").agg(F.count("*").alias("n"))
+    last = sent.agg(F.coalesce(F.max(F.when(F.col("n") < size, F.col("chunk")).otherwise(F.col("chunk") + 1)), F.lit(0).cast("bigint")).alias("chunk"))
+    index_rows = sent.join(last, "chunk", "full").select("chunk", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    return rows, index_rows.withColumn("completed", F.col("n") < size)

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import cuts, range_of
+
 KEYS = ("keyspace", "key")
+#: Records of a range read that is asked for by a transaction, at most.
+MOST_RESULTS = 1000
 
 
 def at(versions: DataFrame, snapshot: int | None) -> DataFrame:
@@ -45,11 +49,20 @@ def in_range(key: Column, start: object, end: object | None = None) -> Column:
     return (key >= F.lit(start)) if end is None else (key >= F.lit(start)) & (key < F.lit(end))
 
 
-def range_read(versions: DataFrame, keyspace: int, start: object, end: object, ts: int | None = None, limit: int = 0) -> DataFrame:
-    """Live records with keys in [start, end), in key order; a limit of 0 is none."""
+def range_read(versions: DataFrame, keyspace: int, start: object, end: object, ts: int | None = None, limit: int = 0, most: int = 0, corrupt: Column | None = None, skip_corrupt: bool = True) -> DataFrame:
+    """Live records with keys in [start, end), in key order.
+
+    At most ``limit`` of them, and never more than ``most``; 0 is no bound.
+    Records for which ``corrupt`` holds are left out before the bound, or, with
+    ``skip_corrupt`` false, kept and marked in a column ``corrupt``.
+    """
     found = versions.filter((F.col("keyspace") == keyspace) & in_range(F.col("key"), start, end))
-    live = snapshot(found, ts).orderBy("key")
-    return live.limit(limit) if limit else live
+    live = snapshot(found, ts)
+    if corrupt is not None:
+        bad = F.coalesce(corrupt, F.lit(True))
+        live = live.filter(~bad) if skip_corrupt else live.withColumn("corrupt", bad)
+    bound = min([n for n in (limit, most) if n], default=0)
+    return live.orderBy("key").limit(bound) if bound else live.orderBy("key")
 
 
 def exists(versions: DataFrame, requests: DataFrame, ts: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -58,23 +71,27 @@ def exists(versions: DataFrame, requests: DataFrame, ts: int | None = None, keys
     return requests.join(live.select(*keys, F.lit(True).alias("found")), list(keys), "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def exists_in_range(versions: DataFrame, ranges: DataFrame, ts: int | None = None, width: float | None = None) -> DataFrame:
+def exists_in_range(versions: DataFrame, ranges: DataFrame, ts: int | None = None) -> DataFrame:
     """Ranges (keyspace, lo, hi) with ``found``: whether any live key is in [lo, hi).
 
-    With ``width``, numeric keys meet their ranges by buckets of that width
-    instead of all keys of the keyspace.
+    With a column ``as_of``, each range is looked at as of its own timestamp.
+    Keys of any type that orders meet ranges by the parts into which sampled
+    keys cut them, and not by the whole keyspace.
     """
-    live = snapshot(versions, ts).select("keyspace", "key")
-    spans = ranges.select("keyspace", "lo", "hi").distinct()
-    inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
-    if width:
-        live = live.withColumn("bucket", F.floor(F.col("key") / width))
-        buckets = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
-        hit = spans.filter("lo < hi").withColumn("bucket", buckets).join(live, ["keyspace", "bucket"]).filter(inside)
+    own = ["keyspace", "lo", "hi", *(["as_of"] if "as_of" in ranges.columns else [])]
+    if "as_of" in own:
+        live = validity(versions).filter(~F.col("is_deleted")).select("keyspace", "key", "valid_from", "valid_to")
     else:
-        hit = spans.join(live, "keyspace").filter(inside)
-    hit = hit.select("keyspace", "lo", "hi").distinct().withColumn("found", F.lit(True))
-    return ranges.join(hit, ["keyspace", "lo", "hi"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        live = snapshot(versions, ts).select("keyspace", "key")
+    at = cuts(live, "key")
+    parts = F.explode(F.sequence(range_of(F.col("lo"), at), range_of(F.col("hi"), at)))
+    spans = ranges.select(*own).distinct().filter("lo < hi").withColumn("part", parts)
+    inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
+    if "as_of" in own:
+        inside &= (F.col("valid_from") <= F.col("as_of")) & F.coalesce(F.col("valid_to") > F.col("as_of"), F.lit(True))
+    live = live.withColumn("part", range_of(F.col("key"), at)).withColumnRenamed("keyspace", "space")
+    hit = spans.join(live, (F.col("keyspace") == F.col("space")) & (spans["part"] == live["part"]) & inside, "left_semi").select(*own).distinct().withColumn("found", F.lit(True))
+    return ranges.join(hit, own, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def exact(versions: DataFrame, requests: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def kv_latest(spark, sf_dir):
 
 
 def kv_multiget(spark, sf_dir):
-    asked = _table(spark, sf_dir, "customer").filter("c_custkey <= 40").select(F.lit(100).alias("keyspace"), F.col("c_custkey").alias("key"), F.col("c_custkey").alias("pos"))
+    asked = _table(spark, sf_dir, "customer").select(F.lit(100).alias("keyspace"), F.col("c_custkey").alias("key"), F.col("c_custkey").alias("pos"))
     return versions.multi_get(_versions(spark, sf_dir), asked, SNAPSHOT).select("key", "value")
 
 
@@ -44,7 +44,7 @@ def kv_exists(spark, sf_dir):
 
 def kv_exists_in_range(spark, sf_dir):
     ranges = _table(spark, sf_dir, "nation").select(F.lit(100).alias("keyspace"), (F.col("n_nationkey") * 8).cast("bigint").alias("lo"), (F.col("n_nationkey") * 8 + 3).cast("bigint").alias("hi"))
-    return versions.exists_in_range(_versions(spark, sf_dir), ranges, SNAPSHOT, width=8.0).select("lo", "hi", "found")
+    return versions.exists_in_range(_versions(spark, sf_dir), ranges, SNAPSHOT).select("lo", "hi", "found")
 
 
 def kv_exact_version(spark, sf_dir):
@@ -79,19 +79,155 @@ def kv_written_versions(spark, sf_dir):
     return actions.written_versions(done).select("key", "commit_ts", "value", "is_deleted")
 
 
-def txn_fold(spark, sf_dir):
-    """Events of a user within three hours as one transaction over ten shared keys of the user's."""
+def _grouped_actions(spark, sf_dir):
+    """Events of a user within three hours as one transaction over ten keys of the user's; some lock a key or a range instead."""
     acts = model.events_as_actions(_table(spark, sf_dir, "events"))
-    slot = F.floor(F.col("commit_ts") / (3 * 3600 * 1_000_000_000))
-    acts = acts.select(
+    span, id_ = 3 * 3600 * 1_000_000_000, F.col("txn")
+    slot, letter = clock.whole(F.col("commit_ts"), span), lambda x: F.concat_ws("/", F.col("key"), F.char(F.lit(97) + x))
+    kind = F.when(id_ % 11 == 0, "LockKey").when(id_ % 13 == 0, "LockRange").otherwise(F.col("kind"))
+    checks = F.when(id_ % 11 == 0, F.array(F.lit("MustExist"), F.lit("MustNotExist"), F.lit("None"))).when(id_ % 13 == 0, F.array(F.lit("MustBeEmpty"), F.lit("MustNotBeEmpty"), F.lit("None")))
+    return acts.select(
         F.concat_ws("-", F.col("key"), slot).alias("txn"),
         F.col("key").alias("owner"),
-        F.concat_ws("/", F.col("key"), F.col("txn") % 10).alias("key"),
-        (slot * 3 * 3600 * 1_000_000_000).cast("bigint").alias("commit_ts"),
+        letter(id_ % 10).alias("key"),
+        letter(id_ % 10 + 3).alias("end"),
+        (slot * span).alias("commit_ts"),
         F.col("txn").alias("action_id"),
-        "kind",
+        kind.alias("kind"),
+        F.get(checks, (clock.whole(id_, 7) % 3).cast("int")).alias("check"),
+    )
+
+
+def txn_fold(spark, sf_dir):
+    return actions.fold(_grouped_actions(spark, sf_dir), "owner")
+
+
+def txn_validate(spark, sf_dir):
+    """Three actions of an order, each looked up in the log just before the order's time."""
+    orders, id_ = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    each = orders.select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    kinds = F.array(*[F.lit(k) for k in ("Insert", "Update", "Upsert", "Delete", "LockKey", "LockRange", "Read")])
+    checks = F.when(F.col("kind") == "LockKey", F.array(F.lit("MustExist"), F.lit("MustNotExist"), F.lit("None"))).when(F.col("kind") == "LockRange", F.array(F.lit("MustNotBeEmpty"), F.lit("MustBeEmpty"), F.lit("None")))
+    acts = each.select(
+        F.col("o_orderkey").alias("txn"),
+        F.col("i").cast("bigint").alias("action_id"),
+        F.lit(100).alias("keyspace"),
+        F.get(kinds, ((id_ + F.col("i") * 3) % 7).cast("int")).alias("kind"),
+        ((F.col("o_custkey") + F.col("i") * 17) % 200).alias("key"),
+        ((F.col("o_custkey") + F.col("i") * 17) % 200 + F.col("o_orderkey") % 3).alias("end"),
+        (F.lit(1_704_067_200_000_000_000) + F.col("o_custkey") * 1_000_000_000_000).alias("commit_ts"),
+    )
+    acts = acts.withColumn("check", F.get(checks, (F.col("txn") % 3).cast("int")))
+    return actions.validated(acts, _versions(spark, sf_dir))
+
+
+def _commands(spark, sf_dir):
+    """Lines of an order as its transaction's commands: a first one that may start it, then any."""
+    from pyspark.sql import Window
+
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    lines = _table(spark, sf_dir, "lineitem").withColumn("seq", seq.cast("bigint"))
+    first = F.when(F.col("l_suppkey") % 8 == 0, "Abort").when(F.col("l_suppkey") % 8 == 1, "Autocommit").otherwise("Prepare")
+    later = F.get(F.array(*[F.lit(c) for c in ("Commit", "Abort", "StoreDecision", "MarkTimedout", "Prepare", "Commit", "MarkTimedout", "StoreDecision")]), (F.col("l_partkey") % 8).cast("int"))
+    return lines.select(
+        F.col("l_orderkey").alias("txn"),
+        "seq",
+        F.when(F.col("seq") == 1, first).otherwise(later).alias("command"),
+        (F.col("l_suppkey") + F.col("seq") * 4).alias("ts"),
+        (F.col("l_linenumber") % 3 != 0).alias("commit"),
+        (F.col("l_suppkey") + F.col("seq") * 4).alias("commit_ts"),
+        (F.col("l_linenumber") % 2 == 0).alias("release"),
+        (F.col("l_orderkey") % 5 != 0).alias("principal"),
+        F.when(F.col("l_partkey") % 9 == 0, "LockFailed").alias("failure"),
     )
-    return actions.fold(acts, "owner")
+
+
+def txn_apply(spark, sf_dir):
+    return txns.apply_commands(_commands(spark, sf_dir))
+
+
+def txn_final_status(spark, sf_dir):
+    return txns.final_status(_commands(spark, sf_dir)).select("txn", "state", "ts", "locks_released")
+
+
+def txn_route(spark, sf_dir):
+    acts = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("txn"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("key"))
+    return txns.routed(acts, 16).select("txn", "pos", "pid", F.col("action_id").cast("bigint").alias("action_id"), "principal", "participants")
+
+
+def txn_results(spark, sf_dir):
+    done = actions.outcomes(model.events_as_actions(_table(spark, sf_dir, "events")))
+    one = done.select(F.col("key").alias("txn"), (F.col("txn") % 4).alias("pid"), F.col("txn").alias("action_id"), "code")
+    return txns.collected(one.unionByName(one.withColumn("pid", F.col("pid") + 1)))
+
+
+def _arrivals(spark, sf_dir):
+    commands = F.array(*[F.lit(c) for c in txns.APPLY_ORDER])
+    ev = _table(spark, sf_dir, "events")
+    return ev.select((F.col("user_id") % 16).alias("partition"), F.col("event_id").alias("seq"), clock.whole(clock.nanos(F.col("ts")), 1_000_000).alias("ts"), F.get(commands, (F.col("event_id") % 6).cast("int")).alias("command"))
+
+
+def txn_batches(spark, sf_dir):
+    return txns.batches(_arrivals(spark, sf_dir))
+
+
+def txn_stamp(spark, sf_dir):
+    return txns.stamped(txns.batches(_arrivals(spark, sf_dir))).select("partition", "seq", "stamp")
+
+
+def txn_max_timestamp(spark, sf_dir):
+    return txns.monotonic_max(_arrivals(spark, sf_dir).select(F.col("ts").alias("max_timestamp")))
+
+
+def txn_read_only_collectable(spark, sf_dir):
+    reads = _table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("event_id").alias("txn"), clock.nanos(F.col("ts")).alias("prepared_ts"))
+    return txns.read_only_collectable(reads, SNAPSHOT)
+
+
+def _locking_actions(spark, sf_dir):
+    acts = _grouped_actions(spark, sf_dir)
+    return acts.withColumn("keyspace", F.lit(100)).withColumn("exclusive", F.when(F.col("kind").isin("LockKey", "LockRange"), F.col("action_id") % 2 == 0))
+
+
+def kv_locks(spark, sf_dir):
+    return locks.build_locks(_locking_actions(spark, sf_dir)).select("txn", "action_id", "lo", F.replace("hi", F.lit("\0"), F.lit("+")).alias("hi"), "exclusive")
+
+
+def txn_restore(spark, sf_dir):
+    acts = _locking_actions(spark, sf_dir)
+    prepared = acts.groupBy("txn").agg((F.min("action_id") % 3 == 0).alias("locks_released"), F.lit(1).alias("locks"))
+    _, kept = txns.saved(prepared, prepared)
+    return txns.restored(kept, acts).groupBy("txn").agg(F.count("*").alias("n_locks"), F.count_if("exclusive").alias("n_exclusive"))
+
+
+def kv_binary_lock_conflicts(spark, sf_dir):
+    """Key and range locks over binary keys: an owner's actions against those of the owner before, whose keys they share."""
+    mine = locks.build_locks(_locking_actions(spark, sf_dir).withColumn("key", F.substring_index("key", "/", -1).cast("binary")).withColumn("end", F.substring_index("end", "/", -1).cast("binary")))
+    mine = mine.withColumn("keyspace", F.floor(F.substring_index("txn", "-", 1).cast("bigint") / 2)).withColumn("id", F.col("action_id"))
+    return locks.conflicts(mine.filter("action_id % 2 = 0"), mine.filter("action_id % 2 = 1"))
+
+
+def kv_held_locks(spark, sf_dir):
+    acts = _locking_actions(spark, sf_dir)
+    prepared = acts.groupBy("txn").agg((F.min("action_id") % 3 == 0).alias("locks_released"))
+    return locks.held(locks.build_locks(acts), prepared).agg(F.count("*").alias("locks_held"))
+
+
+def kv_admission(spark, sf_dir):
+    safe = kv_safe_timestamp(spark, sf_dir)
+    asked = safe.withColumn("ts", F.lit(SNAPSHOT) + F.col("id") * 20_000_000_000_000)
+    return asked.select("id", locks.admitted(F.col("ts"), F.col("safe_ts"), F.col("id") % 2 == 0, F.col("id") % 3 == 0).alias("admission"))
+
+
+def kv_action_errors(spark, sf_dir):
+    done = actions.outcomes(model.events_as_actions(_table(spark, sf_dir, "events")))
+    read = model.decoded(F.col("code"), F.col("value"))
+    return done.select("txn", model.error_of(F.col("code")).alias("error_code"), read["value"].alias("value"), read["error"].alias("read_error"))
+
+
+def kv_range_read_corrupt(spark, sf_dir):
+    """A range read that leaves out the values that its check finds corrupt, bounded by the engine's cap."""
+    return versions.range_read(_versions(spark, sf_dir), 100, 10, 10_000_000, SNAPSHOT, 0, versions.MOST_RESULTS, F.col("value") < 20).select("key", "commit_ts", "value")
 
 
 def kv_lock_conflicts(spark, sf_dir):
@@ -102,13 +238,13 @@ def kv_lock_conflicts(spark, sf_dir):
         (F.col("l_partkey") + 5).alias("hi"),
         (F.col("l_linestatus") == "O").alias("exclusive"),
     ).distinct()
-    return locks.conflicts(rows, rows, width=64.0).filter("requested_id < held_id")
+    return locks.conflicts(rows, rows).filter("requested_id < held_id")
 
 
 def kv_safe_timestamp(spark, sf_dir):
     votes = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit(100).alias("keyspace"), F.col("user_id").alias("lo"), (F.col("user_id") + 1).alias("hi"), (F.col("event_type") != "view").alias("exclusive"), clock.nanos(F.col("ts")).alias("ts"))
     asked = votes.select(F.col("lo").alias("id"), "keyspace", "lo", "hi").distinct().withColumn("exclusive", F.lit(False))
-    return locks.safe_timestamps(asked, votes.filter(F.col("ts") > SNAPSHOT), 1_800_000_000_000_000_000, width=64.0)
+    return locks.safe_timestamps(asked, votes.filter(F.col("ts") > SNAPSHOT), 1_800_000_000_000_000_000)
 
 
 def _votes(spark, sf_dir):
@@ -127,11 +263,14 @@ def txn_read_only(spark, sf_dir):
 
 def _status(spark, sf_dir):
     states = F.create_map(*[F.lit(x) for p in (("F", "Committed"), ("O", "Prepared"), ("P", "Timedout")) for x in p])
-    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), states[F.col("o_orderstatus")].alias("state"), (F.col("o_custkey") % 2 == 0).alias("locks_released"), clock.nanos(F.col("o_orderdate")).alias("ts"))
+    state = F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0), "Decided").otherwise(states[F.col("o_orderstatus")])
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), state.alias("state"), (F.col("o_custkey") % 2 == 0).alias("locks_released"), clock.nanos(F.col("o_orderdate")).alias("ts"))
 
 
 def txn_status_counts(spark, sf_dir):
-    return txns.meters(_status(spark, sf_dir))
+    attempts = _commands(spark, sf_dir).select(F.coalesce("failure", F.when(F.col("seq") == 2, "KeyNotFound"), F.lit("Success")).alias("code"))
+    reads = _table(spark, sf_dir, "events").filter("event_type = 'view'")
+    return txns.meters(_status(spark, sf_dir), attempts, reads)
 
 
 def txn_watch(spark, sf_dir):
@@ -239,6 +378,15 @@ def export_chunks(spark, sf_dir):
     return out.groupBy("chunk").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
+def export_stream(spark, sf_dir):
+    return export.stream(_versions(spark, sf_dir), 7, 7, 1000)[1]
+
+
+def export_stream_full(spark, sf_dir):
+    """Chunks of which the last is full, so that an empty one completes the export."""
+    return export.stream(_versions(spark, sf_dir), 7, 7, 500)[1]
+
+
 def export_resume(spark, sf_dir):
     return export.address_range(_versions(spark, sf_dir), (100, 75, SNAPSHOT)).select("key", "commit_ts", "value")
 

@@ -17,7 +17,7 @@ _EDGES = """edges AS (SELECT DISTINCT * FROM (
   UNION ALL SELECT 4, CAST(l_orderkey AS VARCHAR), 2, 3, CAST(l_partkey AS VARCHAR) FROM lineitem))"""
 _VERTICES = """vertices AS (SELECT 1 AS type, CAST(c_custkey AS VARCHAR) AS value FROM customer UNION ALL SELECT 2, CAST(s_suppkey AS VARCHAR) FROM supplier
   UNION ALL SELECT 3, CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT 4, CAST(o_orderkey AS VARCHAR) FROM orders)"""
-_STATUS = """status AS (SELECT o_orderkey AS txn, CASE o_orderstatus WHEN 'F' THEN 'Committed' WHEN 'O' THEN 'Prepared' WHEN 'P' THEN 'Timedout' END AS state,
+_STATUS = """status AS (SELECT o_orderkey AS txn, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 = 0 THEN 'Decided' WHEN o_orderstatus = 'F' THEN 'Committed' WHEN o_orderstatus = 'O' THEN 'Prepared' WHEN o_orderstatus = 'P' THEN 'Timedout' END AS state,
   o_custkey % 2 = 0 AS locks_released, epoch_us(o_orderdate) * 1000 AS ts FROM orders)"""
 _REPLICAS = """replicas AS (SELECT o_custkey % 50 AS pid, o_orderkey AS replica, o_orderkey % 9 AS server,
   CASE o_orderkey % 5 WHEN 1 THEN 'NonVoter' WHEN 2 THEN 'Joining' WHEN 3 THEN 'Leaving' ELSE 'Voter' END AS state, 'r' || o_orderkey AS name, 'r' || o_orderkey AS leader,
@@ -26,10 +26,115 @@ _OPS = "ops AS (SELECT event_id AS txn, CASE WHEN event_type = 'view' THEN 'r' E
 _SAFE = """prepared AS (SELECT user_id AS key, min(epoch_us(ts) * 1000) AS first FROM events WHERE event_type <> 'view' AND epoch_us(ts) * 1000 > 1705000000000000000 GROUP BY 1),
 safe AS (SELECT DISTINCT e.user_id AS id, least(1800000000000000000, first - 1) AS safe_ts FROM events e LEFT JOIN prepared p ON p.key = e.user_id)"""
 
+_KIND = "CASE event_type WHEN 'signup' THEN 'Insert' WHEN 'click' THEN 'Upsert' WHEN 'purchase' THEN 'Update' WHEN 'error' THEN 'Delete' ELSE 'Read' END"
+_GROUPED = f"""g AS (SELECT user_id || '-' || (cts // 10800000000000) AS txn, user_id AS owner, user_id || '/' || chr(CAST(97 + event_id % 10 AS INTEGER)) AS key, user_id || '/' || chr(CAST(100 + event_id % 10 AS INTEGER)) AS hi,
+  chr(CAST(97 + event_id % 10 AS INTEGER)) AS letter, chr(CAST(100 + event_id % 10 AS INTEGER)) AS end_letter, cts // 10800000000000 * 10800000000000 AS commit_ts, event_id AS action_id,
+  CASE WHEN event_id % 11 = 0 THEN 'LockKey' WHEN event_id % 13 = 0 THEN 'LockRange' ELSE {_KIND} END AS kind,
+  CASE WHEN event_id % 11 = 0 THEN ['MustExist', 'MustNotExist', 'None'][event_id // 7 % 3 + 1] WHEN event_id % 13 = 0 THEN ['MustBeEmpty', 'MustNotBeEmpty', 'None'][event_id // 7 % 3 + 1] END AS chk
+  FROM (SELECT *, epoch_us(ts) * 1000 AS cts FROM events))"""
+_LOCKS = f"""{_GROUPED}, locks AS (SELECT txn, owner, action_id, key AS lo, CASE WHEN kind = 'LockRange' THEN hi ELSE key || '+' END AS hi, letter, CASE WHEN kind = 'LockRange' THEN end_letter ELSE letter || chr(1) END AS end_letter,
+  CASE WHEN kind IN ('LockKey', 'LockRange') THEN action_id % 2 = 0 ELSE kind <> 'Read' END AS exclusive FROM g)"""
+_COMMANDS = """cmd AS (SELECT txn, seq, CASE WHEN seq = 1 THEN CASE l_suppkey % 8 WHEN 0 THEN 'Abort' WHEN 1 THEN 'Autocommit' ELSE 'Prepare' END
+  ELSE ['Commit', 'Abort', 'StoreDecision', 'MarkTimedout', 'Prepare', 'Commit', 'MarkTimedout', 'StoreDecision'][l_partkey % 8 + 1] END AS command, l_suppkey + seq * 4 AS x_ts, l_linenumber % 3 <> 0 AS x_commit,
+  l_linenumber % 2 = 0 AS x_release, l_orderkey % 5 <> 0 AS principal, l_partkey % 9 = 0 AS refused
+  FROM (SELECT *, l_orderkey AS txn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq FROM lineitem))"""
+_MACHINE = f"""{_COMMANDS}, m(txn, seq, command, state, ts, prepared, dec, dec_ts, released, result, error) AS (
+  SELECT DISTINCT txn, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), false, CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM cmd
+  UNION ALL
+  SELECT txn, seq, command, CASE WHEN moves THEN target ELSE state END, CASE WHEN moves THEN x_ts ELSE ts END, prepared OR (moves AND command = 'Prepare'), CASE WHEN moves AND command = 'StoreDecision' THEN x_commit ELSE dec END,
+    CASE WHEN moves AND command = 'StoreDecision' THEN x_ts ELSE dec_ts END, released OR (moves AND command IN ('Commit', 'Abort', 'Autocommit')) OR (error IS NULL AND command = 'MarkTimedout' AND coalesce(state, '') = 'Timedout' AND x_release),
+    CASE WHEN error IS NULL THEN CASE WHEN no THEN 'Failed' WHEN moves THEN target ELSE state END END, error
+  FROM (SELECT *, error IS NULL AND NOT no AND (state IS NULL OR state = 'Prepared' AND command <> 'Prepare' OR state = 'Decided' AND command = 'Commit') AS moves
+    FROM (SELECT m.txn, cmd.seq, cmd.command, m.state, m.ts, m.prepared, m.dec, m.dec_ts, m.released, x_ts, x_commit, x_release, m.state IS NULL AND refused AS no,
+      CASE cmd.command WHEN 'Prepare' THEN 'Prepared' WHEN 'Abort' THEN 'Aborted' WHEN 'StoreDecision' THEN 'Decided' WHEN 'MarkTimedout' THEN 'Timedout' ELSE 'Committed' END AS target,
+      CASE WHEN m.state IS NULL THEN CASE WHEN cmd.command NOT IN ('Prepare', 'Autocommit') THEN 'NotFound' END
+        WHEN cmd.command = 'Prepare' THEN CASE WHEN m.state <> 'Prepared' THEN 'FailedPrecondition' END
+        WHEN cmd.command = 'Autocommit' THEN CASE WHEN m.state <> 'Committed' THEN 'FailedPrecondition' END
+        WHEN cmd.command IN ('StoreDecision', 'MarkTimedout') AND NOT principal THEN 'PermissionDenied'
+        WHEN NOT m.prepared THEN 'NotFound'
+        WHEN cmd.command = 'Commit' THEN CASE m.state WHEN 'Committed' THEN NULL WHEN 'Decided' THEN CASE WHEN x_ts <> m.dec_ts THEN 'InvalidRequest' END WHEN 'Prepared' THEN CASE WHEN x_ts < m.ts THEN 'InvalidRequest' END ELSE 'FailedPrecondition' END
+        WHEN cmd.command = 'Abort' THEN CASE WHEN m.state NOT IN ('Aborted', 'Timedout', 'Prepared') THEN 'FailedPrecondition' END
+        WHEN cmd.command = 'StoreDecision' THEN CASE m.state WHEN 'Decided' THEN CASE WHEN x_commit <> m.dec THEN 'FailedPrecondition' END WHEN 'Timedout' THEN NULL WHEN 'Prepared' THEN CASE WHEN x_ts < m.ts THEN 'InvalidRequest' END ELSE 'FailedPrecondition' END
+        ELSE CASE WHEN m.state NOT IN ('Timedout', 'Prepared') THEN 'FailedPrecondition' END END AS error
+      FROM m JOIN cmd ON cmd.txn = m.txn AND cmd.seq = m.seq + 1)))"""
+_BATCHES = """a AS (SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY ts, seq) AS n FROM (SELECT user_id % 16 AS "partition", event_id AS seq, epoch_us(ts) * 1000 // 1000000 AS ts,
+  ['Abort', 'MarkTimedout', 'Commit', 'Autocommit', 'Prepare', 'StoreDecision'][event_id % 6 + 1] AS command FROM events)),
+b("partition", n, seq, first, size, batch) AS (SELECT DISTINCT "partition", CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 100, CAST(-1 AS BIGINT) FROM a
+  UNION ALL SELECT a."partition", a.n, a.seq, CASE WHEN size >= 100 OR ts - first >= 10000000 THEN ts ELSE first END, CASE WHEN size >= 100 OR ts - first >= 10000000 THEN 1 ELSE size + 1 END,
+    CASE WHEN size >= 100 OR ts - first >= 10000000 THEN batch + 1 ELSE batch END FROM b JOIN a ON a."partition" = b."partition" AND a.n = b.n + 1)"""
+
+# XXH64 with seed 0 of keys of less than 8 bytes: its primes, and 64-bit arithmetic in 128 bits
+_P1, _P2, _P3, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 2870177450012600261
+_U = lambda x: f"CAST({x} AS UHUGEINT)"
+_MUL = lambda a, b: f"(({_U(a)} * {_U(b)}) % {_U(1 << 64)})"
+_XOR = lambda a, b: f"CAST(xor(CAST({a} AS UBIGINT), CAST({b} AS UBIGINT)) AS UHUGEINT)"
+_ROT = lambda x, r: f"(({x} * {_U(1 << r)}) % {_U(1 << 64)} + {x} // {_U(1 << (64 - r))})"
+_ADD = lambda a, b: f"(({a} + {_U(b)}) % {_U(1 << 64)})"
+
+
+def _xxh(rows: str) -> str:
+    """CTEs that end in h5(*, h): ``rows`` (with a column k, a string) and the hash of k."""
+    byte = "unicode(substr(k, {}, 1))"
+    lane = " + ".join(f"{byte.format(i + 1)} * {256**i}" for i in range(4))
+    return f"""h0 AS (SELECT *, {_ADD(_U("length(k)"), _P5)} AS h FROM ({rows})),
+h1 AS (SELECT * REPLACE (CASE WHEN length(k) >= 4 THEN {_XOR("h", _MUL(lane, _P1))} ELSE h END AS h) FROM h0),
+h2 AS (SELECT * REPLACE (CASE WHEN length(k) >= 4 THEN {_ADD(_MUL(_ROT("h", 23), _P2), _P3)} ELSE h END AS h) FROM h1),
+h3 AS (SELECT * REPLACE (list_reduce(list_prepend(h, list_transform(range(CASE WHEN length(k) >= 4 THEN 5 ELSE 1 END, length(k) + 1), lambda i: {_U(byte.format("i"))})),
+  lambda x, b: {_MUL(_ROT(_XOR("x", _MUL("b", _P5)), 11), _P1)}) AS h) FROM h2),
+h4 AS (SELECT * REPLACE ({_MUL(_XOR("h", f"h // {_U(1 << 33)}"), _P2)} AS h) FROM h3),
+h5 AS (SELECT * REPLACE ({_XOR("x", f"x // {_U(1 << 32)}")} AS h) FROM (SELECT *, {_MUL(_XOR("h", f"h // {_U(1 << 29)}"), _P3)} AS x FROM h4))"""
+
+
 SQL = {
+    "txn_fold": f"""WITH RECURSIVE {_GROUPED}, t AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY commit_ts, txn) AS n FROM (SELECT owner, txn, commit_ts,
+          list({{'a': action_id, 'kind': kind, 'key': key, 'hi': hi, 'chk': chk}} ORDER BY action_id) AS acts FROM g GROUP BY owner, txn, commit_ts)),
+        f(owner, n, live, txn, commit_ts, code, failed_action) AS (SELECT DISTINCT owner, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), '', CAST(0 AS BIGINT), '', CAST(NULL AS BIGINT) FROM t
+          UNION ALL SELECT owner, n, CASE WHEN bad IS NOT NULL THEN live ELSE list_concat(list_filter(live, lambda k: NOT list_contains(touched, k)),
+              list_filter(list_distinct(touched), lambda k: list_filter(acts, lambda x: x.key = k AND x.kind IN ('Insert', 'Update', 'Upsert', 'Delete'))[-1].kind <> 'Delete')) END, txn, commit_ts,
+            CASE WHEN bad IS NULL THEN 'Success' WHEN bad.kind = 'Insert' THEN 'KeyAlreadyExists' WHEN bad.kind IN ('Update', 'Delete') THEN 'KeyNotFound' ELSE 'LockCheckFailed' END, bad.a
+          FROM (SELECT f.owner, t.n, f.live, t.txn, t.commit_ts, t.acts, list_transform(list_filter(t.acts, lambda x: x.kind IN ('Insert', 'Update', 'Upsert', 'Delete')), lambda x: x.key) AS touched,
+              list_filter(t.acts, lambda x: coalesce(CASE WHEN x.kind = 'Insert' OR x.chk = 'MustNotExist' THEN list_contains(f.live, x.key) WHEN x.kind IN ('Update', 'Delete') OR x.chk = 'MustExist' THEN NOT list_contains(f.live, x.key)
+                WHEN x.chk = 'MustBeEmpty' THEN len(list_filter(f.live, lambda k: k >= x.key AND k < x.hi)) > 0 WHEN x.chk = 'MustNotBeEmpty' THEN len(list_filter(f.live, lambda k: k >= x.key AND k < x.hi)) = 0 END, false))[1] AS bad
+            FROM f JOIN t ON t.owner = f.owner AND t.n = f.n + 1))
+        SELECT txn, commit_ts, code, failed_action FROM f WHERE n > 0""",
+    "txn_validate": f"""WITH {_LOG}, iv AS (SELECT key, commit_ts AS f, lead(commit_ts) OVER (PARTITION BY key ORDER BY commit_ts) AS t, is_deleted FROM log),
+        a AS (SELECT o_orderkey AS txn, i AS action_id, ['Insert', 'Update', 'Upsert', 'Delete', 'LockKey', 'LockRange', 'Read'][(o_orderkey + i * 3) % 7 + 1] AS kind, (o_custkey + i * 17) % 200 AS key,
+          (o_custkey + i * 17) % 200 + o_orderkey % 3 AS hi, 1704067200000000000 + o_custkey * 1000000000000 AS commit_ts FROM orders, (SELECT unnest(range(3)) AS i)),
+        b AS (SELECT *, CASE kind WHEN 'LockKey' THEN ['MustExist', 'MustNotExist', 'None'][txn % 3 + 1] WHEN 'LockRange' THEN ['MustNotBeEmpty', 'MustBeEmpty', 'None'][txn % 3 + 1] ELSE '' END AS chk, row_number() OVER () AS id FROM a),
+        there AS (SELECT DISTINCT id FROM b JOIN iv ON iv.key >= b.key AND iv.key < CASE WHEN kind = 'LockRange' THEN b.hi ELSE b.key + 1 END WHERE NOT is_deleted AND f <= commit_ts - 1 AND coalesce(t > commit_ts - 1, true)),
+        x AS (SELECT *, id IN (SELECT id FROM there) AS found FROM b),
+        y AS (SELECT *, CASE WHEN kind = 'Insert' AND found THEN 'KeyAlreadyExists' WHEN kind IN ('Update', 'Delete') AND NOT found THEN 'KeyNotFound' WHEN chk IN ('MustExist', 'MustNotBeEmpty') AND NOT found THEN 'LockCheckFailed'
+          WHEN chk IN ('MustNotExist', 'MustBeEmpty') AND found THEN 'LockCheckFailed' END AS why FROM x)
+        SELECT txn, commit_ts, coalesce(arg_min(why, action_id) FILTER (why IS NOT NULL), 'Success') AS code, min(action_id) FILTER (why IS NOT NULL) AS failed_action FROM y GROUP BY txn, commit_ts""",
+    "txn_apply": f"WITH RECURSIVE {_MACHINE} SELECT txn, seq, command, result AS state, error FROM m WHERE seq > 0",
+    "txn_final_status": f"WITH RECURSIVE {_MACHINE} SELECT txn, arg_max(state, seq) AS state, arg_max(ts, seq) AS ts, arg_max(released, seq) AS locks_released FROM m WHERE state IS NOT NULL GROUP BY txn",
+    "txn_route": f"""WITH {_xxh("SELECT o_custkey AS txn, o_orderkey AS pos, CAST(o_orderkey AS VARCHAR) AS k FROM orders")}, p AS (SELECT txn, pos, CAST(h % 16 AS BIGINT) AS pid FROM h5)
+        SELECT txn, pos, pid, row_number() OVER (PARTITION BY txn ORDER BY pos) - 1 AS action_id, first_value(pid) OVER (PARTITION BY txn ORDER BY pos) AS principal, n AS participants
+        FROM p JOIN (SELECT txn, count(DISTINCT pid) AS n FROM p GROUP BY 1) USING (txn)""",
+    "partition_ids": f"""WITH {_xxh("SELECT event_id, CAST(user_id AS VARCHAR) AS k FROM events")} SELECT event_id, CAST(h % 16 AS BIGINT) AS pid FROM h5""",
+    "txn_results": f"""WITH {_ACTS}, e AS (SELECT *, CASE code WHEN 'KeyNotFound' THEN 'NotFound' WHEN 'KeyAlreadyExists' THEN 'AlreadyExists' END AS error FROM done)
+        SELECT key AS txn, count(*) AS n_actions, count(error) AS n_failed, string_agg(code, ',' ORDER BY txn) AS codes, coalesce(array_to_string(list_sort(list_distinct(list(error))), ','), '') AS errors FROM e GROUP BY 1""",
+    "txn_batches": f"""WITH RECURSIVE {_BATCHES} SELECT a."partition", a.seq, ts, command, batch, CAST(list_position(['Abort', 'MarkTimedout', 'Commit', 'Autocommit', 'Prepare', 'StoreDecision'], command) AS BIGINT) AS apply
+        FROM a JOIN b ON a."partition" = b."partition" AND a.n = b.n""",
+    "txn_stamp": f"""WITH RECURSIVE {_BATCHES}, c AS (SELECT a."partition", a.seq, ts, command, batch, command = 'Commit' AS own FROM a JOIN b ON a."partition" = b."partition" AND a.n = b.n)
+        SELECT "partition", seq, CASE WHEN own THEN ts ELSE min(ts) OVER (PARTITION BY "partition", batch) + row_number() OVER (PARTITION BY "partition", batch, own
+          ORDER BY list_position(['Autocommit', 'Prepare', 'Abort', 'StoreDecision', 'MarkTimedout'], command), seq) END AS stamp FROM c""",
+    "txn_max_timestamp": "SELECT max(epoch_us(ts) * 1000 // 1000000) AS max_timestamp FROM events",
+    "txn_read_only_collectable": "SELECT event_id AS txn, epoch_us(ts) * 1000 AS prepared_ts FROM events WHERE event_type = 'view' AND epoch_us(ts) * 1000 < 1705000000000000000 - 5000000000",
+    "kv_locks": f"WITH {_LOCKS} SELECT txn, action_id, lo, hi, exclusive FROM locks",
+    "txn_restore": f"WITH {_LOCKS} SELECT txn, count(*) AS n_locks, count(*) FILTER (exclusive) AS n_exclusive FROM locks GROUP BY 1 HAVING min(action_id) % 3 <> 0",
+    "kv_binary_lock_conflicts": f"""WITH {_LOCKS} SELECT a.action_id AS requested_id, b.action_id AS held_id FROM locks a JOIN locks b ON a.owner // 2 = b.owner // 2 AND a.letter < b.end_letter AND a.end_letter > b.letter
+        AND (a.exclusive OR b.exclusive) WHERE a.action_id % 2 = 0 AND b.action_id % 2 = 1""",
+    "kv_held_locks": f"WITH {_LOCKS}, t AS (SELECT count(*) AS n FROM locks GROUP BY txn HAVING min(action_id) % 3 <> 0) SELECT CAST(sum(n) AS BIGINT) AS locks_held FROM t",
+    "kv_admission": f"""WITH {_SAFE} SELECT id, CASE WHEN 1705000000000000000 + id * 20000000000000 <= safe_ts THEN 'ok' WHEN id % 2 = 0 OR id % 3 <> 0 THEN 'TimeOutOfRange' ELSE 'bump' END AS admission FROM safe""",
+    "kv_action_errors": f"""WITH {_ACTS} SELECT txn, CASE code WHEN 'KeyNotFound' THEN 'NotFound' WHEN 'KeyAlreadyExists' THEN 'AlreadyExists' END AS error_code, CASE WHEN code = 'Success' THEN value END AS value,
+        CASE code WHEN 'KeyAlreadyExists' THEN 'AlreadyExists' END AS read_error FROM done""",
+    "kv_range_read_corrupt": f"WITH {_LIVE} SELECT key, commit_ts, value FROM live WHERE key >= 10 AND key < 10000000 AND value >= 20 ORDER BY key LIMIT 1000",
+    "export_stream": f"WITH {_LOG}, t AS (SELECT count(*) AS c FROM log) SELECT k AS chunk, least(1000, c - k * 1000) AS n, c - k * 1000 < 1000 AS completed FROM (SELECT c, unnest(range(0, c // 1000 + 1)) AS k FROM t)",
+    "export_stream_full": f"WITH {_LOG}, t AS (SELECT count(*) AS c FROM log) SELECT k AS chunk, least(500, c - k * 500) AS n, c - k * 500 < 500 AS completed FROM (SELECT c, unnest(range(0, c // 500 + 1)) AS k FROM t)",
     "kv_snapshot_read": f"WITH {_LIVE} SELECT key, commit_ts, value FROM live",
     "kv_latest": f"WITH {_LOG}, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) AS rn FROM log) SELECT key, commit_ts, value FROM s WHERE rn = 1 AND NOT is_deleted",
-    "kv_multiget": f"WITH {_LIVE} SELECT c_custkey AS key, value FROM customer LEFT JOIN live ON key = c_custkey WHERE c_custkey <= 40",
+    "kv_multiget": f"WITH {_LIVE} SELECT c_custkey AS key, value FROM customer LEFT JOIN live ON key = c_custkey",
     "kv_range_read_limit": f"WITH {_LIVE} SELECT key, commit_ts, value FROM live WHERE key >= 10 AND key < 60 ORDER BY key LIMIT 20",
     "kv_exists": f"WITH {_LIVE} SELECT c_custkey AS key, live.key IS NOT NULL AS found FROM customer LEFT JOIN live ON live.key = c_custkey",
     "kv_exists_in_range": f"WITH {_LIVE}, r AS (SELECT CAST(n_nationkey * 8 AS BIGINT) AS lo, CAST(n_nationkey * 8 + 3 AS BIGINT) AS hi FROM nation) SELECT lo, hi, EXISTS (SELECT 1 FROM live WHERE key >= lo AND key < hi) AS found FROM r",
@@ -49,9 +154,11 @@ SQL = {
     "txn_read_timestamp": f"WITH {_SAFE} SELECT max(safe_ts) AS read_ts FROM safe",
     "txn_decide": "SELECT l_orderkey AS txn, count(*) AS n_votes, bool_and(l_returnflag <> 'R') AS commit, CASE WHEN bool_and(l_returnflag <> 'R') THEN max(l_partkey) END AS commit_ts FROM lineitem GROUP BY 1",
     "txn_read_only": "SELECT user_id AS txn, count(*) AS n_actions, bool_and(event_type = 'view') AS read_only FROM events GROUP BY 1",
-    "txn_status_counts": f"""WITH {_STATUS} SELECT count(*) AS tracked, count(*) FILTER (state NOT IN ('Committed', 'Timedout')) AS running,
-        count(*) FILTER (state = 'Timedout') AS timedout, count(*) FILTER (NOT locks_released) AS locks_held FROM status""",
-    "txn_watch": f"WITH {_STATUS} SELECT txn, state, locks_released, ts, CASE WHEN 820454400000000000 - ts > 5000000000 THEN 'abort' ELSE 'wait' END AS todo FROM status WHERE state = 'Prepared'",
+    "txn_status_counts": f"""WITH {_STATUS}, {_COMMANDS} SELECT count(*) AS tracked, count(*) FILTER (state NOT IN ('Committed', 'Timedout')) AS running,
+        count(*) FILTER (state = 'Timedout') AS timedout, count(*) FILTER (NOT locks_released) AS locks_held, (SELECT count(*) FROM cmd WHERE refused) AS locks_failed,
+        (SELECT count(*) FROM cmd WHERE seq = 2 AND NOT refused) AS validation_failed, (SELECT count(*) FROM events WHERE event_type = 'view') AS prepared_reads FROM status""",
+    "txn_watch": f"""WITH {_STATUS} SELECT txn, state, locks_released, ts, CASE WHEN state = 'Prepared' AND 820454400000000000 - ts > 5000000000 THEN 'abort' WHEN state = 'Decided' AND 820454400000000000 - ts > 2000000000 THEN 'finish'
+        ELSE 'wait' END AS todo FROM status WHERE state IN ('Prepared', 'Decided')""",
     "txn_collectable": f"WITH {_STATUS} SELECT txn, state, ts FROM status WHERE state IN ('Committed', 'Timedout') AND locks_released AND ts < 820454400000000000 - 10000000000",
     "hlc_split": "SELECT event_id, epoch_us(ts) * 1000 AS hlc, epoch_us(ts) * 1000 - (epoch_us(ts) * 1000) % 65536 AS physical, (epoch_us(ts) * 1000) % 65536 AS logical FROM events",
     "graph_vertex_keys": f"WITH {_VERTICES} SELECT type, value, {_VERTEX.format(t='type', v='value')} AS key_hex FROM vertices",
