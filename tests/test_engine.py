@@ -10,8 +10,9 @@ from varve import model
 from varve.clock import LOGICAL_MASK, Clock, ClockError
 from varve.functions import keys as K
 from varve.functions import rules as R
-from varve.operators import actions, history, locks, placement, txns
-from varve.sources.store import KeyValue, VersionStore
+from varve.operators import actions, admin, export, graph, history, locks, ordered, placement, txns
+from varve.sources.files import Conflict
+from varve.sources.store import Graph, KeyValue, MemoryStore, Partitions, VersionStore
 from varve.streaming import ingest
 
 
@@ -87,10 +88,71 @@ def test_lock_conflicts_by_buckets_equal_brute_force(spark):
         assert {(r.requested_id, r.held_id) for r in locks.conflicts(df, df).collect()} == want
 
 
-def test_states_are_idempotent(spark):
-    rows = [("Prepared", "Commit", "Committed"), ("Committed", "Abort", "Committed"), ("Aborted", "Commit", "Aborted"), ("Prepared", "StoreDecision", "Decided"), ("Decided", "Commit", "Committed"), ("Decided", "Abort", "Decided"), (None, "Prepare", "Prepared"), ("Timedout", "Prepare", "Timedout")]
-    df = spark.createDataFrame(rows, "s string, c string, want string").withColumn("got", txns.next_state(F.col("s"), F.col("c")))
-    assert df.filter("got != want").isEmpty()
+def test_state_machine(spark):
+    """Sequences of commands on one transaction each, and what each gives: a state, or an error after a !."""
+    c = lambda command, ts=10, **rest: (command, ts, rest)
+    cases = [
+        ([c("Prepare"), c("Prepare"), c("Commit", 12), c("Commit", 12), c("Abort")], "Prepared Prepared Committed Committed !FailedPrecondition"),
+        ([c("Abort"), c("Commit"), c("StoreDecision"), c("MarkTimedout")], "!NotFound !NotFound !NotFound !NotFound"),
+        ([c("Prepare"), c("Commit", 9), c("Abort"), c("Abort"), c("Prepare"), c("Commit")], "Prepared !InvalidRequest Aborted Aborted !FailedPrecondition !FailedPrecondition"),
+        ([c("Prepare"), c("StoreDecision", commit_ts=9), c("StoreDecision", commit_ts=14), c("StoreDecision", commit_ts=14), c("StoreDecision", commit=False), c("Commit", 13), c("Abort"), c("Commit", 14)], "Prepared !InvalidRequest Decided Decided !FailedPrecondition !InvalidRequest !FailedPrecondition Committed"),
+        ([c("Prepare"), c("MarkTimedout"), c("Abort"), c("StoreDecision"), c("MarkTimedout", release=True), c("Commit")], "Prepared Timedout Timedout Timedout Timedout !FailedPrecondition"),
+        ([c("Prepare", failure="LockFailed"), c("Prepare"), c("Autocommit")], "Failed Prepared !FailedPrecondition"),
+        ([c("Autocommit"), c("Autocommit"), c("Commit"), c("Prepare")], "Committed Committed !NotFound !FailedPrecondition"),
+        ([c("Prepare"), c("MarkTimedout", principal=False), c("StoreDecision", principal=False)], "Prepared !PermissionDenied !PermissionDenied"),
+    ]
+    rows = [(t, n, k, ts, o.get("commit", True), o.get("commit_ts", ts), o.get("release", False), o.get("principal", True), o.get("failure")) for t, (own, _) in enumerate(cases) for n, (k, ts, o) in enumerate(own)]
+    df = spark.createDataFrame(rows, "txn long, seq long, command string, ts long, commit boolean, commit_ts long, release boolean, principal boolean, failure string")
+    got = {}
+    for r in txns.apply_commands(df).orderBy("txn", "seq").collect():
+        got.setdefault(r.txn, []).append(f"!{r.error}" if r.error else r.state)
+    assert {t: " ".join(v) for t, v in got.items()} == {t: want for t, (_, want) in enumerate(cases)}
+    end = {r.txn: (r.state, r.locks_released) for r in txns.final_status(df).collect()}
+    assert end[4] == ("Timedout", True) and end[0] == ("Committed", True) and end[7] == ("Prepared", False) and 1 not in end
+
+
+def test_fold_of_locks_over_many_batches(spark):
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng, rows, live, want = random.Random(8), [], {0: set(), 1: set()}, {}
+    for t in range(200):
+        space, acts = t % 2, []
+        for a in range(rng.randrange(1, 4)):
+            kind = rng.choice(["Insert", "Update", "Upsert", "Delete", "Read", "LockKey", "LockRange"])
+            k = rng.randrange(8)
+            check = rng.choice({"LockKey": ["MustExist", "MustNotExist", "None"], "LockRange": ["MustBeEmpty", "MustNotBeEmpty", "None"]}.get(kind, [None]))
+            acts.append((space, t, t, a, kind, k, k + rng.randrange(3), check))
+        rows += acts
+        before, verdict = set(live[space]), ("Success", None)
+        for _, _, _, a, kind, k, end, check in acts:
+            there = k in before if kind != "LockRange" else any(k <= x < end for x in before)
+            bad = "KeyAlreadyExists" if kind == "Insert" and there else "KeyNotFound" if kind in ("Update", "Delete") and not there else "LockCheckFailed" if check in ("MustExist", "MustNotBeEmpty") and not there or check in ("MustNotExist", "MustBeEmpty") and there else None
+            if bad:
+                verdict = (bad, a)
+                break
+        else:
+            for _, _, _, _, kind, k, _, _ in acts:
+                if kind == "Delete":
+                    live[space].discard(k)
+                elif kind in ("Insert", "Update", "Upsert"):
+                    live[space].add(k)
+        want[t] = verdict
+    df = spark.createDataFrame(rows, "keyspace int, txn long, commit_ts long, action_id long, kind string, key long, end long, check string")
+    assert {r.txn: (r.code, r.failed_action) for r in actions.fold(df).collect()} == want
+    assert actions.fold(df.filter("false")).isEmpty()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+
+
+def test_numbering_and_cuts(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(50), rng.random() < 0.3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, x long, f boolean").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert {r.id: r.n for r in ordered.numbered(df, ["x", "id"]).collect()} == {r[0]: n for n, r in enumerate(order)}
+    assert {r.id: r.n for r in ordered.numbered(df, ["x", "id"], "n", F.col("f")).collect()} == {r[0]: sum(q[2] for q in order[:n]) for n, r in enumerate(order)}
+    at = ordered.cuts(df, "x")
+    assert at == sorted(set(at)) and len(at) <= ordered.CUTS
+    assert all(r.p == sum(c <= r.x for c in at) for r in df.select("x", ordered.range_of(F.col("x"), at).alias("p")).collect())
 
 
 def test_rebalancing_keeps_its_invariants():
@@ -104,6 +166,85 @@ def test_rebalancing_keeps_its_invariants():
         assert max(load) - min(load) <= 1
 
 
+def test_cluster_steps_keep_their_invariants():
+    """Random states of many sizes; every step obeys the caps, and steps end in a balanced state with all replicas."""
+    for seed in (171, 97):
+        rng = random.Random(seed)
+        for _ in range(12):
+            servers = list(range(rng.randint(1, 14)))
+            parts = rng.randint(1, 25)
+            state = {}
+            for p in range(parts):
+                for s in rng.sample(servers, rng.randint(0, min(6, len(servers)) - 1) if len(servers) > 1 else 0):
+                    kind = rng.choices(["Leaving", "Joining", "NonVoter", "Voter"], [5, 15, 40, 40])[0]
+                    state[p, s] = [kind, kind in ("Leaving", "Joining") and rng.random() < 0.5, rng.randrange(100)]
+            cluster = placement.Cluster(state, servers, parts, min(3, len(servers)))
+            for now in range(400):
+                new = cluster.step(now)
+                commands = cluster.commands(new)
+                joining = [k for k, v in new.replicas.items() if v[0] == "Joining"]
+                added = [c[1:3] for c in commands if c[0] == "Add"]
+                if added:
+                    assert len(joining) <= placement.CAPS[0]
+                    assert all(sum(k[1] == s for k in joining) <= placement.CAPS[1] for _, s in added) and all(sum(k[0] == p for k in joining) <= 1 for p, _ in added)
+                assert all(c[0] != "Remove" or cluster.replicas[c[1:3]][0] == "Leaving" for c in commands)
+                assert all(c[0] != "Update" or c[3] in ("Voter", "Leaving") for c in commands)
+                if not commands and all(v[1] or v[0] in placement.SERVING for v in new.replicas.values()):
+                    break
+                for v in new.replicas.values():
+                    v[1] = v[0] in ("Joining", "Leaving")
+                cluster = new
+            assert not commands and cluster.imbalance() <= 1
+            assert all(cluster._count(placement.SERVING, pid=p) == min(3, len(servers)) for p in range(parts))
+
+
+def test_registration_bootstrap_and_snapshots(spark, tmp_path):
+    hour = 3600 * 10**9
+    asked = spark.createDataFrame([("t1", "data", 10), ("t2", "api", 5), ("t1", "data", 20), ("t1", "data", 10 + 49 * hour)], "token string, type string, ts long")
+    got = sorted((r.token, r.id, r.name, r.expired) for r in admin.registered(asked, 2).collect())
+    assert got == [("t1", 4, "data_4", False), ("t1", 4, "data_4", False), ("t1", 4, "data_4", True), ("t2", 3, "api_3", False)]
+    none = spark.createDataFrame([], "name string, n_partitions int")
+    first = admin.bootstrapped(spark, none, "a", 3, [(1, "control_1")])
+    again = admin.bootstrapped(spark, first["cluster"], "b", 9, [(1, "control_1")])
+    assert again["cluster"].collect()[0].name == "a" and again["partitions"].count() == 3
+    admin.save(str(tmp_path / "s"), first)
+    assert {k: v.collect() for k, v in admin.restore(spark, str(tmp_path / "s"), list(first)).items()} == {k: v.collect() for k, v in first.items()}
+    assert admin.guarded({"servers": 3, "partitions": 5}, {"servers": 3, "partitions": 4, "cluster": 0}) == ["partitions"]
+
+
+def test_histories_are_written_read_and_generated(spark, tmp_path):
+    rows = [("ok", "txn", "1", 2, 5, [["w", "k", "AQ"]], 7, None, None), ("invoke", "txn", "1", 1, 4, [["r", "k", None]], None, "t", None), ("info", "txn", "2", 3, 6, None, None, None, "context")]
+    df = spark.createDataFrame(rows, history.SCHEMA)
+    history.write(df, str(tmp_path / "h"))
+    assert sorted(history.read_lines(spark, str(tmp_path / "h")).collect(), key=str) == sorted(df.collect(), key=str)
+    made = history.workload(spark, 300, 10, 3).collect()
+    by = {}
+    for r in sorted(made, key=lambda r: r.txn):
+        assert (r.value is None) == (r.op == "r")
+        if r.op == "w":
+            assert r.value == by.get(r.key, 0) + 1
+            by[r.key] = r.value
+    sizes = [sum(x.txn == t for x in made) for t in range(300)]
+    assert min(sizes) == 1 and max(sizes) == 8 and all(len({x.op for x in made if x.txn == t}) == 1 for t in range(300))
+
+
+def test_anomalies_of_each_class(spark):
+    schema = "txn long, op string, key string, value long, commit_ts long"
+    spans = spark.createDataFrame([(t, 10 * t, 10 * t + 5) for t in range(9)], "txn long, began long, ended long")
+    cases = {
+        "": [(1, "w", "x", 1, 1), (2, "r", "x", 1, 2), (3, "w", "x", 2, 3), (3, "r", "y", None, 3)],
+        "G1a": [(1, "w", "x", 1, 1), (2, "r", "x", 9, 2)],
+        "G1c G2 G1c-realtime": [(1, "w", "x", 1, 1), (2, "w", "y", 1, 2), (1, "r", "y", 1, 1), (2, "r", "x", 1, 2)],
+        "G2 G2-realtime": [(1, "w", "x", 1, 1), (1, "r", "y", None, 1), (2, "w", "y", 1, 2), (2, "r", "x", None, 2)],
+        "G2-realtime": [(1, "w", "x", 1, 1), (3, "r", "x", None, 3)],
+        "G1c-realtime": [(1, "r", "x", 1, 1), (4, "w", "x", 1, 4)],
+    }
+    failed = spark.createDataFrame([(8, "w", "x", 9, 0)], schema)
+    for want, ops in cases.items():
+        got = {r["class"] for r in history.anomalies(spark.createDataFrame(ops, schema), failed, spans).collect()}
+        assert got == set(want.split()), want
+
+
 def test_history_cycles(spark):
     chain = [(i, i + 1) for i in range(8)]
     assert history.cyclic(spark.createDataFrame(chain, "src long, dst long")).isEmpty()
@@ -166,10 +307,130 @@ def test_store_commits_atomically(spark, tmp_path):
             kv.get(bad)
     with pytest.raises(model.InvalidRequest):
         kv.set([(b"k", b"1"), (b"k", b"2")])
-    (tmp_path / "log" / "data" / "99").mkdir()  # a commit that never got its marker
+    (tmp_path / "log" / "data" / "99").mkdir()  # a commit that never got its number
     assert kv.get([b"b"]).collect()[0].value == b"2"
 
 
+RECORD = "keyspace int, key binary, value binary, is_deleted boolean"
+
+
+def test_racing_writers_get_distinct_numbers(spark, tmp_path, monkeypatch):
+    one, two = (VersionStore(spark, str(tmp_path / "log")) for _ in range(2))
+    row = lambda v: spark.createDataFrame([(100, bytearray(b"k"), bytearray(v), False)], RECORD)
+    first, done, publish = one.append(row(b"0")), [], one.files.publish
+
+    def other_first(name, value):
+        if not done:
+            done.append(two.append(row(b"2")))
+        publish(name, value)
+
+    monkeypatch.setattr(one.files, "publish", other_first)
+    ts = one.append(row(b"1"))
+    assert ts > done[0] > first and one.read().count() == 3
+    done.clear()
+    with pytest.raises(model.FailedPrecondition):
+        one.append(row(b"3"), expected=ts)
+    assert two.read().count() == 4 and len(list((tmp_path / "log" / "data").iterdir())) == 4
+    with pytest.raises(Conflict):
+        two.files.publish("log/000000000001.json", {})
+    two.files.save("log/x.tmp", {})
+    with pytest.raises(Exception, match="(?i)exist"):
+        two.files.rename("log/x.tmp", "log/000000000001.json")
+
+
+def test_compaction_keeps_what_snapshots_see(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("varve.sources.store.SUMMARY", 3)
+    store = VersionStore(spark, str(tmp_path / "log"))
+    kv, times = KeyValue(store), []
+    for i in range(7):
+        times.append(kv.set({b"a": b"%d" % i, b"b%d" % i: b"x"}))
+    times.append(kv.delete([b"b3"]))
+    assert [n for n in store.files.names("log") if n.endswith(".sum")] and store.last() == times[-1]
+    old = kv.get([b"a"], times[2]).collect()[0].value
+    assert store.compact(files=2) == 8 and len(store.head().folders) == 1 and store.clean() == 8
+    assert kv.get([b"a"], times[2]).collect()[0].value == old and store.read().count() == 15
+    assert store.compact(before=times[5]) == 1
+    assert kv.get([b"a", b"b0", b"b3"], times[5]).select("value").collect()[0].value == b"5" and store.read().count() < 15
+    times.append(kv.set({b"z": b"1"}))
+    assert kv.get([b"z", b"b1"]).filter("value is not null").count() == 2 and VersionStore(spark, store.path).last() == times[-1]
+
+
+def test_memory_store_and_partitions(spark, tmp_path):
+    kv = KeyValue(MemoryStore(spark))
+    kv.set({b"a": b"1"})
+    ts = kv.store.last()
+    same = spark.createDataFrame([(100, bytearray(b"a"), ts, bytearray(b"1"), False)], "keyspace int, key binary, commit_ts long, value binary, is_deleted boolean")
+    kv.store.append(same)
+    assert kv.store.read().count() == 1
+    with pytest.raises(model.AlreadyExists):
+        kv.store.append(same.withColumn("value", F.lit(bytearray(b"2"))))
+    parts = Partitions(spark, str(tmp_path / "p"), 4)
+    rows = spark.createDataFrame([(100, bytearray(b"k%d" % i), bytearray(b"v"), False) for i in range(40)], RECORD)
+    done = parts.append(rows)
+    assert parts.ids() == sorted(done) and parts.read().count() == 40
+    where = {bytes(r.key): xxhash.xxh64_intdigest(bytes(r.key)) % 4 for r in rows.collect()}
+    assert {bytes(r.key) for r in parts.read([2]).collect()} == {k for k, p in where.items() if p == 2}
+    assert parts.create(2).last() == done[2] and parts.drop(2) and not parts.drop(2) and 2 not in parts.ids() and parts.sync(1) == 0
+    with pytest.raises(model.InvalidRequest):
+        parts.create(4)
+
+
+def test_graph_interface(spark, tmp_path):
+    g = Graph(VersionStore(spark, str(tmp_path / "g")))
+    a, b = (1, b"a"), (1, b"b")
+    g.create_vertex(a, b"A")
+    first = g.create_vertex(b, b"B")
+    with pytest.raises(model.AlreadyExists):
+        g.create_vertex(a, b"x")
+    g.create_edge(a, 7, b, b"E")
+    seen = g.update_edge(a, 7, b, b"F")
+    with pytest.raises(model.FailedPrecondition):
+        g.delete_vertex(a)
+    g.delete_vertex(b)  # only an edge that comes in
+    g.update_vertex(a, b"A2")
+    g.delete_edge(a, 7, b)
+    g.delete_vertex(a)
+    assert g.get_vertex(a) is None is g.get_vertex(b) is g.get_edge(a, 7, b) is g.get_edge(b, 7, a)
+    assert g.get_vertex(a, first) == b"A" and g.get_edge(a, 7, b, seen) == b"F" and g.get_edge(a, 7, b, first) is None
+    for bad in (lambda: g.update_vertex(a, b"x"), lambda: g.delete_edge(a, 7, b), lambda: g.delete_vertex(b)):
+        with pytest.raises(model.NotFound):
+            bad()
+    for bad in ((0, b"a"), (1, b"")):
+        with pytest.raises(model.InvalidRequest):
+            g.get_vertex(bad)
+
+
+def test_restore_goes_on_and_starts_anew(spark, tmp_path):
+    log = spark.createDataFrame([(100, bytearray(b"k%03d" % (i % 40)), i, bytearray(b"v"), False) for i in range(95)], "keyspace int, key binary, commit_ts long, value binary, is_deleted boolean")
+    rows, index = export.stream(log, 5, 5, 20)
+    store = VersionStore(spark, str(tmp_path / "s"))
+    part = ingest.Restore(store, 5)
+    chunk = lambda k: rows.filter(F.col("chunk") == k).drop("chunk")
+    assert part.take(chunk(0), 0, False) and part.take(chunk(1), 1, False) and not part.take(chunk(1), 1, False)
+    with pytest.raises(model.FailedPrecondition):
+        part.take(chunk(3), 3, False)
+    assert ingest.Restore(store, 5).run(rows, index) == 3 and ingest.Restore(store, 5).run(rows, index) == 0
+    key = ["keyspace", "key", "commit_ts", "value", "is_deleted"]
+    assert store.read().select(*key).exceptAll(log.select(*key)).isEmpty() and store.read().count() == 95 and store.index() == 5
+    newer = log.filter("commit_ts < 30")
+    again = ingest.Restore(store, 6)
+    assert again.progress() == (0, False, True) and again.run(*export.stream(newer, 6, 6, 20)) == 2
+    assert store.read().count() == 30 and store.index() == 6
+    with pytest.raises(model.FailedPrecondition):
+        export.stream(log, 4, 5)
+    with pytest.raises(model.InvalidRequest):
+        export.stream(log, 5, 5, 20, (1, bytearray(b"a"), 0))
+
+
+def test_retried_micro_batches_commit_once(spark, tmp_path):
+    rows = spark.createDataFrame([(100, bytearray(b"a"), bytearray(b"1"), False)], RECORD)
+    rows.write.parquet(str(tmp_path / "in"))
+    store = VersionStore(spark, str(tmp_path / "log"))
+    for checkpoint in ("one", "two"):  # a second run without the first one's progress tries batch 0 again
+        ingest.sink(spark.readStream.schema(RECORD).parquet(str(tmp_path / "in")), store, str(tmp_path / checkpoint)).awaitTermination(120)
+    assert store.read().count() == 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(9)
     rows = [(k, ts, rng.choice(["Insert", "Update", "Upsert", "Delete", "Read"])) for ts in range(200) for k in [rng.randrange(6)]]

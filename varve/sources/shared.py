@@ -16,11 +16,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="varve-"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, its plan cut; a checkpoint keeps the plan's constraints, which grow in a loop."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
     ensure_checkpoints(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/varve-round-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/varve-round-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, its plan cut; a checkpoint keeps the plan's constraints, which grow in a loop."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
