@@ -39,6 +39,24 @@ def item_length_between(c: Column, least: int, most: int) -> Column:
     return F.when(F.exists(c, lambda x: (F.length(x) < least) | (F.length(x) > most)), F.lit("item of wrong length"))
 
 
+def items_between(c: Column, least: int, most: int | None = None) -> Column:
+    """An array or map of so many items."""
+    n = F.size(c)
+    return F.when(n < least, F.lit("too few items")).when((n > most) if most is not None else F.lit(False), F.lit("too many items"))
+
+
+def one_of(c: Column, values: list) -> Column:
+    """One of a set of values."""
+    return F.when(~c.isin(*values), F.lit("unknown value"))
+
+
+def path_exists(path: str, wanted: bool = True) -> str | None:
+    """Why a path on the driver is not valid, None if it is: it must be there, or must not."""
+    import os
+
+    return None if os.path.exists(path) == wanted else ("does not exist" if wanted else "exists")
+
+
 def port(c: Column) -> Column:
     """A port number."""
     return F.when(~c.between(1, 65535), F.lit("not a port"))

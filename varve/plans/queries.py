@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import clock, model
 from ..functions import keys as K
+from ..functions import rules as R
 from ..operators import actions, admin, export, graph, history, locks, placement, txns, versions
 
 SNAPSHOT = 1_705_000_000_000_000_000
@@ -320,10 +321,99 @@ def graph_edge_keys(spark, sf_dir):
     return e.select("key_hex", F.col("e.head.value").cast("string").alias("head"), "e.type", F.col("e.tail.value").cast("string").alias("tail"))
 
 
+def _vertex_log(spark, sf_dir):
+    """Customers created one after the other; every 7th is deleted later, and every 21st comes back."""
+    id_ = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(K.vertex_key(F.lit(1), id_.cast("string")).alias("key"), id_.alias("id"), F.col("c_name").alias("payload"))
+    made = rows.select("key", "id", (F.col("id") + 1000).alias("commit_ts"), "payload", F.lit(False).alias("is_deleted"))
+    gone = rows.filter("id % 7 = 0").select("key", "id", F.lit(500_000).cast("bigint").alias("commit_ts"), F.lit(None).cast("string").alias("payload"), F.lit(True).alias("is_deleted"))
+    back = rows.filter("id % 21 = 0").select("key", "id", F.lit(600_000).cast("bigint").alias("commit_ts"), F.concat("payload", F.lit("*")).alias("payload"), F.lit(False).alias("is_deleted"))
+    return made.unionByName(gone).unionByName(back)
+
+
+def _edge_log(spark, sf_dir):
+    """Edges from customers to their orders; every third is deleted later."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("head"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("payload"))
+    head = K.vertex_key(F.lit(1), F.col("head").cast("string"))
+    rows = rows.select(K.edge_key(head, F.lit(1), K.vertex_key(F.lit(4), F.col("id").cast("string"))).alias("key"), head.alias("head_key"), "id", "payload")
+    made = rows.withColumns({"commit_ts": F.col("id") + 2000, "is_deleted": F.lit(False)})
+    gone = rows.filter("id % 3 = 0").withColumns({"payload": F.lit(None).cast("string"), "commit_ts": F.lit(500_000).cast("bigint"), "is_deleted": F.lit(True)})
+    return made.unionByName(gone)
+
+
 def graph_get_vertex(spark, sf_dir):
+    """Users' vertices as of three times, one before the deletions, one between them and the returns, one at the end."""
     asked = _table(spark, sf_dir, "events").select(K.vertex_key(F.lit(1), F.col("user_id").cast("string")).alias("key")).distinct()
-    live = _vertices(spark, sf_dir).select("key", "type", "value", F.lit(1).cast("bigint").alias("commit_ts"), F.lit(False).alias("is_deleted"))
-    return graph.get(live, asked).select("type", "value")
+    log, out = _vertex_log(spark, sf_dir), None
+    for ts in (400_000, 550_000, 650_000):
+        own = graph.get(log, asked, ts).select(F.lit(ts).alias("snapshot"), "id", "payload")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def graph_get_edge(spark, sf_dir):
+    """Edges of users' orders as of two times, before and after the deletions."""
+    log = _edge_log(spark, sf_dir)
+    users = _table(spark, sf_dir, "events").select(K.vertex_key(F.lit(1), F.col("user_id").cast("string")).alias("head_key"))
+    asked, out = graph.out_edges(log, users).select("key"), None
+    for ts in (400_000, 550_000):
+        own = graph.get(log, asked, ts).select(F.lit(ts).alias("snapshot"), "id", "payload")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _vertex_requests(spark, sf_dir, commit_ts):
+    """A request for every second customer and as many that are not there; every tenth stands twice."""
+    ids = _table(spark, sf_dir, "customer").select(F.explode(F.when(F.col("c_custkey") % 2 == 0, F.array("c_custkey")).otherwise(F.array(F.col("c_custkey") + 1_000_000))).alias("id"))
+    ids = ids.select("id", F.explode(F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("pos"))
+    return ids.select("id", "pos", K.vertex_key(F.lit(1), F.col("id").cast("string")).alias("key"), F.lit(commit_ts).cast("bigint").alias("commit_ts"), F.concat(F.lit("new "), F.col("id").cast("string")).alias("payload"))
+
+
+def graph_create_vertex(spark, sf_dir):
+    return graph.created(_vertex_log(spark, sf_dir), _vertex_requests(spark, sf_dir, 550_000)).select("id", "pos", "code")
+
+
+def graph_update_vertex(spark, sf_dir):
+    """The versions that the successful updates append."""
+    done = graph.updated(_vertex_log(spark, sf_dir), _vertex_requests(spark, sf_dir, 550_000))
+    return graph.written_versions(done).select(F.hex("key").alias("key_hex"), "commit_ts", "payload", "is_deleted")
+
+
+def graph_delete_vertex(spark, sf_dir):
+    """Deletions after those of the edges: customers with an order that is left stay."""
+    return graph.deleted_vertices(_vertex_log(spark, sf_dir), _edge_log(spark, sf_dir), _vertex_requests(spark, sf_dir, 550_000).drop("payload")).select("id", "pos", "code")
+
+
+def _edge_requests(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("head"), (F.col("o_orderkey") + F.when(F.col("o_orderkey") % 4 == 0, 1_000_000).otherwise(0)).cast("bigint").alias("id"))
+    key = K.edge_key(K.vertex_key(F.lit(1), F.col("head").cast("string")), F.lit(1), K.vertex_key(F.lit(4), F.col("id").cast("string")))
+    return rows.select("id", F.lit(0).alias("pos"), key.alias("key"), F.lit(550_000).cast("bigint").alias("commit_ts"), F.lit("new").alias("payload"))
+
+
+def graph_create_edge(spark, sf_dir):
+    return graph.created(_edge_log(spark, sf_dir).select("key", "commit_ts", "payload", "is_deleted"), _edge_requests(spark, sf_dir)).select("id", "code")
+
+
+def graph_update_edge(spark, sf_dir):
+    return graph.updated(_edge_log(spark, sf_dir).select("key", "commit_ts", "payload", "is_deleted"), _edge_requests(spark, sf_dir)).select("id", "code")
+
+
+def graph_delete_edge(spark, sf_dir):
+    """The tombstones that the successful deletions append."""
+    done = graph.deleted(_edge_log(spark, sf_dir).select("key", "commit_ts", "payload", "is_deleted"), _edge_requests(spark, sf_dir).drop("payload"))
+    return graph.written_versions(done).select(F.hex("key").alias("key_hex"), "commit_ts", "is_deleted")
+
+
+def graph_undirected(spark, sf_dir):
+    placed = _edges(spark, sf_dir).filter("head_type = 1").select("head_type", "head_value", "type", "tail_type", "tail_value")
+    return graph.undirected(placed)
+
+
+def graph_value_errors(spark, sf_dir):
+    """Graph values of every event: a known arm or not, with a payload or without."""
+    arm = F.create_map(*[F.lit(x) for p in (("signup", "int64"), ("click", "string"), ("purchase", "float64"), ("error", "int8")) for x in p])
+    payload = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    return _table(spark, sf_dir, "events").select("event_id", model.value_error(F.try_element_at(arm, F.col("event_type")), payload).alias("error"))
 
 
 def graph_out_edges(spark, sf_dir):
@@ -373,6 +463,119 @@ def placement_changes(spark, sf_dir):
     return placement.state_changes(rows.filter("replica % 3 != 1"), moved).select("pid", "replica", "command", "server")
 
 
+def _placed(spark, sf_dir):
+    """Up to five replicas of each supplier's partition on 13 servers."""
+    each = _table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 5).cast("int"))).alias("i"))
+    states = F.array(*[F.lit(x) for x in ("Voter", "NonVoter", "Voter", "Joining", "Voter", "Leaving")])
+    key, i = F.col("s_suppkey"), F.col("i")
+    return each.select(key.alias("pid"), ((key * 7 + i * 3) % 13).alias("server"), F.get(states, ((key + i * 2) % 6).cast("int")).alias("state"), ((key + i) % 2 == 0).alias("ready"), (key * 10 + (i * 3) % 5).alias("created"))
+
+
+def _servers(spark):
+    return spark.range(14).withColumnRenamed("id", "server")
+
+
+def _pids(spark, sf_dir):
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pid"))
+
+
+def placement_settle(spark, sf_dir):
+    return placement.settled(_placed(spark, sf_dir)).select("pid", "server", "state")
+
+
+def placement_addable(spark, sf_dir):
+    return placement.addable(_placed(spark, sf_dir), _pids(spark, sf_dir), _servers(spark), (1_000_000, 4, 1))
+
+
+def placement_missing(spark, sf_dir):
+    return placement.missing(_placed(spark, sf_dir), _pids(spark, sf_dir), _servers(spark), 3, (1_000_000, 1_000_000, 2))
+
+
+def placement_extra(spark, sf_dir):
+    return placement.extra(_placed(spark, sf_dir), 2)
+
+
+def placement_command_errors(spark, sf_dir):
+    """Commands for every supplier's partition, valid and not."""
+    each = _table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i"))
+    key, i = F.col("s_suppkey"), F.col("i")
+    commands, states = F.array(*[F.lit(c) for c in ("Add", "Update", "Remove")]), F.array(*[F.lit(x) for x in ("Voter", "NonVoter", "Leaving", "Joining")])
+    asked = each.select(F.get(commands, ((key + i) % 3).cast("int")).alias("command"), (key + F.when(i == 5, 1000).otherwise(0)).alias("pid"), ((key * 7 + i * 3) % 15).alias("server"), F.get(states, ((key + i) % 4).cast("int")).alias("state"))
+    return placement.command_errors(asked, _placed(spark, sf_dir), 1000, _servers(spark))
+
+
+def placement_transitions(spark, sf_dir):
+    """All pairs of states, none included: which a replica may go through, and what its process becomes."""
+    states = spark.createDataFrame([(s,) for s in ("Stopped", "Joining", "Voter", "NonVoter", "Leaving")], "state string")
+    before = states.select(F.when(F.col("state") != "Stopped", F.col("state")).alias("before"), F.col("state").alias("process"))
+    pairs = before.join(states.withColumnRenamed("state", "after"))
+    b, a = F.col("before"), F.col("after")
+    return pairs.select(F.col("process").alias("before"), "after", placement.valid_transition(b, a).alias("valid"), placement.lifecycle(F.col("process"), a).alias("becomes"))
+
+
+def placement_availability(spark, sf_dir):
+    probes = _table(spark, sf_dir, "events").select((F.col("event_type") != "error").alias("reachable"), (F.col("event_type") != "view").alias("connected"))
+    return placement.availability(probes).select("ready", "failing")
+
+
+def admin_cluster(spark, sf_dir):
+    """Properties of the cluster, one a row."""
+    one = _table(spark, sf_dir, "supplier").agg(F.count("*").alias("servers"), F.max("s_suppkey").alias("last_id")).withColumn("name", F.lit("main"))
+    return admin.cluster(one)
+
+
+def admin_replica_status(spark, sf_dir):
+    """The last report of each partition's server."""
+    reports = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("pid"), (F.col("o_orderkey") % 9).alias("name"), (F.col("o_orderkey") * 10).alias("ts"), F.col("o_custkey").alias("applied"))
+    return admin.merged_status(reports)
+
+
+def admin_register(spark, sf_dir):
+    """Events as registrations whose token is the user: the first one counts, and a token holds for 48 hours."""
+    asked = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("token"), F.lit("data").alias("type"), clock.nanos(F.col("ts")).alias("ts"))
+    return admin.registered(asked, 5)
+
+
+def admin_bootstrap(spark, sf_dir):
+    """Partitions of a cluster that is set up for the first time, and of one that is there already."""
+    none = spark.createDataFrame([], "name string, n_partitions int")
+    there = _table(spark, sf_dir, "supplier").agg(F.lit("old").alias("name"), F.count("*").cast("int").alias("n_partitions"))
+    out = None
+    for present in (none, there):
+        tables = admin.bootstrapped(spark, present, "new", 7, [(1, "control_1")])
+        own = tables["cluster"].select("name").join(tables["partitions"])
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def admin_snapshot(spark, sf_dir):
+    """The replicas, saved and restored."""
+    from ..sources.shared import fresh_path
+
+    path = fresh_path(spark)
+    admin.save(path, {"replicas": _placed(spark, sf_dir), "servers": _servers(spark)})
+    return admin.restore(spark, path, ["replicas", "servers"])["replicas"]
+
+
+def admin_clock_skew(spark, sf_dir):
+    ts = clock.nanos(F.col("ts"))
+    readings = _table(spark, sf_dir, "events").select(clock.offset(ts, ts + F.col("event_id") * 1001, ts + F.col("user_id") * 13).alias("offset"))
+    return admin.clock_skew(readings)
+
+
+def rules_violations(spark, sf_dir):
+    """Parts that break a rule, and which."""
+    rules = {
+        "size": [R.at_least(F.col("p_size"), 5), R.at_most(F.col("p_size"), 45)],
+        "name": [R.required(F.col("p_name")), R.length_between(F.col("p_name"), 8, 9)],
+        "price": [R.positive(F.col("p_retailprice") - 1000)],
+        "port": [R.port(F.col("p_partkey") * 50)],
+        "words": [R.items_between(F.split("p_type", " "), 1, 1), R.item_length_between(F.split("p_type", " "), 3, 6)],
+        "brand": [R.one_of(F.col("p_brand"), ["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"])],
+    }
+    return R.violations(_table(spark, sf_dir, "part"), rules).select("p_partkey", F.array_join("errors", ";").alias("errors"))
+
+
 def export_chunks(spark, sf_dir):
     out = export.chunks(_versions(spark, sf_dir), 1000)
     return out.groupBy("chunk").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
@@ -409,8 +612,18 @@ def admin_routing(spark, sf_dir):
 
 
 def _ops(spark, sf_dir):
-    ev = _table(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("txn"), F.when(F.col("event_type") == "view", "r").otherwise("w").alias("op"), F.col("user_id").alias("key"), F.col("event_id").alias("value"), clock.nanos(F.col("ts")).alias("commit_ts"))
+    """Events as operations: views read a version, the newest before them, the one before that, none, or the next one, by turns; all others write."""
+    from pyspark.sql import Window
+
+    ev = _table(spark, sf_dir, "events").select(F.col("event_id").alias("txn"), F.when(F.col("event_type") == "view", "r").otherwise("w").alias("op"), F.col("user_id").alias("key"), clock.nanos(F.col("ts")).alias("commit_ts"))
+    order = Window.partitionBy("key").orderBy("commit_ts", "txn")
+    write = F.when(F.col("op") == "w", F.col("txn"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    seen = ev.withColumn("last", F.last(write, True).over(before))
+    older = F.last(F.when(F.col("op") == "w", F.col("last")), True).over(before)
+    turn = F.col("txn") % 4
+    value = F.when(F.col("op") == "w", F.col("txn")).when(turn == 0, F.col("last")).when(turn == 1, older).when(turn == 3, F.first(write, True).over(after))
+    return seen.select("txn", "op", "key", value.alias("value"), "commit_ts")
 
 
 def history_stale_reads(spark, sf_dir):
@@ -418,8 +631,25 @@ def history_stale_reads(spark, sf_dir):
 
 
 def history_dependencies(spark, sf_dir):
+    return history.dependencies(_ops(spark, sf_dir)).select("src", "dst", "kind")
+
+
+def history_realtime(spark, sf_dir):
+    """Dependencies against real time; an operation takes up to four hours."""
     ops = _ops(spark, sf_dir)
-    return history.dependencies(ops).select("src", "dst", "kind")
+    spans = ops.select("txn", F.col("commit_ts").alias("began"), (F.col("commit_ts") + F.col("txn") % 5 * 3_600_000_000_000).alias("ended"))
+    return history.realtime_anomalies(history.dependencies(ops), spans)
+
+
+def history_aborted_reads(spark, sf_dir):
+    """Reads of versions whose writer, every fifth one, failed."""
+    ops = _ops(spark, sf_dir)
+    return history.aborted_reads(ops, ops.filter("op = 'w' and txn % 5 = 0")).select("txn", "key", "value")
+
+
+def history_outcomes(spark, sf_dir):
+    errors = F.create_map(*[F.lit(x) for p in (("error", "Internal error"), ("view", "context canceled"), ("click", "not found")) for x in p])
+    return _table(spark, sf_dir, "events").select("event_id", history.outcome(F.try_element_at(errors, F.col("event_type"))).alias("outcome"))
 
 
 def history_cycles(spark, sf_dir):

@@ -22,7 +22,30 @@ _STATUS = """status AS (SELECT o_orderkey AS txn, CASE WHEN o_orderstatus = 'O'
 _REPLICAS = """replicas AS (SELECT o_custkey % 50 AS pid, o_orderkey AS replica, o_orderkey % 9 AS server,
   CASE o_orderkey % 5 WHEN 1 THEN 'NonVoter' WHEN 2 THEN 'Joining' WHEN 3 THEN 'Leaving' ELSE 'Voter' END AS state, 'r' || o_orderkey AS name, 'r' || o_orderkey AS leader,
   o_orderkey AS term, o_custkey AS applied, o_custkey + o_orderkey % 7 AS committed, epoch_us(o_orderdate) * 1000 AS created FROM orders)"""
-_OPS = "ops AS (SELECT event_id AS txn, CASE WHEN event_type = 'view' THEN 'r' ELSE 'w' END AS op, user_id AS key, event_id AS value, epoch_us(ts) * 1000 AS commit_ts FROM events)"
+_OPS = """ev AS (SELECT event_id AS txn, CASE WHEN event_type = 'view' THEN 'r' ELSE 'w' END AS op, user_id AS key, epoch_us(ts) * 1000 AS commit_ts FROM events),
+seen AS (SELECT *, last_value(CASE WHEN op = 'w' THEN txn END IGNORE NULLS) OVER (PARTITION BY key ORDER BY commit_ts, txn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last,
+  first_value(CASE WHEN op = 'w' THEN txn END IGNORE NULLS) OVER (PARTITION BY key ORDER BY commit_ts, txn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM ev),
+older AS (SELECT *, last_value(CASE WHEN op = 'w' THEN last END IGNORE NULLS) OVER (PARTITION BY key ORDER BY commit_ts, txn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_last FROM seen),
+ops AS (SELECT txn, op, key, CASE WHEN op = 'w' THEN txn WHEN txn % 4 = 0 THEN last WHEN txn % 4 = 1 THEN before_last WHEN txn % 4 = 3 THEN next END AS value, commit_ts FROM older)"""
+_EDGES_OF = f"""{_OPS}, w AS (SELECT key, txn, value, lead(txn) OVER (PARTITION BY key ORDER BY commit_ts, txn) AS next_txn FROM ops WHERE op = 'w'),
+deps AS (SELECT DISTINCT * FROM (SELECT txn AS src, next_txn AS dst, 'ww' AS kind FROM w WHERE next_txn IS NOT NULL UNION ALL SELECT w.txn, r.txn, 'wr' FROM ops r JOIN w ON w.key = r.key AND w.value = r.value WHERE r.op = 'r'
+  UNION ALL SELECT r.txn, w.next_txn, 'rw' FROM ops r JOIN w ON w.key = r.key AND w.value = r.value WHERE r.op = 'r' AND next_txn IS NOT NULL
+  UNION ALL SELECT r.txn, f.txn, 'rw' FROM ops r JOIN (SELECT key, arg_min(txn, (commit_ts, txn)) AS txn FROM ops WHERE op = 'w' GROUP BY 1) f ON f.key = r.key WHERE r.op = 'r' AND r.value IS NULL) WHERE src <> dst)"""
+_VLOG = """vlog AS (SELECT c_custkey AS id, c_custkey + 1000 AS commit_ts, c_name AS payload, false AS is_deleted FROM customer UNION ALL SELECT c_custkey, 500000, NULL, true FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT c_custkey, 600000, c_name || '*', false FROM customer WHERE c_custkey % 21 = 0)"""
+_ELOG = """elog AS (SELECT o_custkey AS head, o_orderkey AS id, o_orderkey + 2000 AS commit_ts, o_orderstatus AS payload, false AS is_deleted FROM orders
+  UNION ALL SELECT o_custkey, o_orderkey, 500000, NULL, true FROM orders WHERE o_orderkey % 3 = 0)"""
+_VREQ = """req AS (SELECT id, unnest(CASE WHEN id % 10 = 0 THEN [0, 1] ELSE [0] END) AS pos FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey + 1000000 END AS id FROM customer)),
+now AS (SELECT id, arg_max(is_deleted, commit_ts) AS is_deleted FROM vlog WHERE commit_ts < 550000 GROUP BY 1), live AS (SELECT id FROM now WHERE NOT is_deleted)"""
+_EREQ = """req AS (SELECT o_custkey AS head, o_orderkey + CASE WHEN o_orderkey % 4 = 0 THEN 1000000 ELSE 0 END AS id FROM orders),
+live AS (SELECT head, id FROM (SELECT head, id, arg_max(is_deleted, commit_ts) AS gone FROM elog WHERE commit_ts < 550000 GROUP BY ALL) WHERE NOT gone)"""
+_PLACED = """placed AS (SELECT s_suppkey AS pid, (s_suppkey * 7 + i * 3) % 13 AS server, ['Voter', 'NonVoter', 'Voter', 'Joining', 'Voter', 'Leaving'][(s_suppkey + i * 2) % 6 + 1] AS state, (s_suppkey + i) % 2 = 0 AS ready,
+  s_suppkey * 10 + (i * 3) % 5 AS created FROM (SELECT s_suppkey, unnest(range(0, s_suppkey % 5 + 1)) AS i FROM supplier)),
+sload AS (SELECT server, count(*) FILTER (state <> 'Leaving') AS total, count(*) FILTER (state = 'Joining') AS joining FROM placed GROUP BY 1),
+pload AS (SELECT pid, count(*) FILTER (state <> 'Leaving') AS total, count(*) FILTER (state = 'Joining') AS joining, count(*) FILTER (state IN ('Voter', 'NonVoter')) AS serving FROM placed GROUP BY 1),
+pairs AS (SELECT s_suppkey AS pid, s.server, coalesce(p.total, 0) AS p_total, coalesce(p.joining, 0) AS p_joining, coalesce(l.total, 0) AS s_total, coalesce(l.joining, 0) AS s_joining
+  FROM supplier CROSS JOIN (SELECT unnest(range(14)) AS server) s LEFT JOIN pload p ON p.pid = s_suppkey LEFT JOIN sload l ON l.server = s.server
+  WHERE NOT EXISTS (SELECT 1 FROM placed x WHERE x.pid = s_suppkey AND x.server = s.server))"""
 _SAFE = """prepared AS (SELECT user_id AS key, min(epoch_us(ts) * 1000) AS first FROM events WHERE event_type <> 'view' AND epoch_us(ts) * 1000 > 1705000000000000000 GROUP BY 1),
 safe AS (SELECT DISTINCT e.user_id AS id, least(1800000000000000000, first - 1) AS safe_ts FROM events e LEFT JOIN prepared p ON p.key = e.user_id)"""
 
@@ -164,7 +187,20 @@ SQL = {
     "graph_vertex_keys": f"WITH {_VERTICES} SELECT type, value, {_VERTEX.format(t='type', v='value')} AS key_hex FROM vertices",
     "graph_vertex_decode": f"WITH {_VERTICES} SELECT CAST(type AS BIGINT) AS type, value FROM vertices",
     "graph_edge_keys": f"WITH {_EDGES} SELECT {_VERTEX.format(t='head_type', v='head_value')} || printf('%08X', type) || {_VERTEX.format(t='tail_type', v='tail_value')} AS key_hex, head_value AS head, CAST(type AS BIGINT) AS type, tail_value AS tail FROM edges",
-    "graph_get_vertex": "SELECT 1 AS type, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_custkey IN (SELECT user_id FROM events)",
+    "graph_get_vertex": f"""WITH {_VLOG}, s AS (SELECT unnest([400000, 550000, 650000]) AS snapshot), t AS (SELECT snapshot, id, arg_max(is_deleted, commit_ts) AS gone, arg_max({{'p': payload}}, commit_ts).p AS payload
+        FROM s, vlog WHERE commit_ts <= snapshot AND id IN (SELECT user_id FROM events) GROUP BY ALL) SELECT snapshot, id, payload FROM t WHERE NOT gone""",
+    "graph_get_edge": f"""WITH {_ELOG}, s AS (SELECT unnest([400000, 550000]) AS snapshot), t AS (SELECT snapshot, id, arg_max(is_deleted, commit_ts) AS gone, arg_max({{'p': payload}}, commit_ts).p AS payload
+        FROM s, elog WHERE commit_ts <= snapshot AND head IN (SELECT user_id FROM events) GROUP BY ALL) SELECT snapshot, id, payload FROM t WHERE NOT gone""",
+    "graph_create_vertex": f"WITH {_VLOG}, {_VREQ} SELECT id, pos, CASE WHEN pos > 0 THEN 'LockFailed' WHEN id IN (SELECT id FROM live) THEN 'KeyAlreadyExists' ELSE 'Success' END AS code FROM req",
+    "graph_update_vertex": f"""WITH {_VLOG}, {_VREQ} SELECT {_VERTEX.format(t='1', v='CAST(id AS VARCHAR)')} AS key_hex, CAST(550000 AS BIGINT) AS commit_ts, 'new ' || id AS payload, false AS is_deleted FROM req WHERE pos = 0 AND id IN (SELECT id FROM live)""",
+    "graph_delete_vertex": f"""WITH {_VLOG}, {_ELOG}, {_VREQ}, left_ AS (SELECT head FROM (SELECT head, id, arg_max(is_deleted, commit_ts) AS gone FROM elog WHERE commit_ts < 550000 GROUP BY ALL) WHERE NOT gone)
+        SELECT id, pos, CASE WHEN pos > 0 THEN 'LockFailed' WHEN id NOT IN (SELECT id FROM live) THEN 'KeyNotFound' WHEN id IN (SELECT head FROM left_) THEN 'LockCheckFailed' ELSE 'Success' END AS code FROM req""",
+    "graph_create_edge": f"WITH {_ELOG}, {_EREQ} SELECT req.id, CASE WHEN live.id IS NOT NULL THEN 'KeyAlreadyExists' ELSE 'Success' END AS code FROM req LEFT JOIN live ON live.head = req.head AND live.id = req.id",
+    "graph_update_edge": f"WITH {_ELOG}, {_EREQ} SELECT req.id, CASE WHEN live.id IS NULL THEN 'KeyNotFound' ELSE 'Success' END AS code FROM req LEFT JOIN live ON live.head = req.head AND live.id = req.id",
+    "graph_delete_edge": f"""WITH {_ELOG}, {_EREQ} SELECT {_VERTEX.format(t='1', v='CAST(head AS VARCHAR)')} || '00000001' || {_VERTEX.format(t='4', v='CAST(id AS VARCHAR)')} AS key_hex, CAST(550000 AS BIGINT) AS commit_ts, true AS is_deleted
+        FROM req JOIN live USING (head, id)""",
+    "graph_undirected": f"WITH {_EDGES} SELECT * FROM edges WHERE head_type = 1 UNION SELECT tail_type, tail_value, type, head_type, head_value FROM edges WHERE head_type = 1",
+    "graph_value_errors": "SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN 'unknown type' WHEN event_id % 3 = 0 THEN 'no payload' END AS error FROM events",
     "graph_out_edges": f"WITH {_EDGES} SELECT * FROM edges WHERE head_type = 1 AND head_value IN (SELECT CAST(user_id AS VARCHAR) FROM events)",
     "graph_degrees": f"WITH {_EDGES} SELECT {_VERTEX.format(t='head_type', v='head_value')} AS head_hex, type, count(*) AS n_edges FROM edges GROUP BY ALL",
     "graph_delete_precheck": "SELECT 4 AS type, CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
@@ -177,6 +213,39 @@ SQL = {
         n AS (SELECT * REPLACE (CASE WHEN replica % 4 = 0 THEN server + 1 ELSE server END AS server) FROM replicas WHERE replica % 3 <> 0)
         SELECT coalesce(o.pid, n.pid) AS pid, coalesce(o.replica, n.replica) AS replica, CASE WHEN o.pid IS NULL THEN 'Add' WHEN n.pid IS NULL THEN 'Remove' ELSE 'Update' END AS command,
         coalesce(n.server, o.server) AS server FROM o FULL JOIN n ON o.pid = n.pid AND o.replica = n.replica WHERE o.pid IS NULL OR n.pid IS NULL OR o.server <> n.server OR o.state <> n.state""",
+    "placement_settle": f"WITH {_PLACED} SELECT pid, server, CASE WHEN state = 'Joining' AND ready THEN 'Voter' ELSE state END AS state FROM placed WHERE NOT (state = 'Leaving' AND ready)",
+    "placement_addable": f"WITH {_PLACED} SELECT pid, server FROM pairs WHERE s_joining < 4 AND p_joining < 1 AND (SELECT count(*) FROM placed WHERE state = 'Joining') < 1000000",
+    "placement_missing": f"""WITH {_PLACED}, r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s_total, s_joining, server) AS place FROM pairs WHERE p_joining < 2)
+        SELECT pid, server FROM r WHERE place <= least(3 - p_total, 2 - p_joining)""",
+    "placement_extra": f"""WITH {_PLACED}, r AS (SELECT x.*, row_number() OVER (PARTITION BY pid ORDER BY l.total DESC, created, server) AS place, count(*) OVER (PARTITION BY pid) - 2 AS over_ FROM placed x JOIN sload l USING (server)
+        WHERE state IN ('Voter', 'NonVoter')) SELECT pid, server FROM r WHERE place <= over_""",
+    "placement_command_errors": f"""WITH {_PLACED}, c AS (SELECT ['Add', 'Update', 'Remove'][(s_suppkey + i) % 3 + 1] AS command, s_suppkey + CASE WHEN i = 5 THEN 1000 ELSE 0 END AS pid, (s_suppkey * 7 + i * 3) % 15 AS server,
+          ['Voter', 'NonVoter', 'Leaving', 'Joining'][(s_suppkey + i) % 4 + 1] AS state FROM (SELECT s_suppkey, unnest(range(7)) AS i FROM supplier))
+        SELECT command, c.pid, c.server, c.state, CASE
+          WHEN command = 'Add' THEN CASE WHEN c.pid > 999 OR c.server > 13 THEN 'invalid Add' WHEN p.state IS NOT NULL THEN 'same server' END
+          WHEN command = 'Update' THEN CASE WHEN c.pid > 999 OR p.state IS NULL THEN 'invalid Update'
+            WHEN NOT (c.state = 'Voter' AND p.state IN ('Joining', 'NonVoter') OR c.state = 'NonVoter' AND p.state IN ('Joining', 'Voter') OR c.state = 'Leaving') THEN 'invalid transition'
+            WHEN serving = 1 AND p.state IN ('Voter', 'NonVoter') AND c.state NOT IN ('Voter', 'NonVoter') THEN 'last serving replica' END
+          ELSE CASE WHEN c.pid > 999 OR p.state IS NULL THEN 'invalid Remove' WHEN p.state <> 'Leaving' THEN 'not leaving' END END AS error
+        FROM c LEFT JOIN placed p ON p.pid = c.pid AND p.server = c.server LEFT JOIN pload l ON l.pid = c.pid""",
+    "placement_transitions": """WITH s AS (SELECT unnest(['Stopped', 'Joining', 'Voter', 'NonVoter', 'Leaving']) AS state)
+        SELECT b.state AS before, a.state AS after, CASE a.state WHEN 'Joining' THEN b.state = 'Stopped' WHEN 'Voter' THEN b.state IN ('Joining', 'NonVoter') WHEN 'NonVoter' THEN b.state IN ('Joining', 'Voter') WHEN 'Leaving' THEN b.state <> 'Stopped' ELSE false END AS valid,
+          CASE WHEN b.state = a.state THEN NULL WHEN a.state = 'Stopped' THEN 'stopped' WHEN b.state = 'Leaving' THEN NULL WHEN a.state = 'Leaving' THEN 'leaving' WHEN a.state = 'Joining' THEN CASE WHEN b.state = 'Stopped' THEN 'joining' END ELSE 'serving' END AS becomes
+        FROM s a CROSS JOIN s b""",
+    "placement_availability": "SELECT avg(CAST(event_type <> 'error' AS INTEGER)) >= 0.8 AS ready, avg(CAST(event_type = 'view' AS INTEGER)) >= 0.2 AS failing FROM events",
+    "admin_cluster": "SELECT unnest(['servers', 'last_id', 'name']) AS property, unnest([CAST(count(*) AS VARCHAR), CAST(max(s_suppkey) AS VARCHAR), 'main']) AS value FROM supplier",
+    "admin_replica_status": "SELECT o_custkey % 50 AS pid, o_orderkey % 9 AS name, max(o_orderkey * 10) AS ts, arg_max(o_custkey, o_orderkey) AS applied FROM orders GROUP BY 1, 2",
+    "admin_register": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS token, epoch_us(ts) * 1000 AS ts FROM events), f AS (SELECT token, min(ts) AS since FROM r GROUP BY 1),
+        n AS (SELECT *, row_number() OVER (ORDER BY since, token) + 5 AS id FROM f) SELECT token, ts, id, 'data_' || id AS name, ts - since > 172800000000000 AS expired FROM r JOIN n USING (token)""",
+    "admin_bootstrap": "SELECT 'new' AS name, unnest(range(7))::INTEGER AS pid UNION ALL SELECT 'old', unnest(range((SELECT count(*) FROM supplier)))::INTEGER",
+    "admin_snapshot": f"WITH {_PLACED} SELECT * FROM placed",
+    "admin_clock_skew": "WITH r AS (SELECT abs(event_id * 1001 + (event_id * 1001 - user_id * 13)) // 2 AS off FROM events) SELECT max(off) - min(off) AS skew FROM r",
+    "rules_violations": """WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS words, * FROM part), e AS (SELECT p_partkey, list_filter([CASE WHEN p_size < 5 THEN 'size: less than 5' END, CASE WHEN p_size > 45 THEN 'size: more than 45' END,
+          CASE WHEN p_name IS NULL OR p_name = '' THEN 'name: required' END, CASE WHEN length(p_name) < 8 THEN 'name: too short' WHEN length(p_name) > 9 THEN 'name: too long' END, CASE WHEN p_retailprice - 1000 <= 0 THEN 'price: not positive' END,
+          CASE WHEN NOT p_partkey * 50 BETWEEN 1 AND 65535 THEN 'port: not a port' END, CASE WHEN len(words) < 1 THEN 'words: too few items' WHEN len(words) > 1 THEN 'words: too many items' END,
+          CASE WHEN len(list_filter(words, lambda w: length(w) < 3 OR length(w) > 6)) > 0 THEN 'words: item of wrong length' END,
+          CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22') THEN 'brand: unknown value' END], lambda x: x IS NOT NULL) AS errors FROM p)
+        SELECT p_partkey, array_to_string(errors, ';') AS errors FROM e WHERE len(errors) > 0""",
     "export_chunks": f"""WITH {_LOG}, n AS (SELECT key, row_number() OVER (ORDER BY key, commit_ts DESC) - 1 AS k FROM log)
         SELECT CAST(floor(k / 1000) AS BIGINT) AS chunk, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM n GROUP BY 1""",
     "export_resume": f"WITH {_LOG} SELECT key, commit_ts, value FROM log WHERE key > 75 OR key = 75 AND commit_ts <= 1705000000000000000",
@@ -186,9 +255,13 @@ SQL = {
         SELECT pid, name, state, name = top AS is_leader, c - applied AS lag FROM replicas JOIN t USING (pid)""",
     "admin_servers": "SELECT 'data' AS type, s_suppkey AS id, CAST(s_nationkey AS BIGINT) * 1000000000 AS last_seen, 20000000000 - CAST(s_nationkey AS BIGINT) * 1000000000 > 10000000000 AS stale FROM supplier",
     "admin_routing": f"WITH {_REPLICAS} SELECT pid, string_agg(CAST(server AS VARCHAR), ',' ORDER BY server) AS servers FROM replicas WHERE state IN ('Voter', 'NonVoter') GROUP BY 1",
-    "history_stale_reads": f"""WITH {_OPS}, e AS (SELECT *, last_value(CASE WHEN op = 'w' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY commit_ts, op = 'r' ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM ops)
+    "history_stale_reads": f"""WITH {_OPS}, e AS (SELECT *, last_value(CASE WHEN op = 'w' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY commit_ts, op = 'r', txn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM ops)
         SELECT txn, key, value, expected FROM e WHERE op = 'r' AND value IS DISTINCT FROM expected""",
-    "history_dependencies": f"""WITH {_OPS}, w AS (SELECT *, lead(txn) OVER (PARTITION BY key ORDER BY commit_ts, txn) AS next_txn FROM ops WHERE op = 'w')
-        SELECT txn AS src, next_txn AS dst, 'ww' AS kind FROM w WHERE next_txn IS NOT NULL""",
+    "history_dependencies": f"WITH {_EDGES_OF} SELECT src, dst, kind FROM deps",
+    "history_realtime": f"""WITH {_EDGES_OF} SELECT src, dst, kind, CASE WHEN kind = 'rw' THEN 'G2-realtime' ELSE 'G1c-realtime' END AS class FROM deps JOIN ops a ON a.txn = src JOIN ops b ON b.txn = dst
+        WHERE b.commit_ts + b.txn % 5 * 3600000000000 < a.commit_ts""",
+    "history_aborted_reads": f"WITH {_OPS} SELECT txn, key, value FROM ops WHERE op = 'r' AND value % 5 = 0",
+    "history_outcomes": "SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN 'info' WHEN event_type = 'click' THEN 'fail' ELSE 'ok' END AS outcome FROM events",
+    "history_cycles": "WITH w AS (SELECT count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY user_id HAVING count(*) > 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM w",
     "etags": "SELECT n_regionkey, translate(rtrim(base64(unhex(sha256(string_agg(n_name, '' ORDER BY n_name)))), '='), '+/', '-_') AS etag FROM nation GROUP BY 1",
 }
