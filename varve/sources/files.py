@@ -18,11 +18,11 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark._jvm
-        self.fs = self.at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs = self.at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def at(self, name: str):
-        """A Hadoop path: of a name within the folder, or a whole path as it is."""
-        return self._jvm.org.apache.hadoop.fs.Path(name if name.startswith(self.path) else f"{self.path}/{name}")
+    def at(self, name: str, whole: bool = False):
+        """A Hadoop path: of a name within the folder, or of a whole path."""
+        return self._jvm.org.apache.hadoop.fs.Path(name if whole else f"{self.path}/{name}" if name else self.path)
 
     def make(self, name: str) -> None:
         """Create a folder unless it is there."""
