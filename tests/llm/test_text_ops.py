@@ -280,11 +280,9 @@ def test_shards(spark, docs, tmp_path):
     assert len(store.manifest()) >= 5 and len(store.head().segments) < 5
     store.compact()
     assert len(store.manifest()) == 1 and store.read().count() == 5 * rows.count() == store.read(before).count()
-    for publish in (store._publish, store._rename):
-        store._publish = publish
-        with pytest.raises(shards.Conflict):
-            store._commit(shards.Manifest(), before)
-    assert store.vacuum() >= 5 and store.vacuum() == 0 and store._versions() == [store.version()]
+    with pytest.raises(shards.Conflict):
+        store._commit(shards.Manifest(), before)
+    assert store.vacuum() >= 5 and store.vacuum() == 0 and store.versions() == [store.version()]
     want = Counter((r.doc_id, r.text, r.h, "own", k) for r in rows.collect() for k in range(5))
     assert Counter(tuple(r) for r in store.read().collect()) == want
     with pytest.raises(ValueError):
@@ -313,14 +311,14 @@ def test_shards_keep_new_columns_and_refuse_other_types(spark, tmp_path):
 def test_shards_of_racing_writers(spark, tmp_path):
     one, two = (shards.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
     one.append(spark.createDataFrame([(0,)], "a long"))
-    after, publish, done = one.version(), one._publish, []
+    after, publish, done = one.version(), one.files.publish, []
 
-    def second_first(temporary, name):  # the other writer publishes when this one is about to
+    def second_first(name, value):  # the other writer publishes when this one is about to
         if not done:
             done.append(two.append(spark.createDataFrame([(2,)], "a long")))
-        publish(temporary, name)
+        publish(name, value)
 
-    one._publish = second_first
+    one.files.publish = second_first
     assert one.append(spark.createDataFrame([(1,)], "a long")) == after + 2 and done == [after + 1]
     assert sorted(r.a for r in one.read(after + 1).collect()) == [0, 2]
     for k in (3, 4, 5):

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import Conflict, Folder
 from .session import fresh_path
 
 TARGET_BYTES = 128 << 20
@@ -45,10 +47,6 @@ class SchemaConflict(ValueError):
     """An arrival's column has another type than the store's."""
 
 
-class Conflict(RuntimeError):
-    """Another writer published the version first."""
-
-
 @dataclass(frozen=True)
 class Shard:
     """One immutable file."""
@@ -81,53 +79,32 @@ class ShardStore:
     """A folder of shards with its manifests."""
 
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET_BYTES, fan_in: int = FAN_IN):
-        self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target, fan_in
-        self._jvm = spark._jvm
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.spark, self.target, self.fan_in, self.files = spark, target, fan_in, Folder(spark, path)
+        self.path = self.files.path
         for d in ("manifests", "segments"):
-            self._fs.mkdirs(self._at(f"{self.path}/{d}"))
-
-    def _at(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _unique(self) -> str:
-        return self._jvm.java.util.UUID.randomUUID().toString()
+            self.files.make(d)
 
-    def _load(self, path: str):
-        stream = self._fs.open(self._at(path))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _save(self, path: str, value) -> None:
-        out = self._fs.create(self._at(path), False)
-        try:
-            out.write(bytearray(json.dumps(value).encode()))
-        finally:
-            out.close()
-
-    def _versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/manifests"))]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+    def versions(self) -> list[int]:
+        """Numbers of the committed versions that are kept, rising."""
+        return [int(n[1:-5]) for n in self.files.names("manifests") if n.startswith("v") and n.endswith(".json")]
 
     def version(self) -> int:
         """The newest committed version; 0 is the empty store."""
-        return max(self._versions(), default=0)
+        return max(self.versions(), default=0)
 
     def _name(self, version: int) -> str:
-        return f"{self.path}/manifests/v{version:010d}.json"
+        return f"manifests/v{version:010d}.json"
 
     def head(self, version: int | None = None) -> Manifest:
         """A version's manifest, or the newest."""
         version = self.version() if version is None else version
         if not version:
             return Manifest()
-        found = self._load(self._name(version))
+        found = self.files.load(self._name(version))
         return Manifest(tuple((p, n) for p, n in found["segments"]), found["schema"])
 
     def _shards(self, segments) -> list[Shard]:
-        return [Shard(**s) for path, _ in segments for s in self._load(path)]
+        return [Shard(**s) for path, _ in segments for s in self.files.load(path)]
 
     def manifest(self, version: int | None = None) -> list[Shard]:
         """Shards of a version, or of the newest."""
@@ -138,34 +115,9 @@ class ShardStore:
         found = self.head(version).schema
         return T.StructType.fromJson(json.loads(found)) if found else T.StructType()
 
-    def _publish(self, temporary: str, name: str) -> None:
-        """Give a written file its name unless that is taken, as one step."""
-        if self._fs.getUri().getScheme() == "file":
-            plain = lambda p: self._jvm.java.nio.file.Paths.get(self._fs.makeQualified(self._at(p)).toUri())
-            self._jvm.java.nio.file.Files.createLink(plain(name), plain(temporary))
-        else:
-            self._rename(temporary, name)
-
-    def _rename(self, temporary: str, name: str) -> None:
-        """Rename that refuses to replace, which such file systems do as one step."""
-        kinds = self._jvm.org.apache.hadoop.fs.Options.Rename
-        refuse = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        refuse[0] = kinds.NONE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(self._fs.makeQualified(self._at(temporary)), self._fs.makeQualified(self._at(name)), refuse)
-
     def _commit(self, manifest: Manifest, after: int) -> int:
         """Make ``manifest`` the version that follows ``after``; Conflict if another writer made it first."""
-        temporary, name = f"{self.path}/manifests/{self._unique()}.tmp", self._name(after + 1)
-        self._save(temporary, {"segments": manifest.segments, "schema": manifest.schema})
-        try:
-            self._publish(temporary, name)
-        except Exception as error:
-            if not self._fs.exists(self._at(name)):
-                raise
-            raise Conflict(f"version {after + 1} is there already") from error
-        finally:
-            self._fs.delete(self._at(temporary), False)
+        self.files.publish(self._name(after + 1), {"segments": manifest.segments, "schema": manifest.schema})
         return after + 1
 
     def _update(self, change: Callable[[Manifest], Manifest | None]) -> int:
@@ -183,8 +135,8 @@ class ShardStore:
     def _segment(self, shards: list[Shard]) -> tuple[tuple[str, int], ...]:
         if not shards:
             return ()
-        path = f"{self.path}/segments/{self._unique()}.json"
-        self._save(path, [asdict(s) for s in shards])
+        path = f"segments/{uuid.uuid4().hex}.json"
+        self.files.save(path, [asdict(s) for s in shards])
         return ((path, len(shards)),)
 
     def _joined(self, segments: tuple[tuple[str, int], ...]) -> tuple[tuple[str, int], ...]:
@@ -202,7 +154,7 @@ class ShardStore:
         return max(0, math.floor(math.log(max(size, 1) / (64 << 10), self.fan_in)))
 
     def _folder(self) -> str:
-        return f"{self.path}/data/{self._unique()}"
+        return f"{self.path}/data/{uuid.uuid4().hex}"
 
     def _listed(self, folder: str, schema: T.StructType) -> list[Shard]:
         """One shard a file of a folder just written; as many rows as its job had tasks with rows."""
@@ -270,15 +222,15 @@ class ShardStore:
         Files that no version ever named, of a writer that failed or is still
         at work, stay.
         """
-        every = self._versions()
+        every = self.versions()
         old, new = every[:-keep], every[-keep:]
         heads = {v: self.head(v) for v in every}
         kept = {s for v in new for s in heads[v].segments}
         gone = {s for v in old for s in heads[v].segments} - kept
         paths = {s.path for s in self._shards(gone)} - ({s.path for s in self._shards(kept)} if gone else set())
-        done = sum(bool(self._fs.delete(self._at(p), False)) for p in paths)
+        done = sum(bool(self.files.fs.delete(self.files.at(p, whole=True), False)) for p in paths)
         for p in [self._name(v) for v in old] + [p for p, _ in gone]:
-            self._fs.delete(self._at(p), False)
+            self.files.delete(p)
         return done
 
     def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
