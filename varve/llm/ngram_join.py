@@ -43,7 +43,7 @@ from .shingles import CELLS, least_difference, set_key, shingle_sets, signature
 FILTER_BITS = 1 << 24
 _CHUNKS = 64
 #: Places of a shingle, or classes of a group, that are sorted together at most, about; larger ones are split by a hash.
-SPLIT = 4096
+SPLIT = 1024
 
 
 def _fold(df: DataFrame, parts: Callable, combine: Callable, size: int) -> bytes:
@@ -241,9 +241,10 @@ def _neighbours(shared: DataFrame, tenths: int) -> DataFrame:
     place = F.struct("at", "n", "group_key")
     placed = shared.withColumns({"early": early, "class": F.floor(F.log(F.col("n")) * 9), "split": _split("places")})
     by_size = Window.partitionBy("token", "early", "split").orderBy("n", "group_key")
-    hubs = placed.groupBy("token", "class").agg(F.min(place).alias("other"))
+    hubs = placed.groupBy("token", "class").agg(F.min(place).alias("other"), F.first("places").alias("places"))
+    hubs = hubs.select("token", "class", "other", F.explode(F.sequence(F.lit(0).cast("long"), _splits("places") - 1)).alias("split"))
     found = None
-    for near in (placed.withColumn("other", F.lag(F.struct("at", "n", "group_key")).over(by_size)), placed.join(hubs, ["token", "class"])):
+    for near in (placed.withColumn("other", F.lag(place).over(by_size)), placed.join(hubs, ["token", "class", "split"])):
         near = near.filter((F.col("other.group_key") != F.col("group_key")) & _bounded(F.col("n"), F.col("at"), F.col("other.n"), F.col("other.at"), tenths))
         near = near.select("group_key", F.col("other.group_key").alias("other"))
         found = near if found is None else found.union(near)
@@ -253,7 +254,11 @@ def _neighbours(shared: DataFrame, tenths: int) -> DataFrame:
 def _split(count: str) -> Column:
     """Part of a shingle's places, or of a group's classes, that a group or class is sorted in."""
     key = "group_key" if count == "places" else "class_key"
-    return F.pmod(F.xxhash64(key), F.ceil(F.col(count) / SPLIT).cast("long"))
+    return F.pmod(F.xxhash64(key), _splits(count))
+
+
+def _splits(count: str) -> Column:
+    return F.ceil(F.col(count) / SPLIT).cast("long")
 
 
 def _inside(classes: DataFrame) -> DataFrame:
