@@ -29,7 +29,7 @@ from .session import arrow_map
 from .shingles import mixed, powers
 
 #: Labelled rows learned from, at most: those with the smallest hash of their doc_id.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 BITS = 13
 DIMENSIONS = 16
 _FAMILIES = ((1, 3), (2, 6), (3, 5))  # (family, length) of n-grams; family 2 is of character classes
@@ -152,7 +152,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
         order = rng.permutation(len(rows))
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
-            used, inverse = np.unique(np.concatenate([rows[i][0] for i in own]), return_inverse=True)
+            used, inverse = np.unique(np.concatenate([rows[i][0] for i in own]).astype(np.int64), return_inverse=True)
             x = np.zeros((len(own), len(used)), np.float32)
             x[np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own]), inverse] = np.concatenate([rows[i][1] for i in own])
             mean = x @ vectors[used]
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
     """A model of ``labels`` (doc_id, label), from at most ``limit`` of their documents.
 
     Each sampled text comes to the driver as its distinct features, at most
-    SIZE of them however long it is.
+    SIZE of them however long it is, four bytes each (shares have 11 bits).
     """
     sample = labels.select(F.col("doc_id").alias("label_id"), F.col("label").cast("int").alias("label")).filter("label_id is not null and label in (0, 1)")
     sample = sample.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(limit)  # a proven bound: broadcast
@@ -181,14 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
         for batch in batches:
             found = [counted(t) for t in batch.column(2).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([b.astype("<u2").tobytes() for b, _ in found], pa.binary()), pa.array([s.astype("<f4").tobytes() for _, s in found], pa.binary())],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([b.astype("<u2").tobytes() for b, _ in found], pa.binary()), pa.array([s.astype("<f2").tobytes() for _, s in found], pa.binary())],
                 names=["doc_id", "label", "buckets", "shares"],
             )
 
     got = chosen.transform(arrow_map, count, "doc_id long, label int, buckets binary, shares binary").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "buckets").limit(limit)
-    got = got.toPandas()
-    rows = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(s, "<f4")) for b, s in zip(got["buckets"], got["shares"])]
-    return train(rows, got["label"].to_numpy(np.int64))
+    got = got.toArrow()  # the features stay in its buffers
+    rows = [(np.frombuffer(b.as_buffer(), "<u2"), np.frombuffer(s.as_buffer(), "<f2")) for b, s in zip(got["buckets"], got["shares"])]
+    return train(rows, got["label"].to_numpy().astype(np.int64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
