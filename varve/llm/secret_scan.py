@@ -6,8 +6,8 @@ Markov model of random strings exceeds that under one of ordinary identifiers
 by a margin.  Both models are counts of character pairs from labelled samples.
 Random: the secrets of all base matches, and strings drawn from the usual
 alphabets of keys (``GENERATED`` of each).  Ordinary: identifiers in the usual
-styles made of plain words of every document (``WORDS`` of each) and of words
-common in names (``GENERATED`` sets).
+styles, one made of the first four plain words in a row of every document, the
+others of words common in names (``GENERATED`` sets).
 
 A text is matched and a token scored in time linear in its length, however long
 it is.  Null and empty texts have no spans; an empty table gives no rows.
@@ -33,11 +33,12 @@ HEX = r"[0-9a-f]{16,}"
 #: Characters of the models, and the tokens that they score: whole runs of this many or more.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LONG = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"
+# plain words one after the other
+ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,}(?: [A-Za-z]{2,}){3}(?![A-Za-z0-9+/_=-])"
 #: Log-likelihood ratio (nats) in all and per character from which a token is a secret.
 MARGIN, PER_CHARACTER = 12.0, 0.8
-#: Labelled samples: random strings drawn from each alphabet, and plain words taken of a document.
-GENERATED, WORDS = 4000, 6
+#: Labelled samples: random strings drawn from each alphabet, and sets of common words; of a document its first ORDINARY match.
+GENERATED = 4000
 
 #: Words common in names of programs, files and settings.
 COMMON = (
@@ -56,11 +57,10 @@ _MATCH = "struct<kind:string,i:int,gap:int,size:int,value:string>"
 
 def _matches(text: Column, kind: str, pattern: str, cheap: Column, value: int = 0) -> Column:
     """Array of (kind, i, gap before, match, value): all matches of a pattern in order."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    rows = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), (F.regexp_extract(x["m"], pattern, value) if value else x["m"]).alias("value")),
-    )
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")))  # a value of a lambda, so that neither runs twice
+    taken = lambda m: F.regexp_extract(m, pattern, value) if value else m
+    one = lambda own, m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(own["g"], i)).alias("gap"), F.length(m).alias("size"), taken(m).alias("value"))
+    rows = F.flatten(F.transform(once, lambda own: F.transform(own["m"], lambda m, i: one(own, m, i))))
     return F.when(cheap, rows).otherwise(F.array().cast(f"array<{_MATCH}>"))
 
 
@@ -81,10 +81,10 @@ def base_matches(docs: DataFrame) -> DataFrame:
     """Every base match before its length test, a ``plain`` row for each sample identifier, and a ``row`` row for every document."""
     text = F.col("text")
     one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), value.alias("value"))
-    words = F.slice(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0)), 1, WORDS)
+    words = F.filter(F.split(F.regexp_extract(text, ORDINARY, 0), " "), lambda w: w != "")
     every = F.concat(
         F.array(one("row", F.lit(""))).cast(f"array<{_MATCH}>"),
-        F.transform(_identifiers(words), lambda w: one("plain", w)).cast(f"array<{_MATCH}>"),
+        F.transform(F.flatten(F.transform(F.array(words), _identifiers)), lambda w: one("plain", w)).cast(f"array<{_MATCH}>"),
         _matches(text, "assign", ASSIGN, text.rlike(r"(?i)pass|secret|token|api_?key"), 2),
         _matches(text, "access", ACCESS, text.contains("AKIA")),
         _matches(text, "hex", HEX, text.rlike(HEX)),
@@ -93,14 +93,13 @@ def base_matches(docs: DataFrame) -> DataFrame:
 
 
 def _identifiers(words: Column) -> Column:
-    """Names in the usual styles made of an array of words: plain, snake, kebab, camel, path, upper case, numbered, dated."""
-    capital = F.transform(words, lambda w: F.initcap(F.lower(w)))
+    """The first of an array of words, and a name made of them in one of the usual styles: snake, kebab, camel, path, upper case, numbered, dated."""
     drawn = F.pmod(F.xxhash64(F.array_join(words, " ")), F.lit(2_000_000_000))
     number, time = (drawn % 2100).cast("string"), F.date_format(F.timestamp_seconds(drawn), "yyyy-MM-dd'T'HH-mm-ss")
-    joined = [
+    styles = [
         F.lower(F.array_join(words, "_")),
         F.lower(F.array_join(words, "-")),
-        F.array_join(capital, ""),
+        F.replace(F.initcap(F.array_join(words, " ")), F.lit(" ")),
         F.lower(F.array_join(words, "/")),
         F.upper(F.array_join(words, "_")),
         F.concat(F.lower(F.array_join(F.slice(words, 1, 2), "_")), F.lit("_"), number),
@@ -108,7 +107,8 @@ def _identifiers(words: Column) -> Column:
         F.concat(F.lower(F.array_join(F.slice(words, 1, 2), "/")), F.lit("/"), F.substr(time, F.lit(1), F.lit(10))),
         time,
     ]
-    return F.when(F.size(words) > 0, F.concat(words, F.array(*joined))).otherwise(F.array().cast("array<string>"))
+    own = reduce(lambda c, k: c.when(drawn % len(styles) == k, styles[k]), range(1, len(styles)), F.when(drawn % len(styles) == 0, styles[0]))
+    return F.when(F.size(words) > 0, F.array(F.get(words, F.lit(0)), own)).otherwise(F.array().cast("array<string>"))
 
 
 def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
@@ -130,7 +130,7 @@ def generated(spark: SparkSession, n: int = GENERATED) -> DataFrame:
 def common(spark: SparkSession, n: int = GENERATED) -> DataFrame:
     """Identifiers (value) of ``n`` sets of common words, always the same ones."""
     words = F.array(*[F.element_at(F.split(F.lit(" ".join(COMMON)), " "), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(COMMON))).cast("int") + 1) for k in range(4)])
-    return spark.range(n).select(F.explode(_identifiers(words)).alias("value"))
+    return spark.range(n).select(words.alias("words")).select(F.explode(_identifiers(F.col("words"))).alias("value"))
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
