@@ -23,7 +23,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks kept by a worker; beyond it the memory starts anew (results do not change).
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which starts contractions
 #: Chunks that this pattern covers split as its alternatives do; all others go through the library's splitter.

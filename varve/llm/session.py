@@ -6,9 +6,10 @@ executor and the driver can reach, so a lost executor never loses a stage.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -46,13 +47,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system, which else keeps it for as long as the worker lives."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with small batches, so that long texts and large sets stay within a worker's memory."""
+    """``df.mapInArrow`` with small batches, so that long texts and large sets stay within a worker's memory.
+
+    The bounds are set in the session unless it has its own; a task's memory is
+    given back at its end.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     conf = df.sparkSession.conf
     for key, value in BATCH_LIMITS.items():
         if conf.get(key, None) is None:
             conf.set(key, value)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
