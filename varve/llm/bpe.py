@@ -22,14 +22,15 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks kept by a worker; beyond it the memory starts anew (results do not change).
-CACHE_CHUNKS = 500_000
+#: Chunks of a generation; a worker keeps the one that it fills and the one before, of which what is met again moves on (results do not change).
+CACHE_CHUNKS = 450_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which starts contractions
 #: Chunks that this pattern covers split as its alternatives do; all others go through the library's splitter.
 _PLAIN = re.compile(rf"(?: ?[{_LETTER}]+| ?[0-9]+| ?[{_PUNCT}]+|\n(?!\s))+\Z")
 _PIECE = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_PUNCT}]+|\n")
 _ENDS = frozenset(".,;:!?")
+_LAST = "\u024f"  # up to here, what Python takes for letters the splitter does too
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _ODD_SPACE = [c + " " for c in _SPACES]
 _ODD_ASCII = [x for x in _ODD_SPACE if x.isascii()]
@@ -71,6 +72,7 @@ class Encoder:
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         # a byte that no merge takes in: what stands on its two sides merges as if alone
         self.apart = self.model.token_to_id(_APART)
@@ -97,12 +99,13 @@ class Encoder:
         cut: dict[str, list[str]] = {}
         new: set[str] = set()
         for c in chunks:
-            body = c[1:]
-            if c.isascii() and c[:1] == " ":
+            if c[:1] == " ":
+                body = c[1:]
                 if body.isalpha():
-                    new.add(c)
-                    continue
-                if c[-1] in _ENDS and body[:-1].isalpha():
+                    if c.isascii() or max(body) <= _LAST:
+                        new.add(c)
+                        continue
+                elif c[-1] in _ENDS and body[:-1].isalpha() and (c.isascii() or max(body) <= _LAST):
                     ended.append(c)
                     new.add(c[:-1])
                     continue
@@ -139,19 +142,23 @@ class Encoder:
         if not self.fast:
             return [array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t in texts]
         if len(self.parts) > CACHE_CHUNKS:
-            self.parts.clear()
+            self.before, self.parts = self.parts, {}
         if len(self.pieces) > CACHE_CHUNKS:
             self.pieces.clear()
         cut = [[] if not t or any(s in t for s in self.specials) else self._chunks(t) for t in texts]
-        seen: set[str] = set()
-        for chunks in cut:
-            seen.update(chunks)
-        self._learn(seen.difference(self.parts))
-        part = self.parts.__getitem__
-        return [
-            b"".join(map(part, chunks)) if chunks or not t else array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes()
-            for chunks, t in zip(cut, texts)
-        ]
+        known = self.parts.get
+        found = [list(map(known, chunks)) for chunks in cut]  # None where a chunk is new
+        new = [[i for i, v in enumerate(values) if v is None] for values in found]
+        missing = {chunks[i] for chunks, places in zip(cut, new) for i in places}
+        if self.before:
+            again = {c: self.before[c] for c in missing if c in self.before}
+            self.parts.update(again)
+            missing.difference_update(again)
+        self._learn(missing)
+        for chunks, values, places in zip(cut, found, new):
+            for i in places:
+                values[i] = self.parts[chunks[i]]
+        return [b"".join(values) if values or not t else array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes() for values, t in zip(found, texts)]
 
     def ids(self, text: str | None) -> bytes:
         """Ids of one whole text."""

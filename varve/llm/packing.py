@@ -101,8 +101,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
         for batch in batches:
             ids_of, rows = batch.column(0).to_pylist(), []
             texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                for doc, ids in zip(ids_of[k : k + 256], enc.many(texts[k : k + 256])):
+            for k in range(0, len(texts), 16):  # few enough for their chunks to stay in the cache
+                for doc, ids in zip(ids_of[k : k + 16], enc.many(texts[k : k + 16])):
                     all_ids = np.concatenate([np.frombuffer(ids, enc.dtype).astype("<u4"), end])
                     first = len(all_ids) % size or size
                     starts = [0, *range(first, len(all_ids), size)]

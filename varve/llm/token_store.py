@@ -76,8 +76,8 @@ def _writer(folder: str, vocabulary: str, length: int, end_id: int):
 
         for batch in batches:
             texts, rows = batch.column(1).to_pylist(), []
-            for k in range(0, len(texts), 256):
-                for ids in enc.many(texts[k : k + 256]):
+            for k in range(0, len(texts), 16):  # few enough for their chunks to stay in the cache
+                for ids in enc.many(texts[k : k + 16]):
                     if name is None:
                         name = f"part-{part:012d}-{uuid.uuid4().hex}.arrows"
                         system.create_dir(inside, recursive=True)
