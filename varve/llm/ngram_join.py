@@ -270,11 +270,11 @@ def _inside(classes: DataFrame) -> DataFrame:
 
 
 def _components_of(docs: DataFrame, tenths: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, h (hash of its text), n, top (its component, null without shingles) and component_id."""
+    """Per row of ``docs``: doc_id, h (hash of its text), n, best (doc_id and h of the row that stands for its component, null without shingles) and component_id."""
     ranks = _cell_ranks(docs)
     rows = written(_sets(docs, ranks, tenths), "shingle-sets")
     full = rows.filter("n > 0")
-    classes = written(full.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("group_key").alias("group_key"), F.first("n").alias("n"), F.first("signature", ignorenulls=True).alias("signature")), "classes")
+    classes = written(full.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("best"), F.first("group_key").alias("group_key"), F.first("n").alias("n"), F.first("signature", ignorenulls=True).alias("signature")), "classes")
     nodes = classes.select(F.col("class_key").alias("node"))
 
     # places of shingles that several groups have
@@ -313,9 +313,9 @@ def _components_of(docs: DataFrame, tenths: int) -> DataFrame:
     joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
     tops = components(member.select(F.col("label").alias("node")).distinct(), written(joined, "label-links"))
     final = written(member.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("class_key", "top"), "tops")
-    smallest = classes.join(final, "class_key").groupBy("top").agg(F.min("rep").alias("component_id"))
+    smallest = classes.join(final, "class_key").groupBy("top").agg(F.min("best").alias("best"))
     out = rows.select("doc_id", "h", "n", "class_key").join(final.join(smallest, "top"), "class_key", "left")
-    return out.select("doc_id", "h", "n", "top", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "h", "n", "best", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"))
 
 
 def near_components(docs: DataFrame, tenths: int = 8) -> DataFrame:
@@ -330,9 +330,8 @@ def representatives(docs: DataFrame, tenths: int = 8) -> DataFrame:
     id the one whose text has the smallest hash, and of rows that repeat both
     any one.  Rows without shingles stay.
     """
-    rows = written(_components_of(docs, tenths).filter("top is not null").select("doc_id", "h", "top"), "components")
-    best = rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("best"))
-    marked = rows.join(best, "top").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
+    rows = _components_of(docs, tenths).filter("best is not null")
+    marked = rows.withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
     marked = written(marked.groupBy("doc_id", "h", "stays").agg(F.count("*").alias("times")), "representatives")
     key = lambda df: df.select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h"))
     same = (text_hash(docs) == F.col("_varve_h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_varve_id"))
