@@ -71,6 +71,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.keep = CACHE_CHUNKS
         self.parts: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -141,9 +142,9 @@ class Encoder:
         """Ids of whole texts (null: none), each as packed integers of ``dtype``."""
         if not self.fast:
             return [array(self.code, self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"" for t in texts]
-        if len(self.parts) > CACHE_CHUNKS:
+        if len(self.parts) > self.keep:
             self.before, self.parts = self.parts, {}
-        if len(self.pieces) > CACHE_CHUNKS:
+        if len(self.pieces) > self.keep:
             self.pieces.clear()
         cut = [[] if not t or any(s in t for s in self.specials) else self._chunks(t) for t in texts]
         known = self.parts.get
@@ -165,8 +166,9 @@ class Encoder:
         return self.many([text])[0]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file, loaded once."""
+def encoder(path: str, keep: int = CACHE_CHUNKS) -> Encoder:
+    """The worker's encoder of a vocabulary file, loaded once; ``keep`` is the chunks of a generation from now on."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].keep = keep
     return _loaded[path]

@@ -29,6 +29,8 @@ from .session import arrow_map, written
 
 #: Pieces packed together by one task; each group leaves at most a few sequences with a gap.
 GROUP = 40_000
+#: Chunks that a worker's encoder keeps of a generation; fewer than its own, as the pipeline's executors hold more by then.
+KEPT_CHUNKS = 150_000
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, KEPT_CHUNKS)
         end, slot = np.array([end_id], "<u4"), TaskContext.get().partitionId() << 36
         for batch in batches:
             ids_of, rows = batch.column(0).to_pylist(), []
