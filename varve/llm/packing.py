@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import CACHE_CHUNKS, encoder
 from .session import arrow_map, written
 
 #: Pieces packed together by one task; each group leaves at most a few sequences with a gap.
 GROUP = 40_000
-#: Chunks that a worker's encoder keeps of a generation; fewer than its own, as the pipeline's executors hold more by then.
-KEPT_CHUNKS = 150_000
 
 
 def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +90,13 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return sequence, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, keep: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece: doc_id, slot (any distinct number), piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(vocabulary, KEPT_CHUNKS)
+        enc = encoder(vocabulary, keep)
         end, slot = np.array([end_id], "<u4"), TaskContext.get().partitionId() << 36
         for batch in batches:
             ids_of, rows = batch.column(0).to_pylist(), []
@@ -138,9 +136,9 @@ def pack(rows: DataFrame, size: int = 2048, group: int = GROUP) -> DataFrame:
     return rows.select("*", bucket).groupBy("bucket").applyInPandas(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048) -> DataFrame:
-    """Cut, encode and pack whole documents; one row per piece."""
-    return pack(written(pieces(docs, vocabulary, size), "pieces"), size)
+def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, keep: int = CACHE_CHUNKS) -> DataFrame:
+    """Cut, encode and pack whole documents; one row per piece.  ``keep`` bounds what a worker's encoder remembers."""
+    return pack(written(pieces(docs, vocabulary, size, keep=keep), "pieces"), size)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
