@@ -48,7 +48,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Every document's pieces and their places in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # a third of the usual cache, as executors hold more at the end of a run
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=150_000)
 
 
 STAGES = [
