@@ -1,9 +1,12 @@
 """Point, range and history reads over a log of three keyspaces with tombstones."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from varve.operators import versions as V
+from varve.operators.actions import validated
 
 KEYS = [b"777", b"ccc", b"kkk", b"ttt"]
 #: (timestamp, deleted): live, tombstone, live, tombstone, live
@@ -82,3 +85,30 @@ def test_empty_log(spark, log):
     assert V.snapshot(none).isEmpty() and V.validity(none).isEmpty()
     asked = spark.createDataFrame([(100, bytearray(b"a"), 0)], "keyspace int, key binary, pos int")
     assert V.multi_get(none, asked).collect()[0].value is None
+
+
+def test_ranges_as_of_meet_no_versions(spark):
+    rng = random.Random(5)
+    rows = [(s, rng.randrange(300), rng.choice([None, *range(60)]), rng.choice([True, True, False, None])) for s in (1, 2) for _ in range(900)]
+    rows = list({r[:3]: r for r in rows}.values())
+    asked = [(s, lo, lo + rng.choice([0, 1, 2, 40, 299]), t) for s in (1, 2, 3) for lo in range(-20, 310, 6) for t in (-1, 7, 30, 70, None)]
+
+    def found(s, lo, hi, t):
+        seen = {}
+        for r in sorted((r for r in rows if None not in (r[2], t) and r[0] == s and lo <= r[1] < hi and r[2] <= t), key=lambda r: r[2]):
+            seen[r[1]] = r[3] is False
+        return any(seen.values())
+
+    log = spark.createDataFrame(rows, "keyspace int, key long, commit_ts long, is_deleted boolean")
+    out = V.exists_in_range(log, spark.createDataFrame(asked, "keyspace int, lo long, hi long, as_of long"))
+    got = {(r.keyspace, r.lo, r.hi, r.as_of): r.found for r in out.collect()}
+    assert got == {a: found(*a) for a in asked} and {*got.values()} == {True, False}
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not [x for x in joins if "<" in x or ">" in x]
+
+
+def test_validation_of_odd_rows(spark):
+    log = spark.createDataFrame([(1, 5, None, False), (1, 6, 10, False)], "keyspace int, key long, commit_ts long, is_deleted boolean")
+    acts = [(1, 20, 0, "Insert", 5), (2, 20, 0, "Insert", 6), (3, 20, 0, None, 6), (4, None, 0, "Update", 6), (5, 20, 0, "Read", 7)]
+    acts = spark.createDataFrame(acts, "txn long, commit_ts long, action_id long, kind string, key long").selectExpr("*", "1 as keyspace", "key + 1 as end", "cast(null as string) as check")
+    assert {(r.txn, r.code) for r in validated(acts, log).collect()} == {(1, "Success"), (2, "KeyAlreadyExists"), (3, "Success"), (4, "KeyNotFound"), (5, "Success")}

@@ -72,18 +72,23 @@ def validated(actions: DataFrame, versions: DataFrame) -> DataFrame:
 
     Actions have txn, commit_ts, action_id, keyspace, kind, key, end and check
     (of LockKey: MustExist, MustNotExist; of LockRange: MustBeEmpty,
-    MustNotBeEmpty; anything else is no check).  Each is looked up on its own,
-    all in parallel; nothing is written.
+    MustNotBeEmpty; anything else is no check).  Each that can fail is looked
+    up on its own, all in parallel; nothing is written.
     """
+    kind, check = F.col("kind"), F.col("check")
+    can_fail = F.coalesce(failure(kind, check, F.lit(True)), failure(kind, check, F.lit(False))).isNotNull()
+    ranges = can_fail & (kind == "LockRange")
     before = actions.withColumn("as_of", F.col("commit_ts") - 1)
-    asked = before.filter("kind != 'LockRange'").select("keyspace", "key", "as_of").distinct()
-    live = as_of(versions, asked).select("keyspace", "key", "as_of", F.lit(True).alias("found"))
-    keyed = before.filter("kind != 'LockRange'").join(live, ["keyspace", "key", "as_of"], "left")
-    ranged = before.filter("kind = 'LockRange'").withColumnRenamed("key", "lo").withColumnRenamed("end", "hi")
-    ranged = exists_in_range(versions, ranged).withColumnRenamed("lo", "key").withColumnRenamed("hi", "end")
+    asked = before.filter(can_fail & ~ranges).select("keyspace", "key", "as_of").distinct()
+    seen = versions.filter("commit_ts is not null").select("keyspace", "key", "commit_ts", "is_deleted")
+    live = as_of(seen, asked).select("keyspace", "key", "as_of", F.lit(True).alias("found"))
+    keyed = before.filter(can_fail & ~ranges).join(live, ["keyspace", "key", "as_of"], "left")
+    ranged = before.filter(ranges).withColumnRenamed("key", "lo").withColumnRenamed("end", "hi")
+    ranged = exists_in_range(versions, ranged)
+    others = before.filter(~can_fail).withColumn("found", F.lit(False))
     columns = ["txn", "commit_ts", "action_id", "kind", "check", "found"]
-    both = keyed.select(*columns).unionByName(ranged.select(*columns)).withColumn("found", F.coalesce("found", F.lit(False)))
-    return first_failures(both.withColumn("failure", failure(F.col("kind"), F.col("check"), F.col("found"))))
+    both = keyed.select(*columns).unionByName(ranged.select(*columns)).unionByName(others.select(*columns)).withColumn("found", F.coalesce("found", F.lit(False)))
+    return first_failures(both.withColumn("failure", failure(kind, check, F.col("found"))))
 
 
 class _Scope:

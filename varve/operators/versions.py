@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import cuts, range_of
+from ..sources.shared import written
+from .ordered import numbered
 
 KEYS = ("keyspace", "key")
 #: Records of a range read that is asked for by a transaction, at most.
@@ -75,23 +76,66 @@ def exists_in_range(versions: DataFrame, ranges: DataFrame, ts: int | None = Non
     """Ranges (keyspace, lo, hi) with ``found``: whether any live key is in [lo, hi).
 
     With a column ``as_of``, each range is looked at as of its own timestamp.
-    Keys of any type that orders meet ranges by the parts into which sampled
-    keys cut them, and not by the whole keyspace.
+    Keys of any type that orders are numbered, and ranges meet only the numbers
+    of their bounds.
     """
-    own = ["keyspace", "lo", "hi", *(["as_of"] if "as_of" in ranges.columns else [])]
-    if "as_of" in own:
-        live = validity(versions).filter(~F.col("is_deleted")).select("keyspace", "key", "valid_from", "valid_to")
+    own = ["keyspace", "lo", "hi"]
+    if "as_of" in ranges.columns:
+        own, hit = [*own, "as_of"], _found_as_of(versions, ranges)
     else:
-        live = snapshot(versions, ts).select("keyspace", "key")
-    at = cuts(live, "key")
-    parts = F.explode(F.sequence(range_of(F.col("lo"), at), range_of(F.col("hi"), at)))
-    spans = ranges.select(*own).distinct().filter("lo < hi").withColumn("part", parts)
-    inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
-    if "as_of" in own:
-        inside &= (F.col("valid_from") <= F.col("as_of")) & F.coalesce(F.col("valid_to") > F.col("as_of"), F.lit(True))
-    live = live.withColumn("part", range_of(F.col("key"), at)).withColumnRenamed("keyspace", "space")
-    hit = spans.join(live, (F.col("keyspace") == F.col("space")) & (spans["part"] == live["part"]) & inside, "left_semi").select(*own).distinct().withColumn("found", F.lit(True))
-    return ranges.join(hit, own, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        hit = _placed(snapshot(versions, ts), ranges)[1].filter("a < b").select(*own)
+    return ranges.join(hit.withColumn("found", F.lit(True)), own, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def _placed(log: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct keys of a log with ``place``, their number in order; the distinct ranges (keyspace, lo, hi) with the places [a, b) of the keys they hold."""
+    spans = ranges.filter("keyspace is not null and lo < hi").select("keyspace", "lo", "hi").distinct()
+    bounds = spans.select("keyspace", F.explode(F.array("lo", "hi")).alias("key"), F.lit(0).alias("own"))
+    keys = log.filter("keyspace is not null and key is not null").select("keyspace", "key").distinct().withColumn("own", F.lit(1))
+    places = keys.unionByName(bounds).groupBy("keyspace", "key").agg(F.max("own").alias("own"))
+    places = numbered(places, ["keyspace", "key"], "place", F.col("own") == 1)
+    lows, highs = (places.select("keyspace", F.col("key").alias(c), F.col("place").alias(n)) for c, n in (("lo", "a"), ("hi", "b")))
+    return places.filter("own = 1").drop("own"), spans.join(lows, ["keyspace", "lo"]).join(highs, ["keyspace", "hi"])
+
+
+def _blocks(a: Column, b: Column) -> Column:
+    """The fewest blocks (level, block), of 2^level numbers from block * 2^level on, that make up the numbers [a, b)."""
+
+    def at(level: Column) -> Column:
+        shifted = lambda x: F.call_function("shiftright", x, level)
+        first, end = shifted(a + F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1), shifted(b)
+        ends = ((first % 2 == 1, first), (end % 2 == 1, end - 1))
+        return F.array(*[F.when((first < end) & odd, F.struct(level.alias("level"), block.alias("block"))) for odd, block in ends])
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(b))), at)))
+
+
+def _found_as_of(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The distinct (keyspace, lo, hi, as_of) of ``ranges`` that hold a key which is live at as_of.
+
+    Keys are numbered in order, and a range is made up of blocks of their
+    numbers, at most two of each size.  Of each block that is asked for, one
+    running sum over the times at which its keys come and go tells how many
+    are live.  No version meets a range, so the work grows as the rows and the
+    number of levels, not as their product.
+    """
+    log = versions.filter("keyspace is not null and key is not null and commit_ts is not null")
+    places, spans = _placed(log, ranges)
+    blocks = written(spans.select("keyspace", "lo", "hi", F.inline(_blocks(F.col("a"), F.col("b")))))
+    levels = sorted(r[0] for r in blocks.select("level").distinct().collect())
+    each = F.explode(F.array(*[F.lit(n) for n in levels])) if levels else F.explode(F.lit(None).cast("array<int>"))
+    held = places.withColumn("level", each).withColumn("block", F.call_function("shiftright", F.col("place"), F.col("level")))
+    held = held.join(blocks.select("level", "block").distinct(), ["level", "block"], "left_semi").select("keyspace", "key", "level", "block")
+    live = F.coalesce(~F.col("is_deleted"), F.lit(False)).cast("long")
+    before = F.coalesce(F.lag(live).over(Window.partitionBy(*KEYS).orderBy("commit_ts")), F.lit(0))
+    changes = log.join(held.select(*KEYS).distinct(), list(KEYS), "left_semi").select(*KEYS, F.col("commit_ts").alias("t"), (live - before).alias("change"))
+    changes = changes.filter("change != 0").join(held, list(KEYS)).select("level", "block", "t", "change")
+    asked = ranges.filter("as_of is not null").select("keyspace", "lo", "hi", "as_of").distinct().join(blocks, ["keyspace", "lo", "hi"])
+    asked = asked.select("level", "block", F.col("as_of").alias("t"), F.struct("keyspace", "lo", "hi", "as_of").alias("asked"))
+    # a change counts from its own time on
+    order = Window.partitionBy("level", "block").orderBy("t", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(changes, allowMissingColumns=True).withColumn("n", F.sum("change").over(order))
+    return both.filter("asked is not null and n > 0").select("asked.*").distinct()
 
 
 def exact(versions: DataFrame, requests: DataFrame) -> DataFrame:
