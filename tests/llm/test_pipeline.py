@@ -100,3 +100,12 @@ def test_pipeline_of_an_empty_table(spark, odd_tables, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{odd_tables[0]}/{t}.parquet").filter("false").write.parquet(f"{path}/{t}.parquet")
     assert pipeline.run(spark, path).isEmpty()
+
+
+def test_driver_drops_what_is_done(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(ngram_join, "tidy", lambda session: calls.append(session))
+    texts = ["one two three four five six seven eight"] * 3 + ["nine ten eleven twelve thirteen fourteen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.representatives(docs).collect()) == [0, 3]
+    assert len(calls) >= 4

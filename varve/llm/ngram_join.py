@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, filtered
-from .session import arrow_map, written
+from .session import arrow_map, tidy, written
 from .shingles import CELLS, least_difference, set_key, shingle_sets, signature
 
 #: Bits of the fixed-size filter that keeps documents without candidates out of verification.
@@ -269,8 +269,11 @@ def _inside(classes: DataFrame) -> DataFrame:
     return chain.union(own.select(F.col("hub").alias("a"), F.col("class_key").alias("b")).filter("a != b"))
 
 
-def _components_of(docs: DataFrame, tenths: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, h (hash of its text), n, best (doc_id and h of the row that stands for its component, null without shingles) and component_id."""
+def _components_of(docs: DataFrame, tenths: int, between: Callable[[], None] = lambda: None) -> DataFrame:
+    """Per row of ``docs``: doc_id, h (hash of its text), n, best (doc_id and h of the row that stands for its component, null without shingles) and component_id.
+
+    ``between`` is called whenever a part of the work is done.
+    """
     ranks = _cell_ranks(docs)
     rows = written(_sets(docs, ranks, tenths), "shingle-sets")
     full = rows.filter("n > 0")
@@ -283,12 +286,16 @@ def _components_of(docs: DataFrame, tenths: int) -> DataFrame:
     tokens = written(tokens.filter("low != high").select("token", "places"), "shared-tokens")
     bits = written(bit_table(tokens), "shared-bits")
     shared = written(filtered(places, bits).join(tokens, "token").select("n", "group_key", "at", "token", "places").distinct(), "shared-places")
+    between()
 
     first = classes.groupBy("group_key").agg(F.min("class_key").alias("c"))
     near = _neighbours(shared, tenths)
     near = near.join(first.withColumnRenamed("c", "a"), "group_key").join(first.select(F.col("group_key").alias("other"), F.col("c").alias("b")), "other").select("a", "b")
     ordered = near.union(_inside(classes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    labels = components(nodes, _verified(docs, ordered, classes, ranks, tenths))
+    links = _verified(docs, ordered, classes, ranks, tenths)
+    between()
+    labels = components(nodes, links)
+    between()
 
     # second round: whatever shares a prefix shingle (or a group) across components
     member = written(classes.join(labels, classes["class_key"] == labels["node"]).select("class_key", "group_key", "label"), "members")
@@ -309,6 +316,7 @@ def _components_of(docs: DataFrame, tenths: int) -> DataFrame:
         member.select(F.col("class_key").alias("b"), F.col("group_key").alias("o_group_key"), F.col("label").alias("o_label")), ["o_group_key", "o_label"]
     )
     links = _verified(docs, expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, ranks, tenths)
+    between()
     ends = [member.select(F.col("class_key").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
     joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
     tops = components(member.select(F.col("label").alias("node")).distinct(), written(joined, "label-links"))
@@ -330,7 +338,7 @@ def representatives(docs: DataFrame, tenths: int = 8) -> DataFrame:
     id the one whose text has the smallest hash, and of rows that repeat both
     any one.  Rows without shingles stay.
     """
-    rows = _components_of(docs, tenths).filter("best is not null")
+    rows = _components_of(docs, tenths, lambda: tidy(docs.sparkSession)).filter("best is not null")
     marked = rows.withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.h") == F.col("h")))
     marked = written(marked.groupBy("doc_id", "h", "stays").agg(F.count("*").alias("times")), "representatives")
     key = lambda df: df.select(F.col("doc_id").alias("_varve_id"), F.col("h").alias("_varve_h"))
